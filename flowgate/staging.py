@@ -1,12 +1,13 @@
 """Reliable intermediate results.
 
-A table that several later jobs read is computed once and kept in the shared checkpoint folder, so that
-the loss of an executor costs no recomputation of the whole lineage.
+A table that several later jobs read is computed once and written to the shared checkpoint folder. The
+loss of an executor then costs no recomputation of the lineage, and the planner knows the table's size.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Compute once, keep in the checkpoint folder, read from there afterwards."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write as Parquet below the checkpoint folder, read from there afterwards."""
+    path = stage_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
