@@ -54,3 +54,10 @@ def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
     return df.select(*[named(k) for k in keep], F.explode(cells).alias("cell")).select(
         *[named(k) for k in keep], "cell.feature", "cell.value"
     )
+
+
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on key columns in which a missing key equals a missing key, as it does in a grouping."""
+    renamed = right.select(*[named(c).alias(f"_r_{c}") if c in set(keys) else named(c) for c in right.columns])
+    on = [named(k).eqNullSafe(named(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])

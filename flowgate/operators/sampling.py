@@ -28,7 +28,7 @@ def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows to draw per class: proportional, at least one, the rounding remainder goes to the largest label."""
     counts = df.groupBy(named(label).alias(label)).agg(F.count(F.lit(1)).alias("rows"))
     everything = Window.partitionBy(F.lit(0))
-    share = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("rows") / F.sum("rows").over(everything)).cast("bigint"))
+    share = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("rows") / F.sum("rows").over(everything)).cast("bigint"))
     first = counts.withColumn("quota", share)
     rest = F.lit(n) - F.sum("quota").over(everything)
     last = named(label) == F.max(named(label)).over(everything)
