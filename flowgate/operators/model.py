@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
 )
@@ -28,6 +30,9 @@ ITERATIONS_PER_EPOCH = 10
 # Weights travel with each task; more than this many would be too much to ship.
 MAX_WEIGHTS = 20_000_000
 
+# Tasks carry the numpy helpers of this module with them; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def score(model, df: DataFrame, keep: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """Kept columns with the score P(class 1) and the prediction score >= threshold."""

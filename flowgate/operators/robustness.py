@@ -102,8 +102,8 @@ def attack_map(train: DataFrame, features: Sequence[str], numeric: Sequence[str]
                 F.lit(f).alias("raw_feature"), F.lit("numeric" if f in wanted else "categorical").alias("semantic_type"),
                 F.lit("PREDICTOR").alias("predictive_status"), F.lit(status).alias("adversarial_status"),
                 F.lit(discrete).alias("discrete"), F.lit(rule).alias("projection_rule"),
-                (F.col(f"lo{i}") if f in wanted else F.lit(None)).cast("double").alias("lower_bound"),
-                (F.col(f"hi{i}") if f in wanted else F.lit(None)).cast("double").alias("upper_bound"),
+                (F.col(f"lo{i}") + 0.0 if f in wanted else F.lit(None)).cast("double").alias("lower_bound"),
+                (F.col(f"hi{i}") + 0.0 if f in wanted else F.lit(None)).cast("double").alias("upper_bound"),
                 F.lit(1 if discrete else None).cast("int").alias("step"), F.lit("none").alias("dependency_group"),
                 F.lit(reason).alias("justification"),
             )
@@ -155,11 +155,17 @@ def fgsm(origin: Column, epsilon: Column, sign: float, bounds: Range) -> Column:
 
 
 def pgd(origin: Column, epsilon: Column, sign: float, bounds: Range, start: Column, steps: int = PGD_STEPS, fraction: float = PGD_STEP_FRACTION) -> Column:
-    """Small steps from a random start inside the budget (``start`` in [0, 1)), projected after each."""
-    z = origin + (start * 2 - 1) * epsilon
-    for _ in range(steps):
-        z = project(z - epsilon * F.lit(fraction) * F.lit(sign), origin, epsilon, bounds)
-    return z
+    """Small steps from a random start inside the budget (``start`` in [0, 1)), projected after each.
+
+    The direction never changes. A continuous feature therefore only moves until it meets the edge of its
+    interval: one projected step followed by one projected leap ends where all the steps end. Rounding can hold
+    an integer feature back, so there the steps are taken one by one.
+    """
+    first = origin + (start * 2 - 1) * epsilon
+    step = epsilon * F.lit(fraction * sign)
+    if not bounds.discrete:
+        return project(project(first - step, origin, epsilon, bounds) - step * (steps - 1), origin, epsilon, bounds)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda z, _: project(z - step, origin, epsilon, bounds))
 
 
 def attack_grid(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ STREAM_BYTES = 8 * 1024 * 1024
 BOM = b"\xef\xbb\xbf"
 TEXT_EXTENSIONS = (".csv", ".txt")
 
+# Tasks carry the hashing helper with them; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FACTS = "path string, sha256 string, newlines bigint, head binary, first_line string"
 
 
