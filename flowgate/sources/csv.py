@@ -43,8 +43,8 @@ def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame
     Line ids grow within a partition, and a file's first block is read by one task, so the smallest id of
     that block is the header.
     """
-    first = lines(spark, root, pattern).where(F.col("block") == 0)
-    return first.groupBy(SOURCE).agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+    first = lines(spark, root, pattern).withColumn("id", F.monotonically_increasing_id()).where(F.col("block") == 0)
+    return first.groupBy(SOURCE).agg(F.min_by("value", "id").alias("header"))
 
 
 def split_fields(line: Column) -> Column:
@@ -78,6 +78,15 @@ def _scan(spark: SparkSession, files: Sequence[str], names: Sequence[str], types
     return reader.csv(list(files)).withColumn(SOURCE, F.col("_metadata.file_path"))
 
 
+def _broken(names: Sequence[str]) -> Column:
+    """True for records that do not fit their header.
+
+    The second test is always met. It refers to a data column, because Spark refuses a raw scan that asks for nothing
+    but the corrupt record.
+    """
+    return F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(f"`{names[0]}`").cast("string")), F.lit(0)) >= 0)
+
+
 def _field_count(record: Column) -> Column:
     return F.size(F.split(record, FIELD_SEPARATOR))
 
@@ -92,7 +101,7 @@ def read_union(spark: SparkSession, root: str, pattern: str = "*.csv", types: Ma
     parts = []
     for names, files in _header_groups(spark, root, pattern).items():
         scanned = _scan(spark, files, names, types or {})
-        broken = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT)) >= len(names))
+        broken = _broken(names) & (_field_count(F.col(CORRUPT)) >= len(names))
         reason = F.concat(F.lit("malformed record in "), F.col(SOURCE), F.lit(": "), F.col(CORRUPT))
         parts.append(scanned.where(F.when(broken, F.raise_error(reason).cast("boolean")).otherwise(F.lit(True))).drop(CORRUPT))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -111,8 +120,8 @@ def validate(spark: SparkSession, root: str, pattern: str = "*.csv") -> tuple[Da
     good, bad = [], []
     for names, files in _header_groups(spark, root, pattern).items():
         scanned = _scan(spark, files, names, {})
-        good.append(scanned.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
-        rejected = scanned.where(F.col(CORRUPT).isNotNull())
+        good.append(scanned.where(~_broken(names)).drop(CORRUPT))
+        rejected = scanned.where(_broken(names))
         bad.append(
             rejected.select(
                 SOURCE, F.col(CORRUPT).alias("record"), F.lit(len(names)).alias("expected_fields"),

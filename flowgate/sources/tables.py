@@ -69,9 +69,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.json") -> DataFrame:
-    """One table from many per-run JSON records below ``path``; an error if there are none."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+def read_runs(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.json", multi_line: bool = True) -> DataFrame:
+    """One table from many per-run JSON records below ``path``; an error if there are none.
+
+    ``multi_line`` reads one formatted record per file, otherwise one record per line.
+    """
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     try:
         out = reader.json(path)
     except AnalysisException as missing:
