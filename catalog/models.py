@@ -285,7 +285,8 @@ def _project_sql(z: str, c: str) -> str:
 
 
 def _pgd_sql(c: str) -> str:
-    start = f"(('0x' || substr({key_sql(ROW, f'314159/{c}')}, 1, 7))::BIGINT / 268435456.0::DOUBLE)"
+    slot = [a.feature for a in ATTACKABLE].index(c)
+    start = f"(('0x' || substr({key_sql(ROW, '314159/0')}, {1 + 7 * slot}, 7))::BIGINT / 268435456.0::DOUBLE)"
     z = f"z_{c} + ({start} * 2 - 1) * e_{c}"
     for _ in range(R.PGD_STEPS):
         z = _project_sql(f"({z}) - e_{c} * 0.25", c)

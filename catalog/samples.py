@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -254,12 +256,10 @@ def _indexed(spark, sf):
     modes = {"l_suppkey": "0", "o_orderpriority": "1-URGENT"}
     model = preprocess.index_categories(rows.where(F.col("split") == "train"), list(modes), modes)
     out = model.transform(preprocess.impute_modes(rows, modes))
-    from pyspark.ml.functions import vector_to_array
-
-    ones = [F.aggregate(vector_to_array(f"{f}_vector"), F.lit(0.0), lambda a, x: a + x) for f in modes]
-    return out.groupBy("split").agg(
-        F.max(F.size(vector_to_array("o_orderpriority_vector"))).alias("priority_width"),
-        *[F.sum(o).cast("bigint").alias(f"known_{f}") for f, o in zip(modes, ones)], F.count(F.lit(1)).alias("rows"),
+    sums = {f: Summarizer.sum(F.col(f"{f}_vector")).alias(f) for f in modes}
+    return out.groupBy("split").agg(*sums.values(), F.count(F.lit(1)).alias("rows")).select(
+        "split", F.size(vector_to_array("o_orderpriority")).alias("priority_width"), "rows",
+        *[F.aggregate(vector_to_array(f), F.lit(0.0), lambda a, x: a + x).cast("bigint").alias(f"known_{f}") for f in modes],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowgate.functions.columns import named
 
 ORDER_DIGITS = 32
+UNIFORM_DIGITS = 7
 
 
 def _marked(columns: Sequence[str]) -> list[Column]:
@@ -46,6 +47,7 @@ def order_key(columns: Sequence[str], seed: object, fast: bool = False) -> Colum
     return F.md5(F.concat_ws("|", *text, F.lit(str(seed))).cast("binary"))
 
 
-def uniform(key: Column) -> Column:
-    """A number in [0, 1) from the first seven hex digits of an order key."""
-    return F.conv(F.substring(key, 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
+def uniform(key: Column, slot: int = 0) -> Column:
+    """A number in [0, 1) from seven hex digits of an order key; each of its four slots gives another one."""
+    digits = F.substring(key, 1 + UNIFORM_DIGITS * slot, UNIFORM_DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**UNIFORM_DIGITS))

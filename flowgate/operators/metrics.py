@@ -58,16 +58,18 @@ def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFra
     return cells.select(F.inline(F.array(row(0, "tn", "fp"), row(1, "fn", "tp"))))
 
 
-def ranking_areas(counted: DataFrame, by: Sequence[str], one_class: float | None = None) -> DataFrame:
-    """ROC AUC and average precision per group from (by…, bin, value, pos, neg), one row per distinct score.
+def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None = None) -> DataFrame:
+    """ROC AUC and average precision per group from rows (by…, bin, value, y).
 
     AUC counts, for each positive, the negatives below it and half of those with the same score. Average
     precision adds the precision at each distinct score, weighted by the gain in recall. Both need running
     counts over the sorted scores; these run inside each bin, on top of the totals of the bins below, so
-    no task orders a whole group.
+    no task orders a whole group. Equal scores collapse map-side.
     """
     by = list(by)
-    per_bin = counted.groupBy(*by, "bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    positive, negative = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
+    counted = binned.groupBy(*by, "bin", "value").agg(positive.alias("pos"), negative.alias("neg"))
+    per_bin = binned.groupBy(*by, "bin").agg(positive.alias("_p"), negative.alias("_n"))
     # One row per group and bin.
     bins = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     below = bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,22 +102,15 @@ def ranking_areas(counted: DataFrame, by: Sequence[str], one_class: float | None
 
 def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, bins: int = 256) -> DataFrame:
     """Exact ROC AUC and average precision of a score column, ties included, per group."""
-    rows = df.select(*[named(b).alias(b) for b in by], named(y).alias("_y"), named(score).cast("double").alias("value"))
-    rows = rows.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
+    rows = df.select(*[named(b).alias(b) for b in by], named(y).alias("y"), named(score).cast("double").alias("value"))
+    rows = rows.where(F.col("value").isNotNull() & F.col("y").isNotNull())
     binned = with_bins(rows, bin_edges(rows, ["value"], bins)).withColumnRenamed("_bin_value", "bin")
-    counted = binned.groupBy(*by, "bin", "value").agg(
-        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
-    )
-    return ranking_areas(counted, by, one_class)
+    return ranking_areas(binned, by, one_class)
 
 
 def univariate_areas(df: DataFrame, features: Sequence[str], label: str, bins: int = 256) -> DataFrame:
     """ROC AUC of each raw numeric feature, all features in one pass; each has its own bins."""
-    values = binned_values(df, features, bins, keep=[named(label).alias("_y")])
-    counted = values.groupBy("feature", "bin", "value").agg(
-        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
-    )
-    return ranking_areas(counted, ["feature"])
+    return ranking_areas(binned_values(df, features, bins, keep=[named(label).alias("y")]), ["feature"])
 
 
 def scored_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), threshold: float = THRESHOLD, one_class: float | None = None) -> DataFrame:

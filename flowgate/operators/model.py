@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgate.functions.columns import named
-from flowgate.functions.keys import order_key, uniform
+from flowgate.functions.keys import order_key
 from flowgate.operators.cuts import find_cuts, segment, totals
-from flowgate.operators.robustness import ATTACKS, ATTACK_SEED, BUDGETS, PGD_STEPS, PGD_STEP_FRACTION, THRESHOLD
+from flowgate.operators.robustness import ATTACKS, ATTACK_SEED, BUDGETS, PGD_STEPS, PGD_STEP_FRACTION, THRESHOLD, random_starts
 
 # Shape and stopping rule of the classifier.
 HIDDEN = (128, 64)
@@ -202,7 +202,7 @@ def attack_network(
                     }
                 )
 
-    starts = F.array(*[uniform(order_key(key, f"{seed}/{i}")) for i in attackable])
+    starts = F.array(*random_starts(key, seed, [f"u{i}" for i in attackable]))
     rows = df.select(named(y).cast("int").alias("y"), vector_to_array(features).alias("x"), starts.alias("u"))
     out = rows.mapInPandas(
         run,

@@ -33,9 +33,10 @@ def with_bins(df: DataFrame, edges: dict[str, list[float]], prefix: str = "_bin_
     splits = [[-INFINITY, *[e for e in edges[c] if abs(e) != INFINITY], INFINITY] for c in columns]
     # Bucketizer wants at least two bins.
     splits = [s if len(s) > 2 else [-INFINITY, 0.0, INFINITY] for s in splits]
-    return Bucketizer(
+    out = Bucketizer(
         splitsArray=splits, inputCols=columns, outputCols=[prefix + c for c in columns], handleInvalid="keep"
     ).transform(df)
+    return out.withColumns({prefix + c: F.col(prefix + c).cast("int") for c in columns})
 
 
 def binned_values(df: DataFrame, columns: Sequence[str], bins: int, keep: Sequence[Column] = ()) -> DataFrame:
@@ -47,7 +48,7 @@ def binned_values(df: DataFrame, columns: Sequence[str], bins: int, keep: Sequen
     binned = with_bins(values, bin_edges(values, short, bins))
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("feature"), F.col("_bin_" + s).cast("int").alias("bin"), F.col(s).alias("value"))
+            F.struct(F.lit(c).alias("feature"), F.col("_bin_" + s).alias("bin"), F.col(s).alias("value"))
             for c, s in zip(columns, short)
         ]
     )

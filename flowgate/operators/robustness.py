@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgate.functions.columns import join_by, named
-from flowgate.functions.keys import order_key, uniform
+from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uniform
 from flowgate.functions.numbers import number, share
 from flowgate.operators.metrics import THRESHOLD, counts, ranking_metrics, rates
 from flowgate.operators.preprocess import Numeric
@@ -157,15 +157,24 @@ def fgsm(origin: Column, epsilon: Column, sign: float, bounds: Range) -> Column:
 def pgd(origin: Column, epsilon: Column, sign: float, bounds: Range, start: Column, steps: int = PGD_STEPS, fraction: float = PGD_STEP_FRACTION) -> Column:
     """Small steps from a random start inside the budget (``start`` in [0, 1)), projected after each.
 
-    The direction never changes. A continuous feature therefore only moves until it meets the edge of its
-    interval: one projected step followed by one projected leap ends where all the steps end. Rounding can hold
-    an integer feature back, so there the steps are taken one by one.
+    The direction never changes, so the way can be cut short. A continuous feature walks until it meets the
+    edge of its interval: after the first projected step, one projected leap over the remaining ones ends at the
+    same value. An integer feature moves by whole units: after two steps (the second settles ties to even) every
+    further one covers the rounded step length, which may be none.
     """
-    first = origin + (start * 2 - 1) * epsilon
     step = epsilon * F.lit(fraction * sign)
-    if not bounds.discrete:
-        return project(project(first - step, origin, epsilon, bounds) - step * (steps - 1), origin, epsilon, bounds)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda z, _: project(z - step, origin, epsilon, bounds))
+    z = project(origin + (start * 2 - 1) * epsilon - step, origin, epsilon, bounds)
+    taken = 1
+    if bounds.discrete and steps > 1:
+        z = project(z - step, origin, epsilon, bounds)
+        step, taken = F.rint(step * F.lit(bounds.numeric.scale)) / F.lit(bounds.numeric.scale), 2
+    return project(z - step * (steps - taken), origin, epsilon, bounds) if steps > taken else z
+
+
+def random_starts(key: Sequence[str], seed: object, names: Sequence[str]) -> list[Column]:
+    """One number in [0, 1) per name from the row key; a hash serves several names with different digits."""
+    per_hash = ORDER_DIGITS // UNIFORM_DIGITS
+    return [uniform(order_key(key, f"{seed}/{i // per_hash}"), i % per_hash).alias(n) for i, n in enumerate(names)]
 
 
 def attack_grid(
@@ -181,7 +190,7 @@ def attack_grid(
     conditions = F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(float(b)).alias("budget")) for a in attacks for b in budgets])
     base = df.select(
         *[named(k) for k in keep], named(y).alias("y"), *[n.scaled().alias(f"_z_{n.name}") for n in numeric],
-        *[uniform(order_key(key, f"{seed}/{f}")).alias(f"_u_{f}") for f in ranges],
+        *random_starts(key, seed, [f"_u_{f}" for f in ranges]),
     )
     rows = base.select("*", F.explode(conditions).alias("_c")).select("*", "_c.attack", "_c.budget").drop("_c")
     moved = {}
