@@ -105,6 +105,9 @@ def find_cuts(rows: DataFrame, targets: Targets, label: str, key: str, weight: s
         step = next((d for d in range(STEP_DIGITS, 1, -1) if 16**d * len(open_cells) <= MAX_CELLS), 1)
         cells = counted(digits, F.substring(k, 1, digits + step), open_cells).collect()
         state, digits, passes = _descend(state, targets, cells), digits + step, passes + 1
+        # Prefixes that did not get longer are whole keys.
+        if all(len(q) < digits for q, _, _, _ in state.values()):
+            break
 
     return {cut: Cut(q, before, w, float(targets[cut])) for cut, (q, before, w, _) in state.items()}
 

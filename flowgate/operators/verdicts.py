@@ -45,7 +45,9 @@ def keep_rows(
     marked = rows.join(F.broadcast(known), on, "left").where(F.col("_known").isNull() | F.col("_known"))
     spread = F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(4096))
     marked = marked.withColumn("_salt", F.when(F.col("_known").isNull(), F.lit(0).cast("bigint")).otherwise(spread))
-    dropped = groups.where(~F.col(keep)).select(on, F.lit(0).cast("bigint").alias("_salt"))
+    # Always 0, but not a literal: the optimizer would take a literal out of the join keys, and the salt with it.
+    unsalted = F.least(F.col(size).cast("bigint"), F.lit(0).cast("bigint"))
+    dropped = groups.where(~F.col(keep)).select(on, unsalted.alias("_salt"))
     return marked.join(dropped, [on, "_salt"], "left_anti").select(*[named(c) for c in rows.columns])
 
 
