@@ -78,7 +78,7 @@ QUERIES["csv_parser_report"] = lambda spark, sf: _kind(C.parser_report(spark, pa
 )
 ORACLE["csv_parser_report"] = f"""WITH {_PACKET_KINDS}, c AS (SELECT event_type AS kind, shard, fields, count(*) AS n FROM lines GROUP BY ALL)
 SELECT kind, shard, 4::INTEGER AS expected_columns, sha256('{HEADER}') AS header_hash, true AS header_matches_canonical, CAST(sum(n) AS BIGINT) AS rows_total,
- CAST(sum(n) FILTER (WHERE fields = 4) AS BIGINT) AS rows_valid, CAST(sum(n) FILTER (WHERE fields <> 4) AS BIGINT) AS rows_invalid,
+ CAST(coalesce(sum(n) FILTER (WHERE fields = 4), 0) AS BIGINT) AS rows_valid, CAST(coalesce(sum(n) FILTER (WHERE fields <> 4), 0) AS BIGINT) AS rows_invalid,
  '{{' || string_agg('"' || fields || '":' || n, ',' ORDER BY fields) || '}}' AS observed_column_counts FROM c GROUP BY kind, shard"""
 
 QUERIES["csv_parser_summary"] = lambda spark, sf: rounded(C.parser_summary(C.parser_report(spark, packet_files(spark, sf), _TXT)))

@@ -124,28 +124,28 @@ def history(spark, sf):
     return table(spark, sf, "orders").groupBy(
         F.col("o_orderstatus").alias("dataset"), F.lit(42).alias("seed"),
         ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")).alias("epoch"),
-    ).agg(F.round(F.avg("o_totalprice"), 2).alias("validation_loss"), F.round(F.min("o_totalprice"), 2).alias("train_loss"))
+    ).agg(F.avg("o_totalprice").alias("validation_loss"), F.min("o_totalprice").alias("train_loss"))
 
 
 _HISTORY = """history AS (SELECT o_orderstatus AS dataset, 42::INTEGER AS seed, CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS INTEGER) AS epoch,
- round(avg(o_totalprice), 2) AS validation_loss, round(min(o_totalprice), 2) AS train_loss FROM orders GROUP BY ALL)"""
+ avg(o_totalprice) AS validation_loss, min(o_totalprice) AS train_loss FROM orders GROUP BY ALL)"""
 
-QUERIES["early_stopping"] = lambda spark, sf: E.early_stopping(history(spark, sf), ["dataset", "seed"]).withColumn(
+QUERIES["early_stopping"] = lambda spark, sf: rounded(E.early_stopping(history(spark, sf), ["dataset", "seed"]).withColumn(
     "without_improvement", F.col("without_improvement").cast("bigint")
-)
+))
 ORACLE["early_stopping"] = f"""WITH {_HISTORY}, b AS (SELECT *, min(validation_loss) OVER w AS prior, row_number() OVER (PARTITION BY dataset ORDER BY epoch) AS i FROM history
  WINDOW w AS (PARTITION BY dataset ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT *, prior IS NULL OR validation_loss < prior AS improved FROM b),
 n AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER r AS best_epoch, min(validation_loss) OVER r AS best_loss,
   i - max(CASE WHEN improved THEN i END) OVER r AS without_improvement FROM m WINDOW r AS (PARTITION BY dataset ORDER BY epoch ROWS UNBOUNDED PRECEDING))
-SELECT dataset, seed, epoch, validation_loss, train_loss, improved, best_epoch, best_loss, without_improvement,
+SELECT dataset, seed, epoch, round(validation_loss, 6) AS validation_loss, train_loss, improved, best_epoch, round(best_loss, 6) AS best_loss, without_improvement,
  coalesce(bool_or(without_improvement >= 3) OVER (PARTITION BY dataset ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after_stop FROM n"""
 
-QUERIES["convergence"] = lambda spark, sf: E.convergence(history(spark, sf), ["dataset", "seed"])
+QUERIES["convergence"] = lambda spark, sf: rounded(E.convergence(history(spark, sf), ["dataset", "seed"]))
 ORACLE["convergence"] = f"""WITH {_HISTORY}, b AS (SELECT dataset, seed, min(validation_loss) AS best_validation_loss, max(epoch) AS epochs_executed,
  max_by(train_loss, epoch) AS final_train_loss, max_by(validation_loss, epoch) AS final_validation_loss FROM history GROUP BY dataset, seed),
 e AS (SELECT b.*, (SELECT min(epoch) FROM history h WHERE h.dataset = b.dataset AND h.validation_loss = b.best_validation_loss) AS best_epoch FROM b)
-SELECT *, best_epoch = epochs_executed AS possible_epoch_cap_truncation FROM e"""
+SELECT * REPLACE (round(best_validation_loss, 6) AS best_validation_loss, round(final_validation_loss, 6) AS final_validation_loss), best_epoch = epochs_executed AS possible_epoch_cap_truncation FROM e"""
 
 # ---------------------------------------------------------------- leakage
 
