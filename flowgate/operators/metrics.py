@@ -67,7 +67,10 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
     no task orders a whole group. Equal scores collapse map-side.
     """
     by = list(by)
-    positive, negative = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
+    # A missing score counts nothing. It is not filtered out, because a filter on a computed score would make
+    # the optimizer compute the score once more below it.
+    scored = F.col("value").isNotNull()
+    positive, negative = F.count_if(scored & (F.col("y") == 1)), F.count_if(scored & (F.col("y") == 0))
     counted = binned.groupBy(*by, "bin", "value").agg(positive.alias("pos"), negative.alias("neg"))
     per_bin = binned.groupBy(*by, "bin").agg(positive.alias("_p"), negative.alias("_n"))
     # One row per group and bin.
@@ -88,7 +91,7 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
     fp = (F.col("N") - F.col("n_below") - F.col("n_run") + F.col("neg")).cast("double")
     summed = placed.groupBy(*by).agg(
         F.sum(pos * (n_before + neg / 2)).alias("_wins"),
-        F.sum(pos * tp / (tp + fp)).alias("_precision"),
+        F.sum(pos * share(tp, tp + fp)).alias("_precision"),
         F.max("P").alias("_p"), F.max("N").alias("_n"),
     )
     both = (F.col("_p") > 0) & (F.col("_n") > 0)
@@ -103,7 +106,6 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
 def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, bins: int = 256) -> DataFrame:
     """Exact ROC AUC and average precision of a score column, ties included, per group."""
     rows = df.select(*[named(b).alias(b) for b in by], named(y).alias("y"), named(score).cast("double").alias("value"))
-    rows = rows.where(F.col("value").isNotNull() & F.col("y").isNotNull())
     binned = with_bins(rows, bin_edges(rows, ["value"], bins)).withColumnRenamed("_bin_value", "bin")
     return ranking_areas(binned, by, one_class)
 

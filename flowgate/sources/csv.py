@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgate.functions.numbers import share
+from flowgate.staging import stage
 
 CORRUPT = "_corrupt_record"
 SOURCE = "source_file"
@@ -134,9 +135,9 @@ def validate(spark: SparkSession, root: str, pattern: str = "*.csv") -> tuple[Da
 
 
 def _data_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Data lines with their field count and their file's header. One header per file, so that side is small;
-    the planner sees its size and decides how to join."""
-    heads = headers(spark, root, pattern).select(SOURCE, "header", F.size(split_fields(F.col("header"))).alias("expected_columns"))
+    """Data lines with their file's header. The headers are staged, one row per file, so the planner knows
+    their size and decides how to join."""
+    heads = stage(headers(spark, root, pattern).select(SOURCE, "header", F.size(split_fields(F.col("header"))).alias("expected_columns")))
     body = lines(spark, root, pattern).where(F.length("value") > 0)
     return body.join(heads, SOURCE).where(~((F.col("block") == 0) & (F.col("value") == F.col("header"))))
 

@@ -273,3 +273,9 @@ def test_proxy_flag(spark):
     out = {r.feature: r for r in leakage.univariate_leakage(df, ["tell", "fair", "text"], "y").collect()}
     assert out["tell"].status == "POTENTIAL_PROXY" and out["tell"].univariate_auc == 1.0
     assert out["fair"].status == "NORMAL" and out["text"].univariate_auc is None
+
+
+def test_missing_scores_are_left_out_of_the_ranking(spark):
+    df = spark.createDataFrame([(0, .1), (1, .9), (1, None), (0, None), (None, .5)], "y int, score double")
+    assert one(metrics.ranking_metrics(df)) == (1.0, 1.0)
+    assert one(metrics.ranking_metrics(df.where("score is null"))) == (None, None)
