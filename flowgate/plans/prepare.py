@@ -11,6 +11,7 @@ from flowgate.functions.columns import named
 from flowgate.functions.labels import binary_label
 from flowgate.operators.sampling import RATIOS, SEED, split_rows, stratified_sample
 from flowgate.sources.tables import write_splits
+from flowgate.staging import stage
 
 TARGET = "binary_target"
 
@@ -19,9 +20,12 @@ def prepare(
     df: DataFrame, target: str, benign: Iterable[object], max_rows: int | None, seed: object = SEED,
     ratios: Sequence[float] = RATIOS, key: Sequence[str] | None = None, path: str | None = None,
 ) -> DataFrame:
-    """Label, draw a stratified sample, split by row; written by split when a path is given."""
+    """Label, draw a stratified sample, split by row; written by split when a path is given.
+
+    The sample feeds several passes of the split and is staged once.
+    """
     labelled = df.withColumn(TARGET, binary_label(named(target), benign))
-    sample = stratified_sample(labelled, TARGET, max_rows, seed, key)
+    sample = stage(stratified_sample(labelled, TARGET, max_rows, seed, key))
     out = split_rows(sample, TARGET, seed, ratios, key)
     return write_splits(out, path) if path else out
 
