@@ -59,16 +59,17 @@ def drop_conflicts(df: DataFrame, features: list[str], label: str, **limits: int
 
 
 def keep_listed(rows: DataFrame, listed: DataFrame, on: list[str], max_broadcast: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Rows whose key occurs in a stored key list.
+    """Rows whose key occurs in a stored key list; a missing value matches a missing one.
 
     A short list is broadcast after it has been counted. Past that bound both sides are grouped first, so
     that a hot key is judged once, and the verdicts go through ``keep_rows``.
     """
-    keys = stage(listed.select(*on).distinct())
-    if keys.count() <= max_broadcast:
-        return rows.join(F.broadcast(keys), on, "left_semi").select(*[named(c) for c in rows.columns])
+    # Equal values hash alike only in equal types.
+    typed = listed.select(*[named(c).cast(rows.schema[c].dataType).alias(c) for c in on])
+    keys = stage(typed.select(vector_key(on).alias("_key")).distinct())
     tagged = rows.withColumn("_key", vector_key(on))
+    if keys.count() <= max_broadcast:
+        return tagged.join(F.broadcast(keys), "_key", "left_semi").select(*[named(c) for c in rows.columns])
     sizes = tagged.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    wanted = keys.select(vector_key(on).alias("_key"), F.lit(True).alias("_listed"))
-    groups = sizes.join(wanted, "_key", "left").withColumn("_keep", F.col("_listed").isNotNull())
+    groups = sizes.join(keys.withColumn("_listed", F.lit(True)), "_key", "left").withColumn("_keep", F.col("_listed").isNotNull())
     return keep_rows(tagged, groups, "_key", "_keep", "n", max_broadcast).drop("_key")

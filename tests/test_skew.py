@@ -49,7 +49,7 @@ def test_hot_rows_do_not_meet_in_one_task(spark, hot):
 @pytest.mark.parametrize("listed", [3, 400])
 def test_listed_rows_whichever_join(spark, hot, listed):
     keys = spark.range(listed).select(F.col("id").cast("int").alias("k"))
-    rows = hot.select(F.col("k").cast("int").alias("k"), "y")
+    rows = hot.select("k", "y")
     wanted = [r for r in rows_of(rows) if r[0] < listed]
     assert rows_of(verdicts.keep_listed(rows, keys, ["k"])) == wanted
     assert rows_of(verdicts.keep_listed(rows, keys, ["k"], max_broadcast=0)) == wanted
@@ -142,3 +142,10 @@ def test_missing_labels_are_a_label_of_their_own(spark):
     groups = duplicates.vector_groups(df, ["k"], "y", exact_key=True)
     assert {r.k: r.labels for r in duplicates.vector_labels(groups).collect()} == {1: [0, None], 2: [None], 3: [1]}
     assert duplicates.duplicate_audit(groups).first().cross_label_duplicate_groups == 1
+
+
+def test_listed_missing_keys_match_whichever_join(spark):
+    rows = spark.createDataFrame([(1, 7), (None, 8), (2, 9)], "k int, v int")
+    keys = spark.createDataFrame([(None,), (2,)], "k bigint")
+    for limit in (10, 0):
+        assert sorted(r.v for r in verdicts.keep_listed(rows, keys, ["k"], max_broadcast=limit).collect()) == [8, 9]
