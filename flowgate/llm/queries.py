@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowgate.llm import packing, simhash, tokens
+from flowgate.llm import decontam, packing, sharding, simhash, suffixes, tokens
 from flowgate.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_token_counts(spark, sf):
     return tokens.token_counts(table(spark, sf, "documents"))
 
 
+def op2_decontaminate(spark, sf):
+    return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("runs", "items")
+
+
+def op3_suffix_dedup(spark, sf):
+    return suffixes.dedup(table(spark, sf, "documents")).drop("kept")
+
+
 def op4_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), keep_ids=False).drop("ids")
 
@@ -18,5 +26,9 @@ def op7_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op7_simhash)}
+def op8_sharding(spark, sf):
+    return sharding.shard(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op7_simhash, op8_sharding)}
 ORACLE: dict[str, str] = {}
