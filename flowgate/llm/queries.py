@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowgate.llm import decontam, packing, sharding, simhash, suffixes, tokens
+from flowgate.llm import decontam, packing, quality, sharding, simhash, suffixes, tokens, toxicity
 from flowgate.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), keep_ids=False).drop("ids")
 
 
+def op6_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
@@ -30,5 +34,9 @@ def op8_sharding(spark, sf):
     return sharding.shard(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op7_simhash, op8_sharding)}
+def op9_toxicity(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("passages", "surprise")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op6_quality, op7_simhash, op8_sharding, op9_toxicity)}
 ORACLE: dict[str, str] = {}
