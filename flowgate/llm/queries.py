@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowgate.llm import decontam, packing, quality, sharding, simhash, suffixes, tokens, toxicity
+from flowgate.llm import decontam, packing, pagetext, quality, sharding, simhash, suffixes, tokens, toxicity, warc
 from flowgate.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), keep_ids=False).drop("ids")
 
 
+def op5_warc_index(spark, sf):
+    return warc.archive(table(spark, sf, "pages")).drop("run")
+
+
 def op6_quality(spark, sf):
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -38,5 +42,14 @@ def op9_toxicity(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("passages", "surprise")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op6_quality, op7_simhash, op8_sharding, op9_toxicity)}
+def op10_page_text(spark, sf):
+    return pagetext.main_text(table(spark, sf, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op5_warc_index, op6_quality, op7_simhash, op8_sharding, op9_toxicity, op10_page_text,
+    )
+}
 ORACLE: dict[str, str] = {}

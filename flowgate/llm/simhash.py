@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgate.llm.common import text_key, with_fields
+from flowgate.llm.common import fresh, text_key, with_fields
 from flowgate.llm.components import components
 from flowgate.staging import stage
 
@@ -67,9 +67,9 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row, the fingerprint as a signed 64-bit integer."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return with_fields(rows, "text", lambda texts: [[_signed(fingerprint(t)) for t in texts]], [("fp", "long")]).select("doc_id", "fp")
+    """(doc_id, content, fp) for every row: 64 bits that name the text, and the fingerprint as a signed 64-bit integer."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_key(text_col), F.lit(0)).alias("content"), F.col(text_col).alias("text"))
+    return with_fields(rows, "text", lambda texts: [[_signed(fingerprint(t)) for t in texts]], [("fp", "long")]).drop("text")
 
 
 def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -152,6 +152,13 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_postings, "a long, b long")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, component) for every distinct ``fp``: the smallest fingerprint of its component."""
+    distinct = stage(rows.select("fp").distinct())
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -159,10 +166,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the row's own included. Null, empty and wordless texts have fingerprint zero and are linked like any other. A null id stays
     null and never names a component (a component of null ids only is null). Repeated rows are kept. Other columns are ignored.
     """
-    rows = stage(fingerprints(docs, id_col, text_col))
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
+    rows = stage(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    placed = stage(_classes(rows).join(least, "fp"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = placed.join(named, "component").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, all columns as they are: that with the smallest id (null ids last).
+
+    Of rows with one id, that with the smallest hash of its text stays; of rows equal in both, any one.
+    """
+    rows = stage(fingerprints(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content"))
+    # many copies of one text are one row per task before they are shuffled
+    best = rows.groupBy("fp").agg(first.alias("first")).join(_classes(rows), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    key, content, d, c = fresh(docs, "row_id", "content", "chosen_id", "chosen_content")
+    chosen = stage(best.select(F.col("first.doc_id").alias(d), F.col("first.content").alias(c)))
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"), content: F.coalesce(text_key(text_col), F.lit(0))})
+    same = F.col(key).eqNullSafe(F.col(d)) & (F.col(content) == F.col(c))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates([key, content]).drop(key, content)
