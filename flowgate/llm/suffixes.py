@@ -340,13 +340,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A text without repeats stays as it is, null included.
     """
     joined, spans = _with_spans(docs, id_col, text_col, batches, many)
+    names = docs.columns
 
     def rows(batches):
         for batch in slices(batches, text_col):
             texts = []
             for text, found in zip(batch.column(text_col).to_pylist(), batch.column(spans).to_pylist(), strict=True):
                 texts.append(_without(text.encode(), _merged(found)).decode(errors="ignore") if found else text)
-            columns = [pa.array(texts, type=batch.column(n).type) if n == text_col else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, type=batch.column(n).type) if n == text_col else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(rows, docs.schema)
