@@ -10,8 +10,8 @@ beginnings that occur there too, then it becomes a level itself; two levels of e
 the next rank, so there are at most log2(batches) + 1 levels, and an entry is rewritten as many times.
 
 What the scans find is settled exactly: equal surroundings are counted by 128-bit fingerprints, and anchors whose surroundings
-differ are compared byte by byte, to the left and to the right. A beginning with very many different
-surroundings is settled string by string, spread over all tasks, so no group meets in one place.
+differ are compared with each other, to the left and to the right. A beginning with very many different
+surroundings is settled string by string, spread over all tasks, so no group of any size meets in one place.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from flowgate.staging import stage, stage_path
 LENGTH = 400
 PREFIX = 100
 BATCHES = 4
-MANY = 256  # different surroundings of one beginning that are compared in one task
+MANY = 8192  # different surroundings of one beginning that are compared in one task, some 6 MB
+FEW = 48  # up to so many are compared in pairs, byte by byte; more of them by the fingerprints of their strings
 CHUNK = 1 << 18  # string starts worked on at once, however long a text is
 
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses modulo 2**64
@@ -188,6 +189,8 @@ def _differences(pieces: list[bytes]) -> np.ndarray:
 
 def settle(group: list[tuple]) -> list[tuple]:
     """Repeated bytes around one anchor of each single entry (single, doc_id, content, pos, before, context) of one beginning."""
+    if len(group) > FEW:
+        return _settle_by_strings(group)
     left = _differences([c[:b][::-1] for *_, b, c in group])
     right = _differences([c[b:] for *_, b, c in group])
     spans = []
@@ -203,6 +206,29 @@ def settle(group: list[tuple]) -> list[tuple]:
     return spans
 
 
+def _own_strings(before: int, context: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every string that an entry owns the distance to the anchor and two fingerprints."""
+    data = np.frombuffer(context, dtype=np.uint8)
+    starts = np.arange(len(data) - LENGTH + 1)
+    return before - starts, *(_strings(_prefix_sums(data, w), starts, starts + LENGTH, w) for w in (0, 1))
+
+
+def _settle_by_strings(group: list[tuple]) -> list[tuple]:
+    own = [_own_strings(before, context) for *_, before, context in group]
+    entry = np.repeat(np.arange(len(group)), [len(x) for x, _, _ in own])
+    x, first, second = (np.concatenate([o[i] for o in own]) for i in range(3))
+    order = np.argsort(first, kind="stable")
+    same = (x[order][1:] == x[order][:-1]) & (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    twice = np.zeros(len(x), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    entry, x = entry[twice], x[twice]
+    most, least = np.full(len(group), -1), np.full(len(group), LENGTH)
+    np.maximum.at(most, entry, x)
+    np.minimum.at(least, entry, x)
+    return [(doc, content, pos - int(most[i]), pos - int(least[i]) + LENGTH) for i, (single, doc, content, pos, _, _) in enumerate(group) if single and most[i] >= 0]
+
+
 def _settle_sorted(batches):
     key, group, spans = None, [], []
     for batch in batches:
@@ -227,13 +253,11 @@ def _all_strings(batches):
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "doc_id", "content", "pos", "before", "context")), strict=True):
             key, single, doc, content, pos, before, context = row
-            data = np.frombuffer(context, dtype=np.uint8)
-            starts = np.arange(len(data) - LENGTH + 1)
-            n = len(starts)
-            hashes = [_strings(_prefix_sums(data, w), starts, starts + LENGTH, w).view(np.int64) for w in (0, 1)]
+            x, *hashes = _own_strings(before, context)
+            n = len(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, key)), pa.array([single] * n, type=pa.bool_()), pa.array([doc] * n, type=pa.int64()), pa.array(np.full(n, content)),
-                 pa.array(np.full(n, pos, dtype=np.int32)), pa.array((before - starts).astype(np.int32)), *map(pa.array, hashes)],
+                 pa.array(np.full(n, pos, dtype=np.int32)), pa.array(x.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
                 names=[f.split()[0] for f in _STRINGS.split(", ")],
             )
 
@@ -252,8 +276,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY) ->
     for b in range(batches):
         matches = family.add(anchors.where(F.col("batch") == b))
         found = matches if found is None else found.union(matches)
-    repeated = found.groupBy("key").agg(F.max("n").alias("n"))
-    candidates = stage(anchors.drop("batch").join(repeated.select("key"), "key"))
+    # a written table, so that the join may split the rows of a frequent key
+    repeated = stage(found.select("key").distinct())
+    candidates = stage(anchors.drop("batch").join(repeated, "key"))
 
     same = ["key", "c1", "c2", "before", "after"]
     classes = stage(candidates.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "content", "pos")).alias("one")))

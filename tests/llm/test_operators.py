@@ -184,7 +184,7 @@ def test_repeated_strings(odd, none, limit):
 
 
 def test_crowded_beginnings(spark):
-    """One passage in very many different surroundings, and near copies of one text."""
+    """One passage in very many different surroundings, and near copies of one text, in each of the three ways."""
     r = random.Random(8)
     texts = [(i, prose(r.randint(5, 90), 100 + i) + PASSAGE + prose(r.randint(5, 90), 900 + i)) for i in range(60)]
     base = prose(400, 77).split()
@@ -194,8 +194,10 @@ def test_crowded_beginnings(spark):
             copy[r.randrange(400)] = f"q{r.randint(0, 99)}"
         texts.append((i, " ".join(copy)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for limit in (suffixes.MANY, 5):
+    for limit, few in ((suffixes.MANY, 1000), (suffixes.MANY, 5), (5, 5)):
+        suffixes.FEW, kept = few, suffixes.FEW
         assert many(suffixes.dedup(df, many=limit).drop("kept")) == plain_removal(texts)
+        suffixes.FEW = kept
 
 
 def test_levels_grow_geometrically(spark):

@@ -310,3 +310,20 @@ def test_damaged_archives_raise():
 
 def test_digest_of_items():
     assert decontam.items_digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+def test_both_ways_to_settle_agree(monkeypatch):
+    rng = random.Random(29)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(450))
+    entries: dict = {}
+    for doc in range(40):
+        head, tail = (bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        data = head + passage[rng.randint(0, 30) : rng.randint(415, 450)] + tail
+        pos, before, after, key, *_ = suffixes.anchors_of(data)
+        for p, b, a, k in zip(pos.tolist(), before.tolist(), after.tolist(), key.tolist(), strict=True):
+            entries.setdefault(k, []).append((True, doc, 0, p, b, data[p - b : p + a]))
+    found = []
+    for few in (1000, 1):
+        monkeypatch.setattr(suffixes, "FEW", few)
+        found.append(sorted(s for group in entries.values() if len(group) > 1 for s in suffixes.settle(group)))
+    assert found[0] == found[1] and len(found[0]) > 10
