@@ -26,8 +26,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def key_sql(columns: Sequence[str], seed: object, prefix: str = "") -> str:
-    """SQL text of ``order_key``."""
-    parts = ", ".join(f"coalesce(CAST({prefix}{c} AS VARCHAR), '<null>')" for c in columns)
+    """SQL text of ``order_key`` for columns without negative zeros."""
+    parts = ", ".join(f"coalesce(replace(replace(CAST({prefix}{c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '\\N')" for c in columns)
     return f"md5(concat_ws('|', {parts}, '{seed}'))"
 
 

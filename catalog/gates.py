@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import Query, rounded, table
+from catalog.base import VECTOR, Query, rounded, table
 from catalog.models import CLEAN_RUNS, RUNS, clean_runs_sql, attack_runs, clean_runs, runs_sql
+from flowgate.operators import leakage as L
 from flowgate.operators import robustness as R
 from flowgate.plans import gate as G
 from flowgate.plans import report
@@ -34,12 +35,37 @@ _WORST = _RUNS + """, first_run AS (SELECT dataset, seed, attack_recall + clean_
 QUERIES["gate_worst_case"] = lambda spark, sf: rounded(G.worst_cases(runs(spark, sf)))
 ORACLE["gate_worst_case"] = _WORST + ' SELECT dataset, seed, round(clean_attack_recall, 6) AS clean_attack_recall, round(worst_adv_attack_recall, 6) AS worst_adv_attack_recall, round("max_ASR", 6) AS "max_ASR", round(max_recall_drop, 6) AS max_recall_drop, semantic_violations, conditions FROM worst'
 
+
+def evidence(spark, sf):
+    """The split audit of each dataset: one is split by a part of the vector, so that no vector is on both sides, the other by supplier."""
+    rows = table(spark, sf, "lineitem")
+
+    def audited(dataset, column):
+        split = rows.withColumn("split", F.when(F.col(column) % 5 == 0, "test").otherwise("train"))
+        return L.split_audit(split, VECTOR, VECTOR, ["l_returnflag"]).select(
+            F.lit(dataset).alias("dataset"), F.col("overlap_train_test").alias("fingerprint_overlap"), (F.size("forbidden_features") > 0).alias("confirmed_leakage")
+        )
+
+    return audited("F", "l_linenumber").unionByName(audited("O", "l_suppkey"))
+
+
+def worst(spark, sf, table_=None):
+    return G.worst_cases(runs(spark, sf) if table_ is None else table_).join(evidence(spark, sf), "dataset")
+
+
+def _overlap_sql(dataset: str, column: str) -> str:
+    return f"""SELECT '{dataset}' AS dataset, (SELECT count(*) FROM (SELECT {', '.join(VECTOR)} FROM lineitem GROUP BY ALL
+ HAVING bool_or({column} % 5 = 0) AND bool_or({column} % 5 <> 0))) AS fingerprint_overlap, false AS confirmed_leakage"""
+
+
+_JUDGED = _WORST + f", evidence AS ({_overlap_sql('F', 'l_linenumber')} UNION ALL {_overlap_sql('O', 'l_suppkey')}), judged AS (SELECT * FROM worst JOIN evidence USING (dataset))"
+
 # Tighter limits than the default, so that runs of this table fall on both sides.
 POLICY = {**G.POLICY, "thresholds": {"clean_attack_recall_min": 0.9395, "robust_attack_recall_min": 0.90, "attack_success_rate_max": 0.05, "attack_recall_drop_max": 0.042}}
 
 
 def decided(spark, sf):
-    return G.decisions(G.worst_cases(runs(spark, sf)), POLICY, confounded=["F"])
+    return G.decisions(worst(spark, sf), POLICY, confounded=["F"])
 
 
 def _codes_sql(t: dict) -> str:
@@ -47,25 +73,25 @@ def _codes_sql(t: dict) -> str:
  CASE WHEN NOT worst_adv_attack_recall >= {t['robust_attack_recall_min']} THEN 'BLOCK_LOW_ROBUST_RECALL' END,
  CASE WHEN NOT "max_ASR" <= {t['attack_success_rate_max']} THEN 'BLOCK_HIGH_ATTACK_SUCCESS_RATE' END,
  CASE WHEN NOT max_recall_drop <= {t['attack_recall_drop_max']} THEN 'BLOCK_EXCESSIVE_RECALL_DROP' END,
- CASE WHEN NOT (semantic_violations = 0 AND conditions = 6) THEN 'BLOCK_ARTIFACT_INTEGRITY' END)"""
+ CASE WHEN NOT (semantic_violations = 0 AND conditions = 6 AND fingerprint_overlap = 0 AND NOT confirmed_leakage) THEN 'BLOCK_ARTIFACT_INTEGRITY' END)"""
 
 
-_DECIDED = _WORST + f""", coded AS (SELECT *, {_codes_sql(POLICY['thresholds'])} AS failed_criteria FROM worst),
+_DECIDED = _JUDGED + f""", coded AS (SELECT *, {_codes_sql(POLICY['thresholds'])} AS failed_criteria FROM judged),
  decided AS (SELECT dataset, seed, CASE WHEN failed_criteria = '' THEN 'PASS' ELSE 'BLOCK' END AS decision, clean_attack_recall,
  worst_adv_attack_recall, "max_ASR", max_recall_drop, semantic_violations,
  CASE WHEN dataset = 'F' THEN 'NO_DIRECT_LEAKAGE_WITH_DATASET_CONFOUNDING' ELSE 'NO_EVIDENCE_OF_LEAKAGE' END AS leakage_status, failed_criteria,
- CASE WHEN dataset = 'F' THEN 'WARNING_DATASET_CONFOUNDING' ELSE '' END AS warnings, 'projected-evasion-ids-v1' AS policy_id,
+ CASE WHEN dataset = 'F' THEN 'WARNING_DATASET_CONFOUNDING' ELSE '' END AS warnings, 'default' AS policy_id,
  sha256('{G.policy_digest(POLICY)}') AS policy_hash, CASE WHEN failed_criteria = '' THEN 'PASS_ALL_CRITERIA' ELSE failed_criteria END AS reason_codes FROM coded)"""
 
 QUERIES["gate_decisions"] = lambda spark, sf: rounded(decided(spark, sf)).withColumn("reason_codes", F.array_join("reason_codes", ";"))
 ORACLE["gate_decisions"] = _DECIDED + """ SELECT * REPLACE (round(clean_attack_recall, 6) AS clean_attack_recall, round(worst_adv_attack_recall, 6) AS worst_adv_attack_recall,
  round("max_ASR", 6) AS "max_ASR", round(max_recall_drop, 6) AS max_recall_drop) FROM decided"""
 
-QUERIES["gate_sensitivity"] = lambda spark, sf: G.sensitivity(G.worst_cases(runs(spark, sf)), POLICY, (0.90, 0.905, 0.91), (0.03, 0.035, 0.04))
-ORACLE["gate_sensitivity"] = _WORST + ", t AS (SELECT r.v::DOUBLE AS robust_attack_recall_min, a.v::DOUBLE AS attack_success_rate_max FROM (VALUES (0.90), (0.905), (0.91)) r(v), (VALUES (0.03), (0.035), (0.04)) a(v))" + f"""
+QUERIES["gate_sensitivity"] = lambda spark, sf: G.sensitivity(worst(spark, sf), POLICY, (0.90, 0.905, 0.91), (0.03, 0.035, 0.04))
+ORACLE["gate_sensitivity"] = _JUDGED + ", t AS (SELECT r.v::DOUBLE AS robust_attack_recall_min, a.v::DOUBLE AS attack_success_rate_max FROM (VALUES (0.90), (0.905), (0.91)) r(v), (VALUES (0.03), (0.035), (0.04)) a(v))" + f"""
 SELECT robust_attack_recall_min, attack_success_rate_max, 'validation_only' AS calibration_source,
  count(*) FILTER (WHERE clean_attack_recall >= {POLICY['thresholds']['clean_attack_recall_min']} AND worst_adv_attack_recall >= robust_attack_recall_min AND "max_ASR" <= attack_success_rate_max
-  AND max_recall_drop <= {POLICY['thresholds']['attack_recall_drop_max']} AND semantic_violations = 0 AND conditions = 6) AS models_passed FROM worst, t GROUP BY ALL"""
+  AND max_recall_drop <= {POLICY['thresholds']['attack_recall_drop_max']} AND semantic_violations = 0 AND conditions = 6 AND fingerprint_overlap = 0 AND NOT confirmed_leakage) AS models_passed FROM judged, t GROUP BY ALL"""
 
 QUERIES["decision_stability"] = lambda spark, sf: rounded(G.stability(decided(spark, sf)))
 ORACLE["decision_stability"] = _DECIDED + """, s AS (SELECT dataset, count(*) FILTER (WHERE decision = 'PASS') AS "PASS_seeds", count(*) FILTER (WHERE decision = 'BLOCK') AS "BLOCK_seeds",
@@ -133,7 +159,7 @@ ORACLE["worst_case_table"] = _RUNS + _WORST_ROWS + " SELECT * REPLACE (" + ", ".
 
 def _gate_table(spark, sf):
     table_ = runs(spark, sf)
-    judged = G.decisions(G.worst_cases(table_), POLICY, confounded=["F"])
+    judged = G.decisions(worst(spark, sf, table_), POLICY, confounded=["F"])
     return rounded(report.gate_table(judged, report.worst_case_table(table_))).select("dataset", "seed", "decision", "worst_adv_attack_recall", "robustness_gap")
 
 

@@ -36,15 +36,27 @@ def vector_key(columns: Sequence[str]) -> Column:
 def order_key(columns: Sequence[str], seed: object, fast: bool = False) -> Column:
     """A repeatable pseudo-random order: 32 hex digits that depend on the columns and the seed only.
 
-    The default is an md5 over the text form, which any SQL engine reproduces. ``fast`` takes two 64-bit
-    hashes instead, several times cheaper per row.
+    The default is an md5 over the text form, which any SQL engine reproduces; equal keys mean equal values, as a
+    grouping sees them. ``fast`` takes two 64-bit hashes instead, several times cheaper per row.
     """
     if fast:
         parts = [F.lit(str(seed)), *_marked(columns)]
         halves = [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
         return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
-    text = [F.coalesce(named(c).cast("string"), F.lit("<null>")) for c in columns]
-    return F.md5(F.concat_ws("|", *text, F.lit(str(seed))).cast("binary"))
+    return F.md5(F.concat_ws("|", *[_text(c) for c in columns], F.lit(str(seed))).cast("binary"))
+
+
+def _text(column: str) -> Column:
+    """A value as text that differs wherever a grouping tells values apart, and only there.
+
+    Backslashes and separators inside a value are escaped and a missing value has a mark of its own, so neighbouring
+    columns cannot be confused. Both zeros are one value.
+    """
+    c = named(column)
+    plain = c.cast("string")
+    plain = F.when(F.typeof(c).isin("double", "float") & (plain == "-0.0"), "0.0").otherwise(plain)
+    escaped = F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(escaped, F.lit("\\N"))
 
 
 def uniform(key: Column, slot: int = 0) -> Column:

@@ -39,6 +39,11 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(INFINITY)), x)
 
 
+def measured(c: Column) -> Column:
+    """The value as double; NaN, which would be the largest of all, becomes missing."""
+    return F.nanvl(number(c), F.lit(None).cast("double"))
+
+
 def is_positive_infinity(c: Column) -> Column:
     return number(c) == F.lit(INFINITY)
 

@@ -43,6 +43,11 @@ def rates(prefix: str = "") -> dict[str, Column]:
     }
 
 
+def predicted(score: Column, threshold: float) -> Column:
+    """1 from the threshold on. Spark orders NaN above every number, so it is tested for by itself."""
+    return ((score >= F.lit(threshold)) & ~F.isnan(score)).cast("int")
+
+
 def binary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """Counts and rates per group, in one aggregate."""
     out = df.groupBy(*[named(b) for b in by]).agg(*counts(named(y), named(pred)))
@@ -116,8 +121,8 @@ def univariate_areas(df: DataFrame, features: Sequence[str], label: str, bins: i
 
 
 def scored_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), threshold: float = THRESHOLD, one_class: float | None = None) -> DataFrame:
-    """All metrics of a scored table: the prediction is score >= threshold."""
-    decided = df.withColumn("pred", (named(score) >= F.lit(threshold)).cast("int"))
+    """All metrics of a scored table: the prediction is score >= threshold; a NaN score is never predicted 1."""
+    decided = df.withColumn("pred", predicted(named(score), threshold))
     keys = list(by) or ["_one"]
     decided = decided if by else decided.withColumn("_one", F.lit(1))
     ranked = ranking_metrics(decided, y, score, keys, one_class)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from flowgate.functions.columns import named
 from flowgate.functions.keys import order_key
 from flowgate.operators.cuts import find_cuts, segment, totals
+from flowgate.operators.metrics import predicted
 from flowgate.operators.robustness import ATTACKS, ATTACK_SEED, BUDGETS, PGD_STEPS, PGD_STEP_FRACTION, THRESHOLD, random_starts
 
 # Shape and stopping rule of the classifier.
@@ -37,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def score(model, df: DataFrame, keep: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """Kept columns with the score P(class 1) and the prediction score >= threshold."""
     out = model.transform(df).select(*[named(k) for k in keep], vector_to_array("probability")[1].alias("score"))
-    return out.withColumn("pred", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn("pred", predicted(F.col("score"), threshold))
 
 
 def log_loss(model, df: DataFrame, label: str) -> float:
@@ -209,5 +210,5 @@ def attack_network(
         "y int, attack string, budget double, clean_score double, score double, linf double, l2 double, changed bigint, violations bigint",
     )
     return out.withColumns(
-        {"clean_pred": (F.col("clean_score") >= threshold).cast("int"), "pred": (F.col("score") >= threshold).cast("int")}
+        {"clean_pred": predicted(F.col("clean_score"), threshold), "pred": predicted(F.col("score"), threshold)}
     )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from flowgate.functions.columns import join_by, named
 from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uniform
-from flowgate.functions.numbers import number, share
-from flowgate.operators.metrics import THRESHOLD, counts, ranking_metrics, rates
+from flowgate.functions.numbers import measured, share
+from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_metrics, rates
 from flowgate.operators.preprocess import Numeric
 
 # Conditions of the grid and shape of the iterated attack.
@@ -91,7 +91,7 @@ def attack_map(train: DataFrame, features: Sequence[str], numeric: Sequence[str]
     """
     known, wanted = {a.feature: a for a in attackable}, set(numeric)
     ranges = [c for i, f in enumerate(features) if f in wanted
-              for c in (F.min(number(named(f))).alias(f"lo{i}"), F.max(number(named(f))).alias(f"hi{i}"))]
+              for c in (F.min(measured(named(f))).alias(f"lo{i}"), F.max(measured(named(f))).alias(f"hi{i}"))]
     rows = []
     for i, f in enumerate(features):
         a = known.get(f)
@@ -123,8 +123,8 @@ def attack_map_counts(mapped: DataFrame) -> DataFrame:
 def fit_ranges(train: DataFrame, numeric: Sequence[Numeric], discrete: Sequence[str] = ()) -> dict[str, Range]:
     """Training minimum and maximum of the attackable features: one row of parameters."""
     one = train.agg(
-        *[F.min(number(named(n.name))).alias(f"lo{i}") for i, n in enumerate(numeric)],
-        *[F.max(number(named(n.name))).alias(f"hi{i}") for i, n in enumerate(numeric)],
+        *[F.min(measured(named(n.name))).alias(f"lo{i}") for i, n in enumerate(numeric)],
+        *[F.max(measured(named(n.name))).alias(f"hi{i}") for i, n in enumerate(numeric)],
     ).first()
     return {n.name: Range(n, one[f"lo{i}"], one[f"hi{i}"], n.name in set(discrete)) for i, n in enumerate(numeric)}
 
@@ -217,7 +217,7 @@ def attack_grid(
         *[named(f"_a_{f}").alias(f"adv_{f}") for f in ranges],
     )
     return scored.withColumns(
-        {"clean_pred": (F.col("clean_score") >= threshold).cast("int"), "pred": (F.col("score") >= threshold).cast("int")}
+        {"clean_pred": predicted(F.col("clean_score"), threshold), "pred": predicted(F.col("score"), threshold)}
     )
 
 

@@ -26,7 +26,11 @@ COPY_BLOCK = 100_000
 
 def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows to draw per class: proportional, at least one, the rounding remainder goes to the largest label."""
-    counts = df.groupBy(named(label).alias(label)).agg(F.count(F.lit(1)).alias("rows"))
+    return shared_out(df.groupBy(named(label).alias(label)).agg(F.count(F.lit(1)).alias("rows")), label, n)
+
+
+def shared_out(counts: DataFrame, label: str, n: int) -> DataFrame:
+    """The quotas of classes whose ``rows`` are already counted."""
     everything = Window.partitionBy(F.lit(0))
     share = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("rows") / F.sum("rows").over(everything)).cast("bigint"))
     first = counts.withColumn("quota", share)
@@ -35,13 +39,6 @@ def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     return first.withColumn("quota", F.when(last, F.col("quota") + rest).otherwise(F.col("quota")).cast("bigint"))
 
 
-def _quotas(counts: Mapping[object, int], n: int) -> dict[object, int]:
-    whole = sum(counts.values())
-    quota = {c: max(1, round(n * v / whole)) for c, v in counts.items()}
-    quota[max(quota)] += n - sum(quota.values())
-    return quota
-
-
 # ---------------------------------------------------------------- rows into segments
 
 def _all_columns_key(df: DataFrame, seed: object) -> Column:
@@ -129,10 +126,14 @@ def stratified_sample(df: DataFrame, label: str, n: int | None, seed: object = S
 
     ``key`` names the columns that decide the order, by default all of them.
     """
-    counts = totals(df, label)
-    if n is None or n >= sum(counts.values()):
+    if n is None:
+        return df
+    classes = class_quotas(df, label, n).collect()
+    if any(r[label] is None for r in classes):
+        raise ValueError(f"column {label} has missing values; map them to a class first")
+    if n >= sum(r.rows for r in classes):
         return df
-    targets = {(c, 0): float(q) for c, q in _quotas(counts, n).items()}
+    targets = {(r[label], 0): float(r.quota) for r in classes}
     return sample_to_quota(df, label, targets, seed, key, fast)
 
 
@@ -158,9 +159,9 @@ def fixed_sample(df: DataFrame, limit: int = 1024, seed: object = 314159, key: S
 
 
 def shuffled(df: DataFrame, seed: object = SEED, key: Sequence[str] | None = None) -> DataFrame:
-    """All rows in a repeatable random order: a range-partitioned sort; copies of a row may sit in several ranges."""
-    ordered = df.withColumn("_k", order_key(list(key) if key else df.columns, seed))
-    return ordered.orderBy("_k", F.monotonically_increasing_id()).drop("_k")
+    """All rows in a repeatable random order: a range-partitioned sort. Rows with one key are ordered by all their columns."""
+    ordered = df.withColumn("_k", order_key(list(key) if key else df.columns, seed)).withColumn("_all", _all_columns_key(df, seed))
+    return ordered.orderBy("_k", "_all").drop("_k", "_all")
 
 
 def pack_groups(df: DataFrame, label: str, group: Sequence[str], n: int, seed: object = SEED, **limits: int) -> DataFrame:
@@ -175,8 +176,8 @@ def pack_groups(df: DataFrame, label: str, group: Sequence[str], n: int, seed: o
             F.first(named(label)).alias(label), F.first("_order").alias("_order"), F.count(F.lit(1)).alias("_n")
         )
     )
-    by_class = {r[label]: r.rows for r in groups.groupBy(named(label).alias(label)).agg(F.sum("_n").alias("rows")).collect()}
-    quota = _quotas(by_class, n)
+    by_class = groups.groupBy(named(label).alias(label)).agg(F.sum("_n").alias("rows"))
+    quota = {r[label]: r.quota for r in shared_out(by_class, label, n).collect()}
     keep = packing_rule(groups, label, quota, "_n", "_order")
     verdicts = groups.withColumn("_keep", keep)
     return keep_rows(tagged, verdicts, "_key", "_keep", "_n", **limits).drop("_key", "_order")
@@ -216,7 +217,7 @@ def packing_rule(groups: DataFrame, label: str, quota: Mapping[object, int], siz
 
 def _check(ratios: Sequence[float]) -> None:
     if abs(sum(ratios) - 1.0) > 1e-9:
-        raise ValueError("Split proportions must sum to 1")
+        raise ValueError(f"the shares of the splits add up to {sum(ratios):g} instead of 1")
 
 
 def _split_targets(counts: Mapping[object, int], ratios: Sequence[float]) -> Targets:

@@ -7,7 +7,7 @@ decision can follow the runs in the same job.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ RUN = ("dataset", "seed")
 
 # The default policy.
 POLICY = {
-    "policy_id": "projected-evasion-ids-v1",
+    "policy_id": "default",
     "thresholds": {
         "clean_attack_recall_min": 0.95,
         "robust_attack_recall_min": 0.80,
@@ -54,34 +54,56 @@ def policy_digest(policy: Mapping) -> str:
 
 
 def worst_cases(runs: DataFrame) -> DataFrame:
-    """Worst outcome over the conditions of each run; clean recall from the mildest single-step condition."""
+    """Worst outcome over the conditions of each run; clean recall from the mildest single-step condition.
+
+    A figure that is missing or NaN in one condition is missing in the outcome: it must not be skipped as if it were fine.
+    """
     clean = F.col("attack_recall") + F.col("clean_to_adv_attack_recall_drop")
     return runs.groupBy(*RUN).agg(
         F.min_by(clean, F.struct("attack", "budget")).alias("clean_attack_recall"),
-        F.min("attack_recall").alias("worst_adv_attack_recall"),
-        F.max("attack_success_rate").alias("max_ASR"),
-        F.max("clean_to_adv_attack_recall_drop").alias("max_recall_drop"),
-        F.sum("semantic_constraint_violations").cast("bigint").alias("semantic_violations"),
+        _if_all_known("attack_recall", F.min).alias("worst_adv_attack_recall"),
+        _if_all_known("attack_success_rate", F.max).alias("max_ASR"),
+        _if_all_known("clean_to_adv_attack_recall_drop", F.max).alias("max_recall_drop"),
+        _if_all_known("semantic_constraint_violations", F.sum).cast("bigint").alias("semantic_violations"),
         F.count(F.lit(1)).alias("conditions"),
     )
 
 
+def _known(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def _if_all_known(name: str, worst: Callable[[str], Column]) -> Column:
+    return F.when(F.bool_and(_known(F.col(name))), worst(name))
+
+
+def _at_least(c: Column, limit: Column | float) -> Column:
+    return _known(c) & (c >= limit)
+
+
+def _at_most(c: Column, limit: Column | float) -> Column:
+    return _known(c) & (c <= limit)
+
+
 def _criteria(worst: DataFrame, thresholds: Mapping[str, Column], integrity: Mapping[str, bool]) -> dict[str, Column]:
     complete = F.lit(True)
     if integrity.get("require_zero_semantic_violations"):
         complete = complete & (F.col("semantic_violations") == 0)
     if integrity.get("require_complete_adversarial_matrix"):
         complete = complete & (F.col("conditions") == CONDITIONS)
-    # Evidence columns from the leakage audit, where the caller joined them to the runs.
-    if integrity.get("require_zero_fingerprint_overlap") and "fingerprint_overlap" in worst.columns:
-        complete = complete & (F.col("fingerprint_overlap") == 0)
-    if integrity.get("block_confirmed_leakage") and "confirmed_leakage" in worst.columns:
-        complete = complete & ~F.col("confirmed_leakage")
+    # Evidence columns from the leakage audit, joined to the runs by the caller. A check that is asked for fails without.
+    def evidence(name: str) -> Column:
+        return F.col(name) if name in worst.columns else F.lit(None)
+
+    if integrity.get("require_zero_fingerprint_overlap"):
+        complete = complete & (evidence("fingerprint_overlap").cast("bigint") == 0)
+    if integrity.get("block_confirmed_leakage"):
+        complete = complete & ~evidence("confirmed_leakage").cast("boolean")
     return {
-        "clean_performance": F.col("clean_attack_recall") >= thresholds["clean_attack_recall_min"],
-        "robust_recall": F.col("worst_adv_attack_recall") >= thresholds["robust_attack_recall_min"],
-        "attack_success_rate": F.col("max_ASR") <= thresholds["attack_success_rate_max"],
-        "degradation": F.col("max_recall_drop") <= thresholds["attack_recall_drop_max"],
+        "clean_performance": _at_least(F.col("clean_attack_recall"), thresholds["clean_attack_recall_min"]),
+        "robust_recall": _at_least(F.col("worst_adv_attack_recall"), thresholds["robust_attack_recall_min"]),
+        "attack_success_rate": _at_most(F.col("max_ASR"), thresholds["attack_success_rate_max"]),
+        "degradation": _at_most(F.col("max_recall_drop"), thresholds["attack_recall_drop_max"]),
         "integrity": complete,
     }
 
@@ -151,10 +173,10 @@ def basic_gate(models: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
     ``adversarial_attack_recall`` and ``relative_f1_drop``.
     """
     checks = {
-        "clean_f1": F.col("clean_f1") >= float(thresholds["min_clean_f1"]),
-        "clean_attack_recall": F.col("clean_attack_recall") >= float(thresholds["min_clean_attack_recall"]),
-        "adversarial_attack_recall": F.col("adversarial_attack_recall") >= float(thresholds["min_adversarial_attack_recall"]),
-        "relative_f1_drop": F.col("relative_f1_drop") <= float(thresholds["max_relative_f1_drop"]),
+        "clean_f1": _at_least(F.col("clean_f1"), float(thresholds["min_clean_f1"])),
+        "clean_attack_recall": _at_least(F.col("clean_attack_recall"), float(thresholds["min_clean_attack_recall"])),
+        "adversarial_attack_recall": _at_least(F.col("adversarial_attack_recall"), float(thresholds["min_adversarial_attack_recall"])),
+        "relative_f1_drop": _at_most(F.col("relative_f1_drop"), float(thresholds["max_relative_f1_drop"])),
     }
     failed = _codes(checks, {k: k for k in checks})
     out = models.withColumn("failed_conditions", failed)
@@ -163,7 +185,7 @@ def basic_gate(models: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
 
 def value_added(decided: DataFrame) -> DataFrame:
     """What a gate on clean recall alone would have said, and where the full gate differs."""
-    clean_only = F.when(F.col("clean_attack_recall") >= CLEAN_ONLY_RECALL, "PASS").otherwise("BLOCK")
+    clean_only = F.when(_at_least(F.col("clean_attack_recall"), CLEAN_ONLY_RECALL), "PASS").otherwise("BLOCK")
     return decided.withColumn("clean_only_decision", clean_only).withColumn(
         "decision_changed", F.col("clean_only_decision") != F.col("decision")
     )

@@ -239,8 +239,12 @@ def runs(spark, recall=0.52278, rate=0.47527, drop=0.47350, conditions=6, violat
     )
 
 
+def audited(worst, overlap=0, leak=False):
+    return worst.withColumns({"fingerprint_overlap": F.lit(overlap), "confirmed_leakage": F.lit(leak)})
+
+
 def test_published_gate_decision(spark):
-    out = one(gate.decisions(gate.worst_cases(runs(spark))))
+    out = one(gate.decisions(audited(gate.worst_cases(runs(spark)))))
     assert out.decision == "BLOCK"
     assert out.failed_criteria == "BLOCK_LOW_ROBUST_RECALL;BLOCK_HIGH_ATTACK_SUCCESS_RATE;BLOCK_EXCESSIVE_RECALL_DROP"
     assert len(out.policy_hash) == 64
@@ -248,13 +252,77 @@ def test_published_gate_decision(spark):
 
 @pytest.mark.parametrize("change, expected", [
     ({}, "PASS_ALL_CRITERIA"), ({"conditions": 5}, "BLOCK_ARTIFACT_INTEGRITY"), ({"violations": 1}, "BLOCK_ARTIFACT_INTEGRITY"),
-    ({"recall": float("nan")}, "PASS_ALL_CRITERIA"),
+    ({"recall": float("nan")}, "BLOCK_LOW_CLEAN_RECALL;BLOCK_LOW_ROBUST_RECALL"), ({"rate": float("nan")}, "BLOCK_HIGH_ATTACK_SUCCESS_RATE"),
+    ({"drop": None}, "BLOCK_LOW_CLEAN_RECALL;BLOCK_EXCESSIVE_RECALL_DROP"), ({"violations": None}, "BLOCK_ARTIFACT_INTEGRITY"),
 ])
 def test_gate_integrity(spark, change, expected):
     fine = {"recall": .95, "rate": .0, "drop": .02}
-    out = one(gate.decisions(gate.worst_cases(runs(spark, **{**fine, **change}))))
-    if "recall" not in change:
-        assert out.reason_codes == [expected]
+    out = one(gate.decisions(audited(gate.worst_cases(runs(spark, **{**fine, **change})))))
+    assert ";".join(out.reason_codes) == expected
+
+
+def test_one_unknown_condition_blocks(spark):
+    good = runs(spark, .95, .0, .02)
+    rows = good.withColumn("attack_recall", F.when((F.col("attack") == "PGD") & (F.col("budget") == 0.03), float("nan")).otherwise(F.col("attack_recall")))
+    out = one(gate.decisions(audited(gate.worst_cases(rows))))
+    assert out.reason_codes == ["BLOCK_LOW_ROBUST_RECALL"]
+    assert one(gate.sensitivity(audited(gate.worst_cases(rows)), recalls=[.0], successes=[1.])).models_passed == 0
+
+
+def test_required_evidence_that_is_missing_blocks(spark):
+    worst = gate.worst_cases(runs(spark, .95, .0, .02))
+    assert one(gate.decisions(worst)).reason_codes == ["BLOCK_ARTIFACT_INTEGRITY"]
+    assert one(gate.decisions(audited(worst, None))).reason_codes == ["BLOCK_ARTIFACT_INTEGRITY"]
+    assert one(gate.decisions(audited(worst, 0, True))).reason_codes == ["BLOCK_ARTIFACT_INTEGRITY"]
+    loose = {**gate.POLICY, "integrity": {**gate.POLICY["integrity"], "require_zero_fingerprint_overlap": False, "block_confirmed_leakage": False}}
+    assert one(gate.decisions(worst, loose)).reason_codes == ["PASS_ALL_CRITERIA"]
+
+
+def test_basic_gate_blocks_unknown_figures(spark):
+    models = spark.createDataFrame([(float("nan"), .99, .99, .01), (.99, None, .99, .01), (.99, .99, .99, .01)], "clean_f1 double, clean_attack_recall double, adversarial_attack_recall double, relative_f1_drop double")
+    limits = {"min_clean_f1": .9, "min_clean_attack_recall": .9, "min_adversarial_attack_recall": .8, "max_relative_f1_drop": .2}
+    assert [r.decision for r in gate.basic_gate(models, limits).collect()] == ["BLOCK", "BLOCK", "PASS"]
+
+
+def test_nan_scores_are_no_attacks(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, .9), (0, float("nan")), (0, None)], "y int, score double")
+    out = one(metrics.scored_metrics(df))
+    assert (out.tp, out.fn, out.fp, out.tn) == (1, 1, 0, 1)
+
+
+SIGNED = [(0.0, "a|b", "c", 0), (-0.0, "a|b", "c", 0), (0.0, "a", "b|c", 1), (1.0, None, "x", 0), (1.0, "\\N", "x", 1), (1.0, "<null>", "x", 0), (-0.0, "a", "b|c", 1), (2.0, "-0.0", "x", 0), (2.0, "0.0", "x", 1)]
+
+
+def test_order_keys_are_equal_exactly_where_groups_are(spark):
+    df = spark.createDataFrame(SIGNED, "v double, p string, q string, y int")
+    groups = df.groupBy("v", "p", "q").count().count()
+    for fast in (False, True):
+        assert df.select(order_key(["v", "p", "q"], 1, fast=fast).alias("k")).distinct().count() == groups == 7
+
+
+def test_splits_share_no_vector_whatever_the_signs_of_zero(spark):
+    rows = [(float(-0.0 if i % 2 else 0.0), float(i % 300), "a|" if i % 3 else None, 0 if (i % 300) % 2 else 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "z double, v double, t string, y int")
+    found = []
+    for parts in (1, 9):
+        dealt = df.repartition(parts)
+        for split in (sampling.split_label_groups(dealt, "y", ["z", "v", "t"]), sampling.split_groups(dealt, ["z", "v", "t"])):
+            assert all(r.shared_vectors == 0 for r in sampling.split_overlap(split, ["z", "v", "t"]).collect())
+        found.append(sorted(map(repr, sampling.pack_groups(dealt, "y", ["z", "v", "t"], 1000).select(F.col("z") + 0.0, "v", "t", "y").collect())))
+    assert found[0] == found[1]
+
+
+def test_shuffled_rows_with_ties_are_repeatable(spark):
+    df = spark.range(500).select((F.col("id") % 5).alias("k"), F.col("id").alias("v"))
+    assert len({tuple(r.v for r in sampling.shuffled(df.repartition(n), key=["k"]).collect()) for n in (2, 5)}) == 1
+
+
+def test_ranges_skip_nan(spark):
+    from flowgate.operators.preprocess import Numeric
+
+    df = spark.createDataFrame([(1.0,), (5.0,), (float("nan"),), (None,)], "v double")
+    found = robustness.fit_ranges(df, [Numeric("v", 0.0, 0.0, 1.0)])["v"]
+    assert (found.low, found.high) == (1.0, 5.0)
 
 
 def test_gate_reads_evidence_columns(spark):
