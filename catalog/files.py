@@ -9,7 +9,7 @@ from catalog.models import CLEAN_RUNS, clean_runs
 from flowgate.sources import csv as C
 from flowgate.sources import manifest as MF
 from flowgate.sources import tables as TB
-from flowgate.staging import stage_path
+from flowgate.staging import stage, stage_path
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,20 @@ def line_files(spark, sf) -> str:
 QUERIES["csv_union"] = lambda spark, sf: C.read_union(spark, line_files(spark, sf), types=TYPES, label_from_folder="original_label").drop("source_file")
 ORACLE["csv_union"] = """SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag = 'N' THEN l_tax END AS l_tax, l_returnflag AS original_label FROM lineitem"""
 
+
+
+def _line_breaks(spark, sf):
+    """Quoted fields with line breaks, commas and quotes, in a Latin-1 file with a header that is not ASCII."""
+    root = stage_path(spark, "breaks")
+    text = F.concat(F.col("o_orderpriority"), F.lit("\n\"é\", "), F.col("o_orderstatus"))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("größe"), "o_totalprice")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("encoding", "ISO-8859-1").csv(root)
+    return C.read_union(spark, root, types={"o_orderkey": "bigint", "o_totalprice": "double"}).drop("source_file").withColumnRenamed("größe", "note")
+
+
+QUERIES["csv_line_breaks"] = _line_breaks
+ORACLE["csv_line_breaks"] = """SELECT o_orderkey, o_orderpriority || chr(10) || '"é", ' || o_orderstatus AS note, o_totalprice FROM orders"""
+
 HEADER = "event_id,kind,note,value"
 SHARDS = 8
 
@@ -96,9 +110,30 @@ SELECT 4::INTEGER AS expected_fields, fields::INTEGER AS parsed_fields, replace(
 
 QUERIES["file_manifest"] = lambda spark, sf: MF.file_manifest(spark, packet_files(spark, sf), _TXT).select(
     F.regexp_extract("relative_path", r"^kind_folder=([^/]+)/shard=", 1).alias("kind"), F.regexp_extract("relative_path", r"shard=(\d+)/", 1).alias("shard"), "extension", "file_type", "encoding",
-    F.length("sha256").alias("digest_length"), F.col("size_bytes") > 0,
-).toDF("kind", "shard", "extension", "file_type", "encoding", "digest_length", "has_content")
-ORACLE["file_manifest"] = """SELECT DISTINCT event_type AS kind, CAST(event_id % 8 AS VARCHAR) AS shard, '.txt' AS extension, 'TXT' AS file_type, 'utf-8' AS encoding, 64::INTEGER AS digest_length, true AS has_content FROM events"""
+    "sha256", "size_bytes",
+)
+# The files hold the header and the lines in byte order.
+_CONTENTS = f"""raw AS (SELECT event_type, event_id % 8 AS shard, CAST(event_id AS VARCHAR) || ',' || event_type AS front,
+  CASE WHEN event_id % 11 = 0 THEN '"a, ""quoted"" note"' WHEN event_id % 7 = 0 THEN '192.168.0.128' ELSE 'plain' END || ',' || CAST(value AS VARCHAR) AS back, event_id FROM events),
+ packed AS (SELECT event_type, shard, CASE WHEN event_id % 97 = 0 THEN front || ',' || back || ',extra' WHEN event_id % 89 = 0 THEN front ELSE front || ',' || back END AS line FROM raw),
+ contents AS (SELECT event_type AS kind, CAST(shard AS VARCHAR) AS shard, '{HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) AS body FROM packed GROUP BY ALL)"""
+ORACLE["file_manifest"] = f"WITH {_CONTENTS} SELECT kind, shard, '.txt' AS extension, 'TXT' AS file_type, 'utf-8' AS encoding, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size_bytes FROM contents"
+
+
+def _refreshed(spark, sf):
+    """A stored manifest with marked digests, without one type and with other sizes for another: only those are read again."""
+    root = packet_files(spark, sf)
+    fresh = MF.file_manifest(spark, root, _TXT)
+    marked = fresh.withColumn("sha256", F.lit("stored")).where(~F.col("path").contains("=view/"))
+    stored = stage(marked.withColumn("size_bytes", F.when(F.col("path").contains("=error/"), F.col("size_bytes") - 1).otherwise(F.col("size_bytes"))))
+    return MF.refresh_manifest(spark, root, stored, _TXT).select(
+        F.regexp_extract("relative_path", r"^kind_folder=([^/]+)/shard=", 1).alias("kind"), F.regexp_extract("relative_path", r"shard=(\d+)/", 1).alias("shard"), "sha256", "size_bytes"
+    )
+
+
+QUERIES["refreshed_manifest"] = _refreshed
+ORACLE["refreshed_manifest"] = f"""WITH {_CONTENTS} SELECT kind, shard, CASE WHEN kind IN ('view', 'error') THEN sha256(body) ELSE 'stored' END AS sha256,
+ CAST(strlen(body) AS BIGINT) AS size_bytes FROM contents"""
 
 QUERIES["manifest_rows"] = lambda spark, sf: MF.file_manifest(spark, line_files(spark, sf), "*.csv").groupBy(
     F.regexp_extract("relative_path", "^([^/]+)/", 1).alias("original_label"), "columns", "columns_count"
@@ -180,8 +215,18 @@ def _scan_once(spark, sf):
 QUERIES["materialized_once"] = _scan_once
 ORACLE["materialized_once"] = "SELECT CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS y, count(*) AS rows FROM lineitem GROUP BY ALL"
 
-QUERIES["schema_table"] = lambda spark, sf: TB.schema_table(table(spark, sf, "part")).join(
-    table(spark, sf, "part").agg(F.count(F.lit(1)).alias("rows")), F.lit(True)
-)
-ORACLE["schema_table"] = """SELECT p::INTEGER AS position, f AS feature, t AS dtype, n AS is_numeric, (SELECT count(*) FROM part) AS rows FROM (VALUES (0, 'p_partkey', 'bigint', true),
- (1, 'p_name', 'string', false), (2, 'p_brand', 'string', false), (3, 'p_type', 'string', false), (4, 'p_size', 'int', true), (5, 'p_retailprice', 'double', true)) v(p, f, t, n)"""
+
+def _schema(spark, sf):
+    """The columns of a table with the number of their values, so that the listing is checked against the data."""
+    rows = table(spark, sf, "part")
+    filled = rows.select(*[F.count(c).alias(c) for c in rows.columns]).unpivot([], rows.columns, "feature", "present")
+    return TB.schema_table(rows).join(filled, "feature")
+
+
+QUERIES["schema_table"] = _schema
+ORACLE["schema_table"] = """WITH types AS (SELECT typeof(p_partkey) AS p_partkey, typeof(p_name) AS p_name, typeof(p_brand) AS p_brand, typeof(p_type) AS p_type, typeof(p_size) AS p_size,
+ typeof(p_retailprice) AS p_retailprice FROM part LIMIT 1), kinds AS (UNPIVOT types ON * INTO NAME feature VALUE kind),
+ filled AS (UNPIVOT (SELECT count(p_partkey) AS p_partkey, count(p_name) AS p_name, count(p_brand) AS p_brand, count(p_type) AS p_type, count(p_size) AS p_size, count(p_retailprice) AS p_retailprice FROM part) ON * INTO NAME feature VALUE present)
+SELECT (list_position(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'], feature) - 1)::INTEGER AS position, feature,
+ CASE kind WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS dtype, kind <> 'VARCHAR' AS is_numeric, present
+ FROM kinds JOIN filled USING (feature)"""

@@ -1,6 +1,8 @@
 """Raw CSV trees: union by column name, structural validation, probes.
 
-Records are single lines; quotes inside a quoted field are doubled.
+Quotes inside a quoted field are doubled; a quoted field may hold line breaks. Each file is parsed front to back by one task, as the place
+of a record in a file with such fields is known only from the start. ``multi_line=False`` lets several tasks share a file whose
+records are single lines.
 """
 
 from __future__ import annotations
@@ -8,20 +10,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgate.functions.numbers import share
-from flowgate.staging import stage
+from flowgate.sources.heads import OTHER, file_heads
 
 CORRUPT = "_corrupt_record"
 SOURCE = "source_file"
 
-# Fixed value: a comma outside quotes.
-FIELD_SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-# Fixed value: the parent folder in a file path.
-PARENT_FOLDER = r"[/\\]([^/\\]+)[/\\][^/\\]+$"
+# A field with the comma before it: stretches without commas and quotes, and quoted stretches.
+FIELD = r',((?:[^",]++|"[^"]*+"?+)*+)'
 # Fixed value: hits listed by a token probe.
 PROBE_HITS = 20
 
@@ -32,47 +32,49 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFram
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def lines(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """All lines with their file and whether the line opens its file."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return text.select("value", F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("block"))
+def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """First record and encoding of every file, from a small read of each."""
+    return file_heads(discover(spark, root, pattern)).select(F.col("path").alias(SOURCE), "header", "encoding")
 
 
-def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """First line of every file.
+def records(spark: SparkSession, root: str, pattern: str = "*.csv", multi_line: bool = True) -> DataFrame:
+    """All records as raw text (``value``) with their file, numbered (``line``) in their order in the file; headers have the number 0.
 
-    Line ids grow within a partition, and a file's first block is read by one task, so the smallest id of
-    that block is the header.
+    A record is read as the overflow of a table with one column. Empty lines are no records.
     """
-    first = lines(spark, root, pattern).withColumn("id", F.monotonically_increasing_id()).where(F.col("block") == 0)
-    return first.groupBy(SOURCE).agg(F.min_by("value", "id").alias("header"))
+    schema = T.StructType([T.StructField("one", T.StringType()), T.StructField(CORRUPT, T.StringType())])
+    options = {"header": False, "multiLine": multi_line, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False, "recursiveFileLookup": True, "pathGlobFilter": pattern}
+    read = spark.read.schema(schema).options(**options).csv(root)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return read.select(F.coalesce(CORRUPT, "one", F.lit("")).alias("value"), F.col("_metadata.file_path").alias(SOURCE), place.alias("place"))
 
 
 def split_fields(line: Column) -> Column:
-    """Fields of a CSV line, outer quotes removed and doubled quotes resolved."""
-    raw = F.split(line, FIELD_SEPARATOR)
+    """Fields of a CSV record, outer quotes removed and doubled quotes resolved; linear in the length of the record."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(1))
     return F.transform(
-        raw, lambda x: F.when(x.rlike('^".*"$'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)
+        raw, lambda x: F.when(x.rlike('(?s)^".*"$'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)
     )
 
 
-def _header_groups(spark: SparkSession, root: str, pattern: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header. The list of files is what a driver plans with anyway."""
-    found = headers(spark, root, pattern).select(SOURCE, split_fields(F.regexp_replace("header", "^﻿", "")).alias("names"))
-    groups: dict[tuple[str, ...], list[str]] = {}
+def _header_groups(spark: SparkSession, root: str, pattern: str) -> dict[tuple[tuple[str, ...], str], list[str]]:
+    """Files by header and encoding. The list of files is what a driver plans with anyway."""
+    found = headers(spark, root, pattern).select(SOURCE, "encoding", split_fields(F.col("header")).alias("names"))
+    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
     for r in found.orderBy(SOURCE).collect():
-        groups.setdefault(tuple(r.names), []).append(r[SOURCE])
+        groups.setdefault((tuple(r.names), "ISO-8859-1" if r.encoding == OTHER else "UTF-8"), []).append(r[SOURCE])
     if not groups:
         raise FileNotFoundError(f"no files like {pattern} below {root}")
     return groups
 
 
-def _scan(spark: SparkSession, files: Sequence[str], names: Sequence[str], types: Mapping[str, str]) -> DataFrame:
-    fields = [T.StructField(n, T._parse_datatype_string(types.get(n, "string"))) for n in names]
+def _scan(spark: SparkSession, files: Sequence[str], names: Sequence[str], types: Mapping[str, str], encoding: str, multi_line: bool) -> DataFrame:
+    fields = [T.StructField(n, T.DataType.fromDDL(types.get(n, "string"))) for n in names]
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     reader = (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
         .option("quote", '"').option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", multi_line).option("encoding", encoding)
         # A pruned parser would not see the fields of a record that nobody selects.
         .option("columnPruning", False)
     )
@@ -89,38 +91,51 @@ def _broken(names: Sequence[str]) -> Column:
 
 
 def _field_count(record: Column) -> Column:
-    return F.size(F.split(record, FIELD_SEPARATOR))
+    """Commas outside quotes, and one."""
+    bare = F.regexp_replace(record, r'"[^"]*+"?+', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).cast("int")
 
 
-def read_union(spark: SparkSession, root: str, pattern: str = "*.csv", types: Mapping[str, str] | None = None, label_from_folder: str | None = None) -> DataFrame:
+def read_union(spark: SparkSession, root: str, pattern: str = "*.csv", types: Mapping[str, str] | None = None, label_from_folder: str | None = None, multi_line: bool = True) -> DataFrame:
     """Many CSV files as one table, united by column name with NULL padding, plus ``source_file``.
 
     Files are grouped by header, because one read applies one header to all files by position. Short records
-    are padded with NULL; a record with too many fields or an unreadable typed value raises. Columns
+    are padded with NULL; a record with too many fields, or with a value that its type cannot read, raises. Columns
     without a type stay text. ``label_from_folder`` names a column for the parent folder.
     """
-    parts = []
-    for names, files in _header_groups(spark, root, pattern).items():
-        scanned = _scan(spark, files, names, types or {})
-        broken = _broken(names) & (_field_count(F.col(CORRUPT)) >= len(names))
+    types, parts = types or {}, []
+    for (names, encoding), files in _header_groups(spark, root, pattern).items():
+        # Typed columns are read as text and cast: a short record is no excuse for a value that cannot be read.
+        scanned = _scan(spark, files, names, {}, encoding, multi_line)
+        long = _broken(names) & (_field_count(F.col(CORRUPT)) > len(names))
         reason = F.concat(F.lit("malformed record in "), F.col(SOURCE), F.lit(": "), F.col(CORRUPT))
-        parts.append(scanned.where(F.when(broken, F.raise_error(reason).cast("boolean")).otherwise(F.lit(True))).drop(CORRUPT))
+        checked = scanned.where(F.when(long, F.raise_error(reason).cast("boolean")).otherwise(F.lit(True)))
+
+        def typed(name: str) -> Column:
+            c = F.col(f"`{name}`")
+            if name not in types:
+                return c
+            value = F.trim(c).try_cast(types[name])
+            unreadable = F.concat(F.lit("malformed record in "), F.col(SOURCE), F.lit(f": no {types[name]} in column {name}: "), c)
+            return F.when(c.isNotNull() & value.isNull(), F.raise_error(unreadable).cast(types[name])).otherwise(value).alias(name)
+
+        parts.append(checked.select(*[typed(n) for n in names], SOURCE))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if label_from_folder:
-        out = out.withColumn(label_from_folder, F.regexp_extract(SOURCE, PARENT_FOLDER, 1))
+        out = out.withColumn(label_from_folder, F.element_at(F.split(SOURCE, "/"), -2))
     # Provenance last, like the columns that are united.
     tail = [SOURCE, *([label_from_folder] if label_from_folder else [])]
     return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in tail], *tail)
 
 
-def validate(spark: SparkSession, root: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def validate(spark: SparkSession, root: str, pattern: str = "*.csv", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """All-text rows whose field count equals their header's, and the raw records of all others.
 
-    Every data line lands in exactly one of the two tables.
+    Every data record lands in exactly one of the two tables.
     """
     good, bad = [], []
-    for names, files in _header_groups(spark, root, pattern).items():
-        scanned = _scan(spark, files, names, {})
+    for (names, encoding), files in _header_groups(spark, root, pattern).items():
+        scanned = _scan(spark, files, names, {}, encoding, multi_line)
         good.append(scanned.where(~_broken(names)).drop(CORRUPT))
         rejected = scanned.where(_broken(names))
         bad.append(
@@ -134,34 +149,30 @@ def validate(spark: SparkSession, root: str, pattern: str = "*.csv") -> tuple[Da
     return united.select(*[F.col(f"`{c}`") for c in columns], SOURCE), reduce(DataFrame.unionByName, bad)
 
 
-def _data_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Data lines with their file's header. The headers are staged, one row per file, so the planner knows
-    their size and decides how to join."""
-    heads = stage(headers(spark, root, pattern).select(SOURCE, "header", F.size(split_fields(F.col("header"))).alias("expected_columns")))
-    body = lines(spark, root, pattern).where(F.length("value") > 0)
-    return body.join(heads, SOURCE).where(~((F.col("block") == 0) & (F.col("value") == F.col("header"))))
+def _first_places(rows: DataFrame) -> DataFrame:
+    """The place of each file's header: the smallest one. Equal header lines further down are data."""
+    return rows.groupBy(SOURCE).agg(F.min("place").alias("first"))
 
 
-def field_counts(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+def field_counts(spark: SparkSession, root: str, pattern: str = "*.csv", multi_line: bool = True) -> DataFrame:
     """Histogram of the number of fields per record, for each file; headers left out."""
-    counted = (
-        lines(spark, root, pattern).where(F.length("value") > 0)
-        .groupBy(SOURCE, _field_count(F.col("value")).alias("fields")).agg(F.count(F.lit(1)).alias("rows"))
-    )
-    heads = headers(spark, root, pattern).select(SOURCE, _field_count(F.col("header")).alias("fields"), F.lit(1).alias("_h"))
-    out = counted.join(heads, [SOURCE, "fields"], "left")
-    return out.select(SOURCE, "fields", (F.col("rows") - F.coalesce("_h", F.lit(0))).alias("rows")).where(F.col("rows") > 0)
+    rows = records(spark, root, pattern, multi_line)
+    counted = rows.groupBy(SOURCE, _field_count(F.col("value")).alias("fields")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    # The smallest place of a file is its header's, and so is that of the group which the header is in.
+    first = counted.groupBy(SOURCE).agg(F.min("place").alias("first"))
+    out = counted.join(first, SOURCE)
+    return out.select(SOURCE, "fields", (F.col("n") - (F.col("place") == F.col("first")).cast("int")).alias("rows")).where(F.col("rows") > 0)
 
 
-def parser_report(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+def parser_report(spark: SparkSession, root: str, pattern: str = "*.csv", multi_line: bool = True) -> DataFrame:
     """Per file: total, valid and invalid rows, expected columns, header digest, header equal to the first file's."""
     heads = headers(spark, root, pattern).withColumn("names", split_fields(F.col("header")))
-    everything = Window.partitionBy(F.lit(0))
-    described = heads.select(
-        SOURCE, F.size("names").alias("expected_columns"), F.sha2(F.array_join("names", ","), 256).alias("header_hash"),
-        (F.array_join("names", ",") == F.min_by(F.array_join("names", ","), SOURCE).over(everything)).alias("header_matches_canonical"),
+    described = heads.select(SOURCE, F.size("names").alias("expected_columns"), F.array_join("names", ",").alias("joined"))
+    canonical = described.agg(F.min_by("joined", SOURCE).alias("joined")).select("joined", F.lit(True).alias("same"))
+    described = described.join(F.broadcast(canonical), "joined", "left").select(
+        SOURCE, "expected_columns", F.sha2("joined", 256).alias("header_hash"), F.coalesce("same", F.lit(False)).alias("header_matches_canonical")
     )
-    found = field_counts(spark, root, pattern)
+    found = field_counts(spark, root, pattern, multi_line)
     joined = described.join(found, SOURCE, "left")
     ok = F.col("fields") == F.col("expected_columns")
     return joined.groupBy(SOURCE, "expected_columns", "header_hash", "header_matches_canonical").agg(
@@ -181,12 +192,13 @@ def parser_summary(report: DataFrame) -> DataFrame:
     return out.withColumn("malformed_pct", share(F.col("rows_invalid"), F.col("rows_total")) * 100)
 
 
-def find_token(spark: SparkSession, root: str, token: str, pattern: str = "*.csv", limit: int = PROBE_HITS) -> DataFrame:
+def find_token(spark: SparkSession, root: str, token: str, pattern: str = "*.csv", limit: int = PROBE_HITS, multi_line: bool = True) -> DataFrame:
     """The first records that hold a token as a whole field, with expected and found field counts and a prefix."""
-    body = _data_lines(spark, root, pattern).where(F.col("value").contains(token))
+    rows = records(spark, root, pattern, multi_line)
+    heads = headers(spark, root, pattern).select(SOURCE, F.size(split_fields(F.col("header"))).alias("expected_fields"))
     fields = split_fields(F.col("value"))
-    hits = body.where(F.array_contains(fields, token))
-    return hits.select(
-        SOURCE, F.col("expected_columns").alias("expected_fields"), F.size(fields).alias("parsed_fields"),
-        F.slice(fields, 1, 10).alias("row_prefix"), F.col("value").alias("record"),
+    hits = rows.where(F.col("value").contains(token)).withColumn("fields", fields).where(F.array_contains("fields", token))
+    data = hits.join(_first_places(rows), SOURCE).where(F.col("place") != F.col("first")).join(heads, SOURCE)
+    return data.select(
+        SOURCE, "expected_fields", F.size("fields").alias("parsed_fields"), F.slice("fields", 1, 10).alias("row_prefix"), F.col("value").alias("record"),
     ).orderBy(SOURCE, "record").limit(limit)

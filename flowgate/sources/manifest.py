@@ -2,101 +2,50 @@
 
 from __future__ import annotations
 
-import hashlib
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow.fs
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgate.sources.csv import discover, split_fields
+from flowgate.sources.heads import file_heads
 
-# Files up to this size are hashed inside Spark; larger ones are streamed, so that no row holds a whole file.
-INLINE_BYTES = 256 * 1024 * 1024
-# Bytes looked at to tell the encoding, block size of a stream, byte order mark, encoding names.
-ENCODING_BYTES = 65_536
-STREAM_BYTES = 8 * 1024 * 1024
-BOM = b"\xef\xbb\xbf"
+# Fixed value: the kinds of files that have an encoding.
 TEXT_EXTENSIONS = (".csv", ".txt")
 
-# Tasks carry the hashing helper with them; executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_FACTS = "path string, sha256 string, newlines bigint, head binary, first_line string"
-
-
-def _stream_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path in batch["path"]:
-            local = path[len("file:"):] if path.startswith("file:") else None
-            fs, name = (pyarrow.fs.LocalFileSystem(), "/" + local.lstrip("/")) if local else pyarrow.fs.FileSystem.from_uri(path)
-            digest, newlines, head = hashlib.sha256(), 0, b""
-            with fs.open_input_stream(name) as stream:
-                while block := stream.read(STREAM_BYTES):
-                    digest.update(block)
-                    newlines += block.count(b"\n")
-                    if len(head) < ENCODING_BYTES:
-                        head += block[: ENCODING_BYTES - len(head)]
-            first = head.split(b"\n", 1)[0].rstrip(b"\r").removeprefix(BOM).decode("utf-8", "replace")
-            out.append((path, digest.hexdigest(), newlines, head, first))
-        yield pd.DataFrame(out, columns=["path", "sha256", "newlines", "head", "first_line"])
 
+def line_feeds(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
+    """(path, lines): pieces of each file between line feeds. A large file is counted by many tasks."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
+    return text.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
 
-def _encoding(head: Column) -> Column:
-    """utf-8-sig with a byte order mark, utf-8 where the start of the file decodes, otherwise latin-1.
 
-    A multi-byte character cut off at the end of the window does not count against it.
-    """
-    whole = F.length(head) < ENCODING_BYTES
-    valid = F.is_valid_utf8(head.cast("string"))
-    for cut in (1, 2, 3):
-        valid = valid | (~whole & F.is_valid_utf8(F.substring(head, 1, ENCODING_BYTES - cut).cast("string")))
-    return F.when(F.startswith(head, F.lit(BOM)), "utf-8-sig").when(valid, "utf-8").otherwise("latin-1")
-
-
-def file_manifest(spark: SparkSession, root: str, pattern: str = "*", inline_bytes: int = INLINE_BYTES, paths: list[str] | None = None) -> DataFrame:
+def file_manifest(spark: SparkSession, root: str, pattern: str = "*", paths: list[str] | None = None) -> DataFrame:
     """One row per file: path, name, size, sha256, data rows, columns and encoding (rows and columns for CSV only).
 
-    ``paths`` restricts the reading to some files below the root.
+    ``paths`` restricts the reading to some files below the root. Header lines may have any length and are read in the
+    file's own encoding. Empty files are not listed, as Spark does not read them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    contents = reader.load(paths or root)
-    text = F.decode("content", "ISO-8859-1")
-    small = contents.where(F.col("length") <= inline_bytes).select(
-        "path", F.sha2("content", 256).alias("sha256"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("newlines"),
-        F.substring("content", 1, ENCODING_BYTES).alias("head"),
-        F.regexp_replace(F.substring_index(F.substring("content", 1, ENCODING_BYTES).cast("string"), "\n", 1), "^﻿|\r$", "").alias("first_line"),
-    )
-    listing = contents.select("path", F.col("length").alias("size_bytes"))
-    large = listing.where(F.col("size_bytes") > inline_bytes).select("path")
-    # One file per task: each is read front to back once.
-    streamed = large.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_stream_facts, _FACTS)
-    facts = small.unionByName(streamed)
+    listing = reader.load(paths or root).select("path", F.col("length").alias("size_bytes"))
+    facts = file_heads(listing, digest=True)
+    counted = line_feeds(spark, paths or root, pattern)
 
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     is_csv = F.col("extension") == ".csv"
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
-    columns = split_fields(F.col("first_line"))
-    return (
-        listing.join(facts, "path")
-        .withColumns({"file_name": name, "extension": extension})
-        .select(
-            "path",
-            F.replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(base, F.lit("/")), F.lit("")).alias("relative_path"),
-            "file_name", "extension", "size_bytes",
-            F.round(F.col("size_bytes") / 2**20, 6).alias("size_mib"), F.round(F.col("size_bytes") / 2**30, 6).alias("size_gib"),
-            "sha256", F.upper(F.regexp_replace("extension", r"^\.", "")).alias("file_type"),
-            F.when(is_csv, F.greatest(F.col("newlines") - 1, F.lit(0))).alias("rows"),
-            F.when(is_csv, F.size(columns)).alias("columns_count"),
-            F.when(is_csv, F.to_json(columns)).otherwise("[]").alias("columns"),
-            F.when(F.col("extension").isin(*TEXT_EXTENSIONS), _encoding(F.col("head"))).otherwise("").alias("encoding"),
-        )
+    columns = split_fields(F.col("header"))
+    feeds = F.coalesce("lines", F.lit(0)) - F.when(F.col("ended"), 0).otherwise(1)
+    joined = listing.join(facts, "path").join(counted, F.regexp_replace(listing.path, "^file:/*", "/") == F.regexp_replace(counted.path, "^file:/*", "/"), "left").drop(counted.path)
+    return joined.withColumns({"file_name": name, "extension": extension}).select(
+        "path",
+        F.replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(base, F.lit("/")), F.lit("")).alias("relative_path"),
+        "file_name", "extension", "size_bytes",
+        F.round(F.col("size_bytes") / 2**20, 6).alias("size_mib"), F.round(F.col("size_bytes") / 2**30, 6).alias("size_gib"),
+        "sha256", F.upper(F.regexp_replace("extension", r"^\.", "")).alias("file_type"),
+        F.when(is_csv, F.greatest(feeds - 1, F.lit(0))).alias("rows"),
+        F.when(is_csv, F.size(columns)).alias("columns_count"),
+        F.when(is_csv, F.to_json(columns)).otherwise("[]").alias("columns"),
+        F.when(F.col("extension").isin(*TEXT_EXTENSIONS), F.col("encoding")).otherwise("").alias("encoding"),
     )
 
 

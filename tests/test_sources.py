@@ -28,7 +28,7 @@ def test_union_by_name_with_padding_and_folder_label(spark, tree):
     assert out.count() == 4
 
 
-@pytest.mark.parametrize("line", ["1,2,3\n", "word,b\n"])
+@pytest.mark.parametrize("line", ["1,2,3\n", "word,b\n", "word\n", '1,"a\nb",3\n'])
 def test_union_is_strict(spark, tmp_path, line):
     (tmp_path / "a.csv").write_text("x,y\n" + line)
     with pytest.raises(Exception, match="malformed record"):
@@ -59,15 +59,53 @@ def test_token_probe_matches_whole_fields(spark, tree):
     assert [(h.expected_fields, h.parsed_fields, h.row_prefix) for h in hits] == [(2, 2, ["1.2.3.4", "b"])]
 
 
-def test_manifest_inline_and_streamed_agree(spark, tree):
+def test_quoted_line_breaks_are_part_of_the_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y,z\n1,"p\nq, ""r""\n",3\n4,5,6\n7,"8\n9"\n')
+    rows = sorted(tuple(r)[:3] for r in csv.read_union(spark, str(tmp_path), types={"x": "int"}).collect())
+    assert rows == [(1, 'p\nq, "r"\n', "3"), (4, "5", "6"), (7, "8\n9", None)]
+    good, bad = csv.validate(spark, str(tmp_path))
+    assert good.count() == 2 and [(r.record, r.parsed_fields) for r in bad.collect()] == [('7,"8\n9"', 2)]
+    assert {(r.fields, r.rows) for r in csv.field_counts(spark, str(tmp_path)).collect()} == {(3, 2), (2, 1)}
+    assert [r.parsed_fields for r in csv.find_token(spark, str(tmp_path), "8\n9").collect()] == [2]
+
+
+def test_headers_in_their_own_encoding(spark, tmp_path):
+    (tmp_path / "l.csv").write_bytes("größe,\"a\nb\"\nné,2\n".encode("latin-1"))
+    (tmp_path / "u.csv").write_bytes("\ufeffgröße,c\né,3\n".encode())
+    out = csv.read_union(spark, str(tmp_path))
+    assert out.columns == ["größe", "a\nb", "c", "source_file"]
+    assert sorted(r[0] for r in out.collect()) == ["né", "é"]
+    listed = {r.file_name: r for r in manifest.file_manifest(spark, str(tmp_path)).collect()}
+    assert (listed["l.csv"].columns, listed["l.csv"].encoding, listed["u.csv"].encoding) == ('["größe","a\\nb"]', "latin-1", "utf-8-sig")
+
+
+def test_long_headers_are_whole(spark, tmp_path):
+    names = [f"a_rather_long_column_name_{i}" for i in range(8000)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    row = manifest.file_manifest(spark, str(tmp_path)).first()
+    assert row.columns_count == 8000 and json.loads(row.columns) == names and row.rows == 1
+
+
+def test_a_data_line_like_the_header_is_data(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\nx,y\n1,2\nx,y\n")
+    assert csv.find_token(spark, str(tmp_path), "x").count() == 2
+    assert [(r.fields, r.rows) for r in csv.field_counts(spark, str(tmp_path)).collect()] == [(2, 3)]
+
+
+def test_fields_are_split_in_linear_time(spark):
+    line = ",".join(['"a,b"', "", "c", '"d ""e"""'] * 20_000)
+    out = spark.createDataFrame([(line,), ("",), (",a",), ("a,",)], "v string").select(csv.split_fields(F.col("v")).alias("f"), csv._field_count(F.col("v")).alias("n")).collect()
+    assert out[0].f[:4] == ["a,b", "", "c", 'd "e"'] and len(out[0].f) == 80_000 == out[0].n
+    assert [(r.f, r.n) for r in out[1:]] == [([""], 1), (["", "a"], 2), (["a", ""], 2)]
+
+
+def test_manifest_facts(spark, tree):
     (tree / "bom.txt").write_bytes(b"\xef\xbb\xbfhello\n")
     (tree / "latin.txt").write_bytes("café".encode("latin-1"))
     (tree / "wide.txt").write_bytes(("x" * 65_535 + "é" * 10).encode())
     (tree / "raw.bin").write_bytes(b"\x00\x01")
     keys = ["relative_path", "size_bytes", "sha256", "rows", "columns", "columns_count", "encoding", "file_type"]
-    inline = sorted(map(tuple, manifest.file_manifest(spark, str(tree)).select(*keys).collect()))
-    assert inline == sorted(map(tuple, manifest.file_manifest(spark, str(tree), inline_bytes=0).select(*keys).collect()))
-    found = {r[0]: r for r in inline}
+    found = {r[0]: tuple(r) for r in manifest.file_manifest(spark, str(tree)).select(*keys).collect()}
     assert {n: found[n][6] for n in ("bom.txt", "latin.txt", "wide.txt", "raw.bin")} == {
         "bom.txt": "utf-8-sig", "latin.txt": "latin-1", "wide.txt": "utf-8", "raw.bin": ""
     }
