@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -434,9 +436,11 @@ def _parts(spark, sf):
     return [staged.where(F.col("split") == s) for s in ("train", "validation", "test")]
 
 
-def _trained(spark, sf, epochs=3):
+@functools.lru_cache(maxsize=2)
+def _trained(spark, sf):
+    """Trained once per session and folder; three queries look at the same network."""
     train, validation, test = _parts(spark, sf)
-    model, curve = T.train(train, validation, "y", hidden=(32, 16), max_epochs=epochs, iterations=5)
+    model, curve = T.train(train, validation, "y")
     return train, validation, test, model, curve
 
 
@@ -461,7 +465,7 @@ def _mlp_attack(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     train, _, test, model, _ = _trained(spark, sf)
-    idx = [0, 1, 2, 3]
+    idx = list(range(len(train.select("features").first()[0])))
     ranges = train.select(vector_to_array("features").alias("x")).agg(
         *[f(F.col("x")[i]).alias(f"{n}{i}") for i in idx for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
@@ -470,3 +474,50 @@ def _mlp_attack(spark, sf):
 
 
 QUERIES["mlp_attack"] = _mlp_attack
+
+# A network of fixed weights: two inputs (tax, and the quantity as a whole number), two hidden units, two classes.
+_NET = [[0.9, -1.3], [-0.7, 0.8], [0.2, -0.1], [1.1, -0.6], [-0.9, 1.4], [0.05, -0.05]]
+_SCALES = ((0.04, 0.025), (25.0, 15.0))
+_LOW, _HIGH = (-1.6, -24 / 15.0), (1.6, 25 / 15.0)
+
+
+def _network_fgsm(spark, sf):
+    (m0, s0), (m1, s1) = _SCALES
+    rows = flows(spark, sf).select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "y", F.array((F.col("l_tax") - m0) / s0, (F.col("l_quantity") - m1) / s1).alias("features")
+    )
+    grid = T.attack_network(
+        rows, ((2, 2, 2), [w for row in _NET for w in row]), "y", ["l_orderkey", "l_linenumber"], [0, 1], _LOW, _HIGH, attacks=["FGSM"],
+        keep=["l_returnflag"], whole={1: _SCALES[1]},
+    )
+    return rounded(grid.groupBy("l_returnflag", "budget").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("changed").alias("changed"), F.max("linf").alias("linf"), F.avg("score").alias("score"),
+        F.avg("clean_score").alias("clean_score"), F.sum("pred").alias("predicted"), F.sum("violations").alias("violations"),
+    ))
+
+
+def _forward_sql(a: str, b: str) -> str:
+    """P(class 1) of the fixed network for two inputs."""
+    (w00, w01), (w10, w11), (b0, b1), (v00, v01), (v10, v11), (c0, c1) = _NET
+    h0, h1 = (f"(1 / (1 + exp(-({a} * ({x}) + {b} * ({y}) + ({c})))))" for x, y, c in ((w00, w10, b0), (w01, w11, b1)))
+    return f"(1 / (1 + exp(({h0} * ({v00}) + {h1} * ({v10}) + ({c0})) - ({h0} * ({v01}) + {h1} * ({v11}) + ({c1})))))"
+
+
+def _gradient_sql(i: int) -> str:
+    """Gradient, by input i, of the cross entropy towards class 0, from p (class 1) and the hidden units."""
+    terms = [f"(p * ({_NET[3 + j][1] - _NET[3 + j][0]})) * h{j} * (1 - h{j}) * ({_NET[i][j]})" for j in range(2)]
+    return f"sign({terms[0]} + {terms[1]})"
+
+
+QUERIES["network_fgsm"] = _network_fgsm
+ORACLE["network_fgsm"] = f"""WITH {FLOWS}, z AS (SELECT l_returnflag, y, (l_tax - 0.04::DOUBLE) / 0.025::DOUBLE AS z0, (l_quantity - 25.0::DOUBLE) / 15.0::DOUBLE AS z1 FROM flows),
+ p AS (SELECT *, {_forward_sql('z0', 'z1')} AS p, 1 / (1 + exp(-(z0 * 0.9 + z1 * (-0.7) + 0.2))) AS h0, 1 / (1 + exp(-(z0 * (-1.3) + z1 * 0.8 + (-0.1)))) AS h1 FROM z),
+ moved AS (SELECT *, greatest(least(z0 - budget * {_HIGH[0] - _LOW[0]}::DOUBLE * {_gradient_sql(0)}, {_HIGH[0]}::DOUBLE), {_LOW[0]}::DOUBLE) AS a0,
+  (round_even(greatest(least(z1 - budget * {_HIGH[1] - _LOW[1]}::DOUBLE * {_gradient_sql(1)}, {_HIGH[1]}::DOUBLE), {_LOW[1]}::DOUBLE) * 15.0::DOUBLE + 25.0::DOUBLE, 0) - 25.0::DOUBLE) / 15.0::DOUBLE AS a1
+  FROM p, (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE)) b(budget)),
+ x AS (SELECT *, CASE WHEN y = 1 THEN a0 ELSE z0 END AS x0, CASE WHEN y = 1 THEN a1 ELSE z1 END AS x1 FROM moved)
+SELECT l_returnflag, budget, count(*) AS rows, CAST(sum(CASE WHEN x0 <> z0 THEN 1 ELSE 0 END + CASE WHEN x1 <> z1 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
+ round(max(greatest(abs(x0 - z0), abs(x1 - z1))), 6) AS linf, round(avg({_forward_sql('x0', 'x1')}), 6) AS score, round(avg(p), 6) AS clean_score,
+ CAST(sum(CASE WHEN {_forward_sql('x0', 'x1')} >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
+ CAST(sum(CASE WHEN y = 1 THEN CASE WHEN x0 > {_HIGH[0] + 1e-9}::DOUBLE OR x0 < {_LOW[0] - 1e-9}::DOUBLE THEN 1 ELSE 0 END + CASE WHEN x1 > {_HIGH[1] + 1e-9}::DOUBLE OR x1 < {_LOW[1] - 1e-9}::DOUBLE THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS violations
+FROM x GROUP BY l_returnflag, budget"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowgate.functions.columns import named
 from flowgate.functions.keys import order_key
@@ -28,8 +29,6 @@ MAX_EPOCHS = 15
 PATIENCE = 3
 # Optimizer iterations between two looks at the validation loss.
 ITERATIONS_PER_EPOCH = 10
-# Weights travel with each task; more than this many would be too much to ship.
-MAX_WEIGHTS = 20_000_000
 
 # Tasks carry the numpy helpers of this module with them; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -151,21 +150,22 @@ def benign_gradient(x: np.ndarray, net: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def attack_network(
-    df: DataFrame, model: MultilayerPerceptronClassificationModel, y: str, key: Sequence[str], attackable: Sequence[int],
-    low: Sequence[float], high: Sequence[float], features: str = "features", attacks: Sequence[str] = ATTACKS,
-    budgets: Sequence[float] = BUDGETS, seed: object = ATTACK_SEED, threshold: float = THRESHOLD,
+    df: DataFrame, model: MultilayerPerceptronClassificationModel | tuple[Sequence[int], Sequence[float]], y: str, key: Sequence[str],
+    attackable: Sequence[int], low: Sequence[float], high: Sequence[float], features: str = "features", attacks: Sequence[str] = ATTACKS,
+    budgets: Sequence[float] = BUDGETS, seed: object = ATTACK_SEED, threshold: float = THRESHOLD, keep: Sequence[str] = (),
+    whole: Mapping[int, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """The attack grid against the network, in the layout of ``robustness.attack_grid``.
+    """The attack grid against the network, in the layout of ``robustness.attack_grid``: ``keep`` columns and the results.
 
-    ``attackable`` are feature positions, ``low`` and ``high`` their training range in model units. The
-    gradient of a network has no column expression, so batches of rows go through numpy; rows stay where
-    they are and random starts come from row keys.
+    ``model`` is a trained network or its layer sizes and flat weights. ``attackable`` are feature positions, ``low`` and
+    ``high`` their training range in model units. ``whole`` gives mean and scale of the features that are whole numbers in raw
+    units; they are rounded there after each step. The gradient of a network has no column expression, so batches of
+    rows go through numpy; rows stay where they are and random starts come from row keys.
     """
-    layers = list(model.getLayers())
-    flat = model.weights.toArray()
-    if flat.size > MAX_WEIGHTS:
-        raise ValueError(f"{flat.size} weights are too many to ship with each task")
+    layers, flat = (list(model[0]), np.array(model[1], dtype=float)) if isinstance(model, tuple) else (list(model.getLayers()), model.weights.toArray())
+    shared = df.sparkSession.sparkContext.broadcast(flat)
     idx, lo, hi = np.array(attackable), np.array(low, dtype=float), np.array(high, dtype=float)
+    rounded = [(i, *whole[p]) for i, p in enumerate(attackable) if whole and p in whole]
     conditions = [(a, float(b)) for a in attacks for b in budgets]
 
     def perturb(z: np.ndarray, start: np.ndarray, attack: str, budget: float, net) -> np.ndarray:
@@ -177,17 +177,19 @@ def attack_network(
         for _ in range(steps):
             moved = x[:, idx] - length * np.sign(benign_gradient(x, net)[:, idx])
             moved = np.clip(moved, origin - epsilon, origin + epsilon)
-            x[:, idx] = np.maximum(np.minimum(moved, hi), lo)
+            moved = np.maximum(np.minimum(moved, hi), lo)
+            for i, mean, scale in rounded:
+                moved[:, i] = (np.rint(moved[:, i] * scale + mean) - mean) / scale
+            x[:, idx] = moved
         return x
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = layer_weights(flat, layers)
+        net = layer_weights(shared.value, layers)
         for batch in batches:
             if not len(batch):
                 continue
-            z, start = np.stack(batch["x"].to_numpy()), np.stack(batch["u"].to_numpy())
-            label = batch["y"].to_numpy()
-            hit = label == 1
+            z, start = np.stack(batch["_x"].to_numpy()), np.stack(batch["_u"].to_numpy())
+            hit = (batch["_y"] == 1).to_numpy()
             clean = forward(z, net)[0][:, 1]
             for attack, budget in conditions:
                 x = z.copy()
@@ -195,20 +197,20 @@ def attack_network(
                     x[hit] = perturb(z[hit], start[hit], attack, budget, net)
                 delta = np.abs(x[:, idx] - z[:, idx])
                 outside = ((x[:, idx] > hi + 1e-9) | (x[:, idx] < lo - 1e-9)).sum(axis=1)
-                yield pd.DataFrame(
+                yield pd.concat([batch[list(keep)], pd.DataFrame(
                     {
-                        "y": label, "attack": attack, "budget": budget, "clean_score": clean, "score": forward(x, net)[0][:, 1],
+                        "y": batch["_y"], "attack": attack, "budget": budget, "clean_score": clean, "score": forward(x, net)[0][:, 1],
                         "linf": delta.max(axis=1), "l2": np.sqrt((delta**2).sum(axis=1)), "changed": (delta > 0).sum(axis=1),
                         "violations": np.where(hit, outside, 0),
-                    }
-                )
+                    },
+                    index=batch.index,
+                )], axis=1)
 
     starts = F.array(*random_starts(key, seed, [f"u{i}" for i in attackable]))
-    rows = df.select(named(y).cast("int").alias("y"), vector_to_array(features).alias("x"), starts.alias("u"))
-    out = rows.mapInPandas(
-        run,
-        "y int, attack string, budget double, clean_score double, score double, linf double, l2 double, changed bigint, violations bigint",
-    )
+    x = F.col(features) if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(features)
+    rows = df.select(*[named(k) for k in keep], named(y).cast("int").alias("_y"), x.alias("_x"), starts.alias("_u"))
+    results = T.DataType.fromDDL("y int, attack string, budget double, clean_score double, score double, linf double, l2 double, changed bigint, violations bigint")
+    out = rows.mapInPandas(run, T.StructType([df.schema[k] for k in keep] + results.fields))
     return out.withColumns(
         {"clean_pred": predicted(F.col("clean_score"), threshold), "pred": predicted(F.col("score"), threshold)}
     )

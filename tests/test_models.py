@@ -61,6 +61,31 @@ def test_attack_on_the_network(rows, trained):
     assert grid.where("linf > budget * 2 + 1e-9 or (y = 0 and changed > 0)").count() == 0
 
 
+def test_attack_rounds_whole_numbers_and_keeps_columns(spark):
+    """Both attacks against a plain loop over rows, with one feature that is whole in raw units."""
+    from flowgate.operators.robustness import PGD_STEP_FRACTION, PGD_STEPS, random_starts
+
+    layers, rng = (2, 3, 2), np.random.default_rng(3)
+    flat = rng.normal(size=2 * 3 + 3 + 3 * 2 + 2)
+    net, (mean, scale) = T.layer_weights(flat, layers), (3.0, 2.0)
+    df = spark.range(60).select("id", (F.col("id") % 2).cast("int").alias("y"), F.concat(F.lit("s"), F.col("id") % 3).alias("seed"), F.array((F.col("id") % 7 - 3) / 2.0, (F.col("id") % 5 - 3.0) / 2.0).alias("x"))
+    low, high = np.array([-1.5, -1.5]), np.array([1.5, 0.5])
+    grid = T.attack_network(df, (layers, flat), "y", ["id"], [0, 1], low, high, features="x", budgets=[0.3], keep=["id", "seed"], whole={1: (mean, scale)})
+    got = {(r.id, r.attack): r for r in grid.collect()}
+    starts = df.select("id", "x", "y", "seed", *random_starts(["id"], T.ATTACK_SEED, ["u0", "u1"])).collect()
+    assert len(got) == 120
+    for r in starts:
+        for attack in ("FGSM", "PGD"):
+            z, e = np.array(r.x), 0.3 * (high - low)
+            x, n, step = (z + (2 * np.array([r.u0, r.u1]) - 1) * e, PGD_STEPS, e * PGD_STEP_FRACTION) if attack == "PGD" else (z.copy(), 1, e)
+            for _ in range(n if r.y else 0):
+                x = np.clip(np.clip(x - step * np.sign(T.benign_gradient(x[None], net)[0]), z - e, z + e), low, high)
+                x[1] = (np.rint(x[1] * scale + mean) - mean) / scale
+            x = x if r.y else z
+            out = got[r.id, attack]
+            assert out.seed == r.seed and out.score == pytest.approx(T.forward(x[None], net)[0][0, 1]) and out.linf == pytest.approx(np.abs(x - z).max())
+
+
 def test_audit_models(rows):
     out = {r.model: r.validation_accuracy for r in T.audit_models(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), "y", ["id"]).collect()}
     assert out["linear"] > 0.9 > out["label_shuffle_linear"] and out["dummy"] < 0.7
