@@ -13,14 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bounds on what a pass may bring to the driver.
-MAX_CUTS = 10_000
+# Upper bounds on what a pass may bring to the driver, beyond one cell for each cut.
 MAX_CELLS = 65_536
 MAX_KEYS = 100_000
 # The prefix of a key is extended by at most this many hex digits per pass.
@@ -50,10 +47,20 @@ Targets = Mapping[tuple[object, int], float]
 
 
 def _conditions(cells: Iterable[tuple[object, str]], y: Column, k: Column) -> Column:
+    """Whether a row is in one of the cells. One flat map, however many classes there are."""
     by_class: dict[object, set[str]] = {}
     for cls, prefix in cells:
         by_class.setdefault(cls, set()).add(prefix)
-    return reduce(or_, [(y == F.lit(c)) & k.isin(sorted(p)) for c, p in sorted(by_class.items(), key=str)], F.lit(False))
+    if not by_class:
+        return F.lit(False)
+    prefixes = _by_class({c: F.array(*map(F.lit, sorted(p))) for c, p in by_class.items()}, y)
+    return F.coalesce(F.array_contains(prefixes, k), F.lit(False))
+
+
+def _by_class(values: Mapping[object, Column], y: Column) -> Column:
+    """The value that belongs to the row's class, missing for other classes."""
+    entries = [x for c, value in values.items() for x in (F.lit(c).cast("string"), value)]
+    return F.try_element_at(F.create_map(*entries), y.cast("string"))
 
 
 def _descend(state: dict, targets: Targets, cells: Iterable) -> dict:
@@ -78,8 +85,6 @@ def find_cuts(rows: DataFrame, targets: Targets, label: str, key: str, weight: s
     ``rows`` has a class column, an order key in hex digits and optionally a weight; equal keys form one
     group and are never divided.
     """
-    if len(targets) > MAX_CUTS:
-        raise ValueError(f"{len(targets)} cuts; at most {MAX_CUTS} are supported")
     y, k = F.col(label), F.col(key)
     w = F.lit(1) if weight is None else F.col(weight)
 
@@ -114,22 +119,18 @@ def find_cuts(rows: DataFrame, targets: Targets, label: str, key: str, weight: s
 
 def segment(cuts: Mapping[tuple[object, int], Cut], y: Column, k: Column, classes: Iterable[object], n_cuts: int) -> Column:
     """The number of cuts a row's key lies behind: 0 for rows up to the first cut, 1 up to the second, …"""
-    out = F.lit(None).cast("int")
-    for cls in classes:
-        passed = F.lit(n_cuts)
-        for j in reversed(range(n_cuts)):
-            cut = cuts.get((cls, j))
-            if cut is not None:
-                passed = F.when(k <= F.lit(cut.key), j).otherwise(passed)
-        out = F.when(y == F.lit(cls), passed).otherwise(out)
-    return out
+    def keys(cls: object) -> Column:
+        own = [cuts.get((cls, j)) for j in range(n_cuts)]
+        return F.array(*[F.lit(cut.key if cut else None).cast("string") for cut in own])
+
+    ends = _by_class({cls: keys(cls) for cls in classes}, y)
+    passed = F.array_min(F.transform(ends, lambda key, j: F.when(k <= key, j.cast("int"))))
+    return F.when(ends.isNotNull(), F.coalesce(passed, F.lit(n_cuts)))
 
 
-def totals(rows: DataFrame, label: str, max_classes: int = 1000) -> dict[object, int]:
-    """Rows per class; the label of a classification table has few values, which is checked."""
-    found = rows.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
-    if len(found) > max_classes:
-        raise ValueError(f"column {label} has more than {max_classes} classes")
+def totals(rows: DataFrame, label: str) -> dict[object, int]:
+    """Rows per class: one number for each value of the label."""
+    found = rows.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
     if any(r.y is None for r in found):
         raise ValueError(f"column {label} has missing values; map them to a class first")
     return {r.y: r.n for r in sorted(found, key=lambda r: r.y)}

@@ -77,7 +77,7 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
     scored = F.col("value").isNotNull()
     positive, negative = F.count_if(scored & (F.col("y") == 1)), F.count_if(scored & (F.col("y") == 0))
     counted = binned.groupBy(*by, "bin", "value").agg(positive.alias("pos"), negative.alias("neg"))
-    per_bin = binned.groupBy(*by, "bin").agg(positive.alias("_p"), negative.alias("_n"))
+    per_bin = counted.groupBy(*by, "bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     # One row per group and bin.
     bins = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     below = bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,14 +108,14 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
     )
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, bins: int = 256) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, bins: int | None = None) -> DataFrame:
     """Exact ROC AUC and average precision of a score column, ties included, per group."""
     rows = df.select(*[named(b).alias(b) for b in by], named(y).alias("y"), named(score).cast("double").alias("value"))
     binned = with_bins(rows, bin_edges(rows, ["value"], bins)).withColumnRenamed("_bin_value", "bin")
     return ranking_areas(binned, by, one_class)
 
 
-def univariate_areas(df: DataFrame, features: Sequence[str], label: str, bins: int = 256) -> DataFrame:
+def univariate_areas(df: DataFrame, features: Sequence[str], label: str, bins: int | None = None) -> DataFrame:
     """ROC AUC of each raw numeric feature, all features in one pass; each has its own bins."""
     return ranking_areas(binned_values(df, features, bins, keep=[named(label).alias("y")]), ["feature"])
 

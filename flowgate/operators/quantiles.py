@@ -14,14 +14,22 @@ from flowgate.functions.columns import named
 from flowgate.functions.numbers import finite
 
 INFINITY = float("inf")
+ROWS_PER_BIN = 2_000_000
+MAX_BINS = 20_000
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """Per column at most ``bins - 1`` inner edges that cut the rows into near equal parts.
+def bins_for(rows: int, least: int) -> int:
+    """Bins that hold some millions of rows each, so that ordering one stays a task's work; sketches bound them from above."""
+    return max(least, min(MAX_BINS, -(-rows // ROWS_PER_BIN)))
+
+
+def bin_edges(df: DataFrame, columns: Sequence[str], bins: int | None = None, least: int = 256) -> dict[str, list[float]]:
+    """Per column at most ``bins - 1`` inner edges that cut the rows into near equal parts; by default their number follows the rows.
 
     One pass over all columns with mergeable sketches; a bin exceeds its share by at most its own size,
     unless a single value does, and the edges are parameters of fixed size.
     """
+    bins = bins or bins_for(df.count(), least)
     grid = [i / bins for i in range(1, bins)]
     edges = df.approxQuantile(list(columns), grid, 1.0 / (2 * bins))
     return {c: sorted(set(e)) for c, e in zip(columns, edges)}
@@ -39,13 +47,13 @@ def with_bins(df: DataFrame, edges: dict[str, list[float]], prefix: str = "_bin_
     return out.withColumns({prefix + c: F.col(prefix + c).cast("int") for c in columns})
 
 
-def binned_values(df: DataFrame, columns: Sequence[str], bins: int, keep: Sequence[Column] = ()) -> DataFrame:
+def binned_values(df: DataFrame, columns: Sequence[str], bins: int | None, keep: Sequence[Column] = (), least: int = 256) -> DataFrame:
     """One row per finite value: ``feature``, ``bin``, ``value`` and the ``keep`` columns."""
     # Internal names without dots; the Bucketizer resolves its columns by plain name.
     short = [f"_v{i}" for i in range(len(columns))]
     values = df.select(*keep, *[finite(named(c)).alias(s) for c, s in zip(columns, short)])
     kept = values.columns[: len(keep)]
-    binned = with_bins(values, bin_edges(values, short, bins))
+    binned = with_bins(values, bin_edges(values, short, bins, least))
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("feature"), F.col("_bin_" + s).alias("bin"), F.col(s).alias("value"))
@@ -59,14 +67,14 @@ def binned_values(df: DataFrame, columns: Sequence[str], bins: int, keep: Sequen
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 512) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int | None = None) -> DataFrame:
     """Interpolated quantiles of the finite values: one row per (feature, probability).
 
     A histogram over near equal bins tells which bins hold the wanted ranks; only the values of those bins
     are counted and ordered, each bin in its own task. No task sees a whole column.
     """
     spark = df.sparkSession
-    values = binned_values(df, columns, bins)
+    values = binned_values(df, columns, bins, least=512)
     sizes: dict[str, list] = {c: [] for c in columns}
     for r in values.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r.feature].append((r.bin, r.n))

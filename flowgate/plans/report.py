@@ -63,13 +63,13 @@ def worst_case_table(runs: DataFrame) -> DataFrame:
 
 
 def gate_table(decided: DataFrame, worst: DataFrame) -> DataFrame:
-    """Decisions with the robustness gap of their run."""
-    return join_by(decided, worst.select(*RUN, "robustness_gap"), list(RUN))
+    """Decisions with the robustness gap of their run, in the order of data set and seed."""
+    return join_by(decided, worst.select(*RUN, "robustness_gap"), list(RUN)).orderBy(*RUN)
 
 
 def master_results(clean_runs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Clean runs with their decision."""
-    return join_by(clean_runs, decided.select(*RUN, "decision"), list(RUN))
+    """Clean runs with their decision, in the order of data set and seed."""
+    return join_by(clean_runs, decided.select(*RUN, "decision"), list(RUN)).orderBy(*RUN)
 
 
 def run_grid(spark: SparkSession, datasets: Sequence[str], seeds: Sequence[int], attacks: Sequence[str], budgets: Sequence[float]) -> DataFrame:

@@ -347,3 +347,26 @@ def test_missing_scores_are_left_out_of_the_ranking(spark):
     df = spark.createDataFrame([(0, .1), (1, .9), (1, None), (0, None), (None, .5)], "y int, score double")
     assert one(metrics.ranking_metrics(df)) == (1.0, 1.0)
     assert one(metrics.ranking_metrics(df.where("score is null"))) == (None, None)
+
+
+def test_splits_of_very_many_classes(spark):
+    """The plan does not nest with the number of classes; quotas are exact in each."""
+    df = spark.range(9000).select("id", (F.col("id") % 3000).cast("int").alias("y"))
+    out = sampling.split_rows(df, "y", key=["id"], ratios=(1 / 3, 1 / 3, 1 / 3))
+    assert out.groupBy("split").count().count() == 3 and out.groupBy("y").agg(F.countDistinct("split").alias("n")).where("n <> 3").count() == 0
+    assert sampling.stratified_sample(df, "y", 3000, key=["id"]).groupBy("y").count().where("count <> 1").count() == 0
+
+
+def test_bins_follow_the_rows(spark):
+    assert [quantiles.bins_for(n, 256) for n in (0, 10**6, 10**9, 10**13)] == [256, 256, 500, 20_000]
+    df = spark.range(1_000_000).select((F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("score"))
+    binned = quantiles.with_bins(df, quantiles.bin_edges(df, ["score"]))
+    assert binned.groupBy("_bin_score").count().agg(F.max("count")).first()[0] < 3 * 1_000_000 / 256
+    assert one(metrics.ranking_metrics(df)).roc_auc == pytest.approx(0.5 + 1e-6, abs=1e-9)
+
+
+def test_reports_are_sorted(spark):
+    both = runs(spark).unionByName(runs(spark).withColumn("seed", F.lit(7))).unionByName(runs(spark).withColumn("dataset", F.lit("edge")))
+    decided = gate.decisions(audited(gate.worst_cases(both)))
+    for out in (report.gate_table(decided, report.worst_case_table(both)), report.master_results(both.where("attack = 'FGSM' and budget = 0.01").drop("attack", "budget"), decided)):
+        assert [(r.dataset, r.seed) for r in out.collect()] == [("edge", 42), ("ton", 7), ("ton", 42)]
