@@ -77,10 +77,10 @@ SELECT {_V}, min(y) AS y, count(*) AS copies FROM flows GROUP BY {_V} HAVING cou
 
 # The vector covers more columns than the model sees: the smallest feature row stands for it.
 QUERIES["dedup_representative"] = lambda spark, sf: D.deduplicate(
-    flows(spark, sf), ["l_quantity", "l_extendedprice"], "y", identity=["l_suppkey", "l_linenumber"]
+    flows(spark, sf), ["l_quantity", "l_extendedprice"], "y", identity=["l_partkey", "l_linenumber"]
 )
 ORACLE["dedup_representative"] = f"""WITH {FLOWS}, g AS (SELECT min(row(l_quantity, l_extendedprice)) AS r, min(y) AS y, count(*) AS copies
- FROM flows GROUP BY l_suppkey, l_linenumber HAVING count(DISTINCT y) = 1)
+ FROM flows GROUP BY l_partkey, l_linenumber HAVING count(DISTINCT y) = 1)
 SELECT r[1] AS l_quantity, r[2] AS l_extendedprice, y, copies FROM g"""
 
 QUERIES["drop_conflicts"] = lambda spark, sf: drop_conflicts(flows(spark, sf), VECTOR, "y")

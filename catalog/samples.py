@@ -157,13 +157,26 @@ kept AS (SELECT f.* FROM f JOIN quota USING (y) WHERE filled <= quota),
 r AS (SELECT *, sum(n) OVER (PARTITION BY y ORDER BY k ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY y) AS total FROM kept)
 SELECT seq, port, kind, y AS binary_target, {_THIRDS}, n AS rows FROM r"""
 
-QUERIES["feature_contract"] = lambda spark, sf: LINES.table(spark).select(
-    "dataset", F.array_join("features", ",").alias("features"), "feature_count", F.array_join("removed", ",").alias("removed"),
-    "target", "split_strategy", "seed", F.length("config_id").alias("digest_length"),
-).withColumn("rows", F.lit(table(spark, sf, "lineitem").count()).cast("bigint"))
-ORACLE["feature_contract"] = """SELECT 'lines' AS dataset, 'l_linenumber,l_quantity,l_discount,l_tax' AS features, 4::INTEGER AS feature_count,
+
+def _contract(spark, sf):
+    """The contract, one row per feature, with what the table holds of it."""
+    rows = table(spark, sf, "lineitem")
+    held = rows.select(*[F.countDistinct(c).alias(c) for c in LINES.features]).unpivot([], LINES.features, "feature", "distinct_values")
+    listed = LINES.table(spark).select(
+        "dataset", F.posexplode("features").alias("position", "feature"), "feature_count", F.array_join("removed", ",").alias("removed"),
+        "target", "split_strategy", "seed", "config_id",
+    )
+    return listed.join(held, "feature")
+
+
+QUERIES["feature_contract"] = _contract
+_CONTENT = """{"dataset": "lines", "feature_count": 4, "features": ["l_linenumber", "l_quantity", "l_discount", "l_tax"],
+ "removed": ["l_returnflag", "l_linestatus"], "seed": 42, "split_strategy": "deduplicate_then_stratified", "target": "l_returnflag"}""".replace("\n", "")
+ORACLE["feature_contract"] = f"""WITH held AS (UNPIVOT (SELECT count(DISTINCT l_linenumber) AS l_linenumber, count(DISTINCT l_quantity) AS l_quantity,
+ count(DISTINCT l_discount) AS l_discount, count(DISTINCT l_tax) AS l_tax FROM lineitem) ON * INTO NAME feature VALUE distinct_values)
+SELECT 'lines' AS dataset, (list_position(['l_linenumber', 'l_quantity', 'l_discount', 'l_tax'], feature) - 1)::INTEGER AS position, feature, 4::INTEGER AS feature_count,
  'l_returnflag,l_linestatus' AS removed, 'l_returnflag' AS target, 'deduplicate_then_stratified' AS split_strategy, 42::INTEGER AS seed,
- 64::INTEGER AS digest_length, count(*) AS rows FROM lineitem"""
+ sha256('{_CONTENT}') AS config_id, distinct_values FROM held"""
 
 
 def _materialization(spark, sf):

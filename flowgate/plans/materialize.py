@@ -48,7 +48,7 @@ class Contract:
         """The contract as one row, with a digest of its content."""
         content = json.dumps(
             {
-                "dataset": self.dataset, "features": self.features, "removed": list(self.removed), "target": self.target,
+                "dataset": self.dataset, "features": self.features, "feature_count": len(self.features), "removed": list(self.removed), "target": self.target,
                 "split_strategy": self.duplicate_policy, "seed": self.seed,
             },
             sort_keys=True,
