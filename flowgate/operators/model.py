@@ -206,7 +206,8 @@ def attack_network(
                     index=batch.index,
                 )], axis=1)
 
-    starts = F.array(*random_starts(key, seed, [f"u{i}" for i in attackable]))
+    names = [f"u{i}" for i in attackable]
+    starts = F.array(*(random_starts(key, seed, names) if "PGD" in attacks else [F.lit(0.5) for _ in names]))
     x = F.col(features) if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(features)
     rows = df.select(*[named(k) for k in keep], named(y).cast("int").alias("_y"), x.alias("_x"), starts.alias("_u"))
     results = T.DataType.fromDDL("y int, attack string, budget double, clean_score double, score double, linf double, l2 double, changed bigint, violations bigint")

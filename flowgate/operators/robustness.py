@@ -17,6 +17,7 @@ from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uni
 from flowgate.functions.numbers import measured, share
 from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_metrics, rates
 from flowgate.operators.preprocess import Numeric
+from flowgate.staging import stage
 
 # Conditions of the grid and shape of the iterated attack.
 ATTACKS = ("FGSM", "PGD")
@@ -190,7 +191,7 @@ def attack_grid(
     conditions = F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(float(b)).alias("budget")) for a in attacks for b in budgets])
     base = df.select(
         *[named(k) for k in keep], named(y).alias("y"), *[n.scaled().alias(f"_z_{n.name}") for n in numeric],
-        *random_starts(key, seed, [f"_u_{f}" for f in ranges]),
+        *(random_starts(key, seed, [f"_u_{f}" for f in ranges]) if "PGD" in attacks else [F.lit(0.5).alias(f"_u_{f}") for f in ranges]),
     )
     rows = base.select("*", F.explode(conditions).alias("_c")).select("*", "_c.attack", "_c.budget").drop("_c")
     moved = {}
@@ -226,8 +227,12 @@ def attack_grid(
 def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) -> DataFrame:
     """Per condition: all metrics under attack, success rate, drops against the clean scores, change size.
 
-    Clean and adversarial counts come from the same aggregate.
+    Clean and adversarial counts come from the same aggregate. With ``ranking`` the grid is read more than once, so its
+    results are stored first and the rows are attacked only once.
     """
+    if ranking:
+        results = ("y", "clean_pred", "pred", "score", "linf", "l2", "changed", "violations")
+        grid = stage(grid.select(*[named(c) for c in dict.fromkeys((*by, *results))]))
     y, cp, p = F.col("y"), F.col("clean_pred"), F.col("pred")
     clean = counts(y, cp)
     out = grid.groupBy(*[named(b) for b in by]).agg(
