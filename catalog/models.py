@@ -444,21 +444,65 @@ def _trained(spark, sf):
     return train, validation, test, model, curve
 
 
+# What training finds differs between engines; what must hold of it does not, and is compared with the split as SQL computes it.
+_VECTOR_SPLIT = f"""v AS (SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y FROM embeddings),
+ placed AS (SELECT vec_id, y, row_number() OVER (PARTITION BY y ORDER BY {key_sql(['vec_id'], 42)}) - 1 AS before, count(*) OVER (PARTITION BY y) AS total FROM v),
+ parts AS (SELECT vec_id, y, CASE WHEN before < ceil(round(0.70 * total, 6)) THEN 'train' WHEN before < ceil(round(0.85 * total, 6)) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
+
+
 def _mlp_metrics(spark, sf):
     _, _, test, model, _ = _trained(spark, sf)
-    return E.leakage_alarm(E.scored_metrics(T.score(model, test, ["vec_id", "y"])))
+    scored = T.score(model, test, ["vec_id", "y"])
+    found = E.leakage_alarm(E.scored_metrics(scored)).select(
+        (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+        (F.abs(F.col("accuracy") * (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")) - F.col("tp") - F.col("tn")) < 1e-6).alias("accuracy_agrees"),
+        ((F.greatest("accuracy", "f1", "roc_auc", "attack_recall") > E.ALARM) == F.col("leakage_alarm")).alias("alarm_agrees"),
+    )
+    sane = scored.agg(F.bool_and(F.col("score").between(0, 1)).alias("scores_are_probabilities"))
+    return found.withColumn("_one", F.lit(1)).join(sane.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 QUERIES["mlp_train_score"] = _mlp_metrics
-QUERIES["mlp_history"] = lambda spark, sf: _trained(spark, sf)[4]
+ORACLE["mlp_train_score"] = f"""WITH {_VECTOR_SPLIT} SELECT count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives,
+ true AS accuracy_agrees, true AS alarm_agrees, true AS scores_are_probabilities FROM parts WHERE split = 'test'"""
+
+
+def _history(spark, sf):
+    """The loss curve as what must hold of it: the kept model has the lowest validation loss, and training stopped by its rule."""
+    train, validation, _, model, curve = _trained(spark, sf)
+    kept = T.log_loss(model, validation, "y")
+    facts = curve.agg(
+        F.min("validation_loss").alias("best"), F.max("epoch").alias("last"), F.min_by("epoch", "validation_loss").alias("at"), F.count(F.lit(1)).alias("n")
+    ).select(
+        (F.abs(F.col("best") - kept) < 1e-9).alias("best_is_kept"),
+        ((F.col("last") == T.MAX_EPOCHS) | (F.col("last") - F.col("at") == T.PATIENCE)).alias("stopped_by_rule"), (F.col("n") == F.col("last")).alias("every_epoch_listed"),
+    )
+    rows = train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation"))).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("_one", F.lit(1)).join(facts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+QUERIES["mlp_history"] = _history
+ORACLE["mlp_history"] = f"""WITH {_VECTOR_SPLIT} SELECT split AS part, count(*) AS rows, true AS best_is_kept, true AS stopped_by_rule, true AS every_epoch_listed
+ FROM parts WHERE split <> 'test' GROUP BY split"""
 
 
 def _audit(spark, sf):
+    """The exact accuracy of the prior-only model; the others' as a share of the validation rows."""
     train, validation, _ = _parts(spark, sf)
-    return T.audit_models(train, validation, "y", ["vec_id"])
+    n = validation.count()
+    out = T.audit_models(train, validation, "y", ["vec_id"])
+    hits = F.col("validation_accuracy") * n
+    return out.select(
+        "model", F.when(F.col("model") == "dummy", F.round(hits).cast("bigint")).alias("prior_hits"), F.lit(n).cast("bigint").alias("rows"),
+        ((F.abs(hits - F.round(hits)) < 1e-6) & hits.between(0, n)).alias("whole_hits"),
+    )
 
 
 QUERIES["audit_models"] = _audit
+ORACLE["audit_models"] = f"""WITH {_VECTOR_SPLIT}, prior AS (SELECT y FROM parts WHERE split = 'train' GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
+ n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE y = (SELECT y FROM prior)) AS hits FROM parts WHERE split = 'validation')
+SELECT m AS model, CASE WHEN m = 'dummy' THEN hits END AS prior_hits, rows, true AS whole_hits
+FROM n, (VALUES ('dummy'), ('linear'), ('shallow_tree'), ('label_shuffle_linear')) v(m)"""
 
 
 def _mlp_attack(spark, sf):
@@ -470,15 +514,24 @@ def _mlp_attack(spark, sf):
         *[f(F.col("x")[i]).alias(f"{n}{i}") for i in idx for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
     attacked = T.attack_network(test, model, "y", ["vec_id"], idx, [ranges[f"lo{i}"] for i in idx], [ranges[f"hi{i}"] for i in idx])
-    return R.attack_metrics(attacked, ["attack", "budget"])
+    # The attacks' own figures depend on the training; bounds and counts do not. (A row outside the training range is moved into it.)
+    found = R.attack_metrics(attacked, ["attack", "budget"])
+    sizes = attacked.groupBy("attack", "budget").agg(
+        F.bool_and(F.col("changed").between(0, len(idx)) & ((F.col("changed") > 0) == (F.col("linf") > 0))).alias("changes_counted"), F.bool_and((F.col("y") == 1) | (F.col("changed") == 0)).alias("benign_untouched"),
+        F.sum((F.col("y") == 1).cast("bigint")).alias("positives"),
+    )
+    return found.select("attack", "budget", "subset_N", "semantic_constraint_violations", (F.col("tp") + F.col("fn")).alias("attacked")).join(sizes, ["attack", "budget"])
 
 
 QUERIES["mlp_attack"] = _mlp_attack
+ORACLE["mlp_attack"] = f"""WITH {_VECTOR_SPLIT} SELECT a AS attack, b::DOUBLE AS budget, count(*) AS "subset_N", 0::BIGINT AS semantic_constraint_violations,
+ count(*) FILTER (WHERE y = 1) AS attacked, true AS changes_counted, true AS benign_untouched, count(*) FILTER (WHERE y = 1) AS positives
+ FROM parts, (VALUES ('FGSM'), ('PGD')) t(a), (VALUES (0.01), (0.03), (0.05)) u(b) WHERE split = 'test' GROUP BY a, b"""
 
 # A network of fixed weights: two inputs (tax, and the quantity as a whole number), two hidden units, two classes.
 _NET = [[0.9, -1.3], [-0.7, 0.8], [0.2, -0.1], [1.1, -0.6], [-0.9, 1.4], [0.05, -0.05]]
 _SCALES = ((0.04, 0.025), (25.0, 15.0))
-_LOW, _HIGH = (-1.6, -24 / 15.0), (1.6, 25 / 15.0)
+_NET_LOW, _NET_HIGH = (-1.6, -24 / 15.0), (1.6, 25 / 15.0)
 
 
 def _network_fgsm(spark, sf):
@@ -487,7 +540,7 @@ def _network_fgsm(spark, sf):
         "l_returnflag", "l_orderkey", "l_linenumber", "y", F.array((F.col("l_tax") - m0) / s0, (F.col("l_quantity") - m1) / s1).alias("features")
     )
     grid = T.attack_network(
-        rows, ((2, 2, 2), [w for row in _NET for w in row]), "y", ["l_orderkey", "l_linenumber"], [0, 1], _LOW, _HIGH, attacks=["FGSM"],
+        rows, ((2, 2, 2), [w for row in _NET for w in row]), "y", ["l_orderkey", "l_linenumber"], [0, 1], _NET_LOW, _NET_HIGH, attacks=["FGSM"],
         keep=["l_returnflag"], whole={1: _SCALES[1]},
     )
     return rounded(grid.groupBy("l_returnflag", "budget").agg(
@@ -512,12 +565,12 @@ def _gradient_sql(i: int) -> str:
 QUERIES["network_fgsm"] = _network_fgsm
 ORACLE["network_fgsm"] = f"""WITH {FLOWS}, z AS (SELECT l_returnflag, y, (l_tax - 0.04::DOUBLE) / 0.025::DOUBLE AS z0, (l_quantity - 25.0::DOUBLE) / 15.0::DOUBLE AS z1 FROM flows),
  p AS (SELECT *, {_forward_sql('z0', 'z1')} AS p, 1 / (1 + exp(-(z0 * 0.9 + z1 * (-0.7) + 0.2))) AS h0, 1 / (1 + exp(-(z0 * (-1.3) + z1 * 0.8 + (-0.1)))) AS h1 FROM z),
- moved AS (SELECT *, greatest(least(z0 - budget * {_HIGH[0] - _LOW[0]}::DOUBLE * {_gradient_sql(0)}, {_HIGH[0]}::DOUBLE), {_LOW[0]}::DOUBLE) AS a0,
-  (round_even(greatest(least(z1 - budget * {_HIGH[1] - _LOW[1]}::DOUBLE * {_gradient_sql(1)}, {_HIGH[1]}::DOUBLE), {_LOW[1]}::DOUBLE) * 15.0::DOUBLE + 25.0::DOUBLE, 0) - 25.0::DOUBLE) / 15.0::DOUBLE AS a1
+ moved AS (SELECT *, greatest(least(z0 - budget * {_NET_HIGH[0] - _NET_LOW[0]}::DOUBLE * {_gradient_sql(0)}, {_NET_HIGH[0]}::DOUBLE), {_NET_LOW[0]}::DOUBLE) AS a0,
+  (round_even(greatest(least(z1 - budget * {_NET_HIGH[1] - _NET_LOW[1]}::DOUBLE * {_gradient_sql(1)}, {_NET_HIGH[1]}::DOUBLE), {_NET_LOW[1]}::DOUBLE) * 15.0::DOUBLE + 25.0::DOUBLE, 0) - 25.0::DOUBLE) / 15.0::DOUBLE AS a1
   FROM p, (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE)) b(budget)),
  x AS (SELECT *, CASE WHEN y = 1 THEN a0 ELSE z0 END AS x0, CASE WHEN y = 1 THEN a1 ELSE z1 END AS x1 FROM moved)
 SELECT l_returnflag, budget, count(*) AS rows, CAST(sum(CASE WHEN x0 <> z0 THEN 1 ELSE 0 END + CASE WHEN x1 <> z1 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
  round(max(greatest(abs(x0 - z0), abs(x1 - z1))), 6) AS linf, round(avg({_forward_sql('x0', 'x1')}), 6) AS score, round(avg(p), 6) AS clean_score,
  CAST(sum(CASE WHEN {_forward_sql('x0', 'x1')} >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
- CAST(sum(CASE WHEN y = 1 THEN CASE WHEN x0 > {_HIGH[0] + 1e-9}::DOUBLE OR x0 < {_LOW[0] - 1e-9}::DOUBLE THEN 1 ELSE 0 END + CASE WHEN x1 > {_HIGH[1] + 1e-9}::DOUBLE OR x1 < {_LOW[1] - 1e-9}::DOUBLE THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS violations
+ CAST(sum(CASE WHEN y = 1 THEN CASE WHEN x0 > {_NET_HIGH[0] + 1e-9}::DOUBLE OR x0 < {_NET_LOW[0] - 1e-9}::DOUBLE THEN 1 ELSE 0 END + CASE WHEN x1 > {_NET_HIGH[1] + 1e-9}::DOUBLE OR x1 < {_NET_LOW[1] - 1e-9}::DOUBLE THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS violations
 FROM x GROUP BY l_returnflag, budget"""

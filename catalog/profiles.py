@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import (
     ANY_BAD, FLOWS, MEASUREMENTS, PACKET_NUMERIC, PACKETS, Query, bad_sql, flows, measurements, packets, rounded, table,
 )
+from flowgate.functions import numbers
 from flowgate.operators import profile as P
 from flowgate.operators import quantiles, typeaudit
 
@@ -53,8 +54,33 @@ def _profile_row(name: str) -> str:
 
 ORACLE["column_profile"] = f"WITH {MEASUREMENTS} " + " UNION ALL ".join(_profile_row(c) for c in _MEASURED)
 
-# Sketched cardinalities and quantiles differ between engines, so this one has no SQL twin.
-QUERIES["column_profile_sketched"] = lambda spark, sf: P.column_profile(measurements(spark, sf))
+
+
+def _sketched(spark, sf):
+    """Sketches differ between engines; that they keep their error bounds does not. Ranks of the sketched quantiles are counted exactly."""
+    rows = measurements(spark, sf)
+    found = P.column_profile(rows).collect()
+    exact = P.value_summary(rows, _MEASURED).select("feature", "cardinality")
+    checks, x = [], {f: numbers.finite(F.col(f)) for f in _NUMERIC}
+    for r in found:
+        inside = F.lit(None).cast("boolean")
+        if r.feature in x:
+            n, ranks = F.count(x[r.feature]), []
+            for p, q in zip(P.APPROXIMATE_POINTS, r.percentiles_approx, strict=True):
+                ranks.append((F.count_if(x[r.feature] <= q) >= (p - 0.001) * n) & (F.count_if(x[r.feature] < q) <= (p + 0.001) * n))
+            inside = F.array_min(F.array(*ranks))
+        checks.append(F.struct(F.lit(r.feature).alias("feature"), F.lit(r.missing).alias("missing"), F.lit(r.cardinality_approx).alias("sketched"), inside.alias("quantiles_close")))
+    ranked = rows.agg(F.array(*checks).alias("rows")).select(F.inline("rows"))
+    present = F.col("cardinality") - (F.col("missing") > 0).cast("int")
+    # five standard errors of 5 %
+    return ranked.join(exact, "feature").select("feature", "missing", (F.abs(F.col("sketched") - present) <= 0.25 * present + 1).alias("cardinality_close"), "quantiles_close")
+
+
+QUERIES["column_profile_sketched"] = _sketched
+ORACLE["column_profile_sketched"] = f"WITH {MEASUREMENTS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS missing, true AS cardinality_close, {'true' if c in _NUMERIC else 'NULL::BOOLEAN'} AS quantiles_close FROM measurements"
+    for c in _MEASURED
+)
 
 QUERIES["exact_quantiles"] = lambda spark, sf: rounded(
     quantiles.exact_quantiles(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], P.EXACT_POINTS), 4
