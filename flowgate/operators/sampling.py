@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowgate.functions.columns import named, predictors
 from flowgate.functions.keys import order_key, vector_key
@@ -45,22 +46,21 @@ def _all_columns_key(df: DataFrame, seed: object) -> Column:
     return F.sha2(F.to_json(F.struct(*[named(c).alias(c) for c in df.columns], F.lit(str(seed)).alias("_seed"))), 256)
 
 
-def _copies(rows: DataFrame, shares: Sequence[tuple[int, int]]) -> DataFrame:
-    """``shares`` = (segment, number) copies of the single row in ``rows``, produced in parallel blocks."""
+def _copies(rows: DataFrame, columns: Sequence[str], shares: Sequence[tuple[str, str, int, int]]) -> DataFrame:
+    """Copies of one row per (cell, key), as many per segment as ``shares`` = (cell, key, segment, number) says, made in parallel blocks."""
     spark = rows.sparkSession
-    wanted = F.array(*[F.struct(F.lit(s).alias("_seg"), F.lit(int(n)).cast("bigint").alias("_n")) for s, n in shares if n > 0])
-    blocks = rows.select("*", F.explode(wanted).alias("_w")).select(
-        *[named(c) for c in rows.columns],
-        F.col("_w._seg").alias("_seg"),
-        F.col("_w._n").alias("_n"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_w._n") - 1) / COPY_BLOCK))).alias("_block"),
+    wanted = spark.createDataFrame([s for s in shares if s[3] > 0], "_cell string, _k string, _seg int, _n bigint")
+    one = rows.groupBy("_cell", "_k").agg(F.first(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)])).alias("_row"))
+    blocks = one.join(F.broadcast(wanted), ["_cell", "_k"]).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPY_BLOCK)))
     )
-    spread = blocks.repartition(spark.sparkContext.defaultParallelism, "_seg", "_block")
+    spread = blocks.repartition(spark.sparkContext.defaultParallelism, "_cell", "_k", "_seg", "_block")
     size = F.least(F.lit(COPY_BLOCK).cast("bigint"), F.col("_n") - F.col("_block") * COPY_BLOCK)
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop("_n", "_block", "_copy")
+    numbered = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    return numbered.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(columns)], "_seg")
 
 
-def _shares(cuts: Mapping[tuple[object, int], Cut], cls: object, key: str, n_cuts: int, start: float, rows: float) -> list[tuple[int, int]]:
+def _shares(cuts: Mapping[tuple[object, int], Cut], cls: object, key: str, n_cuts: int, rows: float) -> list[tuple[int, int]]:
     """How many of the key's rows fall into each segment."""
     ends = []
     for j in range(n_cuts):
@@ -90,33 +90,33 @@ def assign_segments(df: DataFrame, label: str, targets: Targets, key: Column, n_
     if not open_cuts:
         return tagged.select(*columns, placed.alias("_seg"))
 
-    # Only keys with more rows than the boundary leaves room for come here.
-    open_keys = sorted({(cls, cut.key) for (cls, _), cut in open_cuts.items()})
-    at_boundary = F.lit(False)
-    for cls, value in open_keys:
-        at_boundary = at_boundary | ((y == F.lit(cls)) & (k == F.lit(value)))
+    # Only keys with more rows than the boundary leaves room for come here: all of them in one filter, stored, and cut once more
+    # as classes of their own, by all their columns.
+    cell = F.concat_ws("/", y.cast("string"), k)
+    spots = sorted({(cls, cut.key) for (cls, _), cut in open_cuts.items()}, key=str)
+    names = dict(zip(spots, _cell_names(df.sparkSession, df.schema[label].dataType, spots), strict=True))
+    at_boundary = cell.isin(list(names.values()))
     out = tagged.where(~at_boundary).select(*columns, placed.alias("_seg"))
-    for cls, value in open_keys:
-        here = tagged.where((y == F.lit(cls)) & (k == F.lit(value))).select(*columns, _all_columns_key(df, seed).alias("_k"))
-        spans = {(cls, j): cut for (c, j), cut in cuts.items() if c == cls}
-        size = next(cut.rows for cut in spans.values() if cut.key == value)
-        inner = {}
+    here = stage(tagged.where(at_boundary).select(*columns, cell.alias("_cell"), _all_columns_key(df, seed).alias("_k")))
+    inner = {}
+    for (cls, value), name in names.items():
+        size = next(cut.rows for (c, _), cut in cuts.items() if c == cls and cut.key == value)
         for j in range(n_cuts):
-            cut = spans.get((cls, j))
-            if cut is None or cut.key < value:
-                inner[cls, j] = 0.0
-            else:
-                inner[cls, j] = size if cut.key > value else cut.take
-        fine = find_cuts(here, inner, label, "_k")
-        fine_placed = segment(fine, y, k, [cls], n_cuts)
-        tied = sorted({cut.key for cut in fine.values() if cut.straddles})
-        out = out.unionByName(here.where(~k.isin(tied)).select(*columns, fine_placed.alias("_seg")))
-        for tie in tied:
-            cut = next(c for c in fine.values() if c.key == tie)
-            one = here.where(k == F.lit(tie)).select(*columns).limit(1)
-            dealt = _shares(fine, cls, tie, n_cuts, cut.before, cut.rows)
-            out = out.unionByName(_copies(one, dealt))
-    return out
+            cut = cuts.get((cls, j))
+            inner[name, j] = 0.0 if cut is None or cut.key < value else size if cut.key > value else cut.take
+    fine = find_cuts(here, inner, "_cell", "_k")
+    tied = {(name, cut.key): cut.rows for (name, _), cut in fine.items() if cut.straddles}
+    tie = F.concat_ws("/", "_cell", "_k").isin([f"{name}/{key}" for name, key in tied])
+    fine_placed = segment(fine, F.col("_cell"), F.col("_k"), list(names.values()), n_cuts)
+    out = out.unionByName(here.where(~tie).select(*columns, fine_placed.alias("_seg")))
+    shares = [(name, key, seg, n) for (name, key), rows in tied.items() for seg, n in _shares(fine, name, key, n_cuts, rows)]
+    return out.unionByName(_copies(here.where(tie), df.columns, shares)) if shares else out
+
+
+def _cell_names(spark: SparkSession, kind: T.DataType, spots: Sequence[tuple[object, str]]) -> list[str]:
+    """Class and key as one text, the class as Spark writes it."""
+    schema = T.StructType([T.StructField("cls", kind), T.StructField("key", T.StringType())])
+    return [r.name for r in spark.createDataFrame(list(spots), schema).select(F.concat_ws("/", F.col("cls").cast("string"), "key").alias("name")).collect()]
 
 
 # ---------------------------------------------------------------- samples
