@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowgate.llm.common import from_texts
 
 RULES = ("first", "most", "share")
-KNOWN_WORDS = 600_000  # encoded words that a worker keeps
+KNOWN_WORDS = 250_000  # encoded words that a worker keeps, some 50 MB
 
 
 class Words(dict):
@@ -75,7 +75,7 @@ class ByteBpe:
         return np.frombuffer(data, dtype="<u4")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def byte_bpe(vocabulary: str, pattern: str) -> ByteBpe:
     return ByteBpe(vocabulary, pattern)
 

@@ -32,7 +32,7 @@ LAMBDAS = np.linspace(0.25, 6.0, 24)
 FROM = 3.0  # segment score at which clean documents are counted for K
 CHANCE = 0.05  # a passage is reported if fewer are expected by chance
 THRESHOLD = 0.7
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000  # scored words that a worker keeps, some 25 MB
 
 
 def remainder(id_col: Column) -> Column:
@@ -126,8 +126,8 @@ def _overall(surprises: list[float]) -> float:
     return min(60.0, some) if some else max([-40.0, *surprises])
 
 
-@lru_cache(maxsize=4)
-def _table(model: Model, _fold: int) -> Scores:
+@lru_cache(maxsize=1)
+def _table(model: Model) -> Scores:
     return Scores(model.toxic, model.both)
 
 
@@ -185,7 +185,7 @@ def _scored(df: DataFrame, text_col: str, model: Model, names: list[str]) -> Dat
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts):
-        table = _table(shared.value, 0)
+        table = _table(shared.value)
         return list(zip(*(_judge(shared.value, t, table) for t in texts), strict=True)) or ([], [], [])
 
     return with_fields(df, text_col, compute, list(zip(names, ("double", "array<int>", "array<double>"), strict=True)))
