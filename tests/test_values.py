@@ -351,10 +351,10 @@ def test_missing_scores_are_left_out_of_the_ranking(spark):
 
 def test_splits_of_very_many_classes(spark):
     """The plan does not nest with the number of classes; quotas are exact in each."""
-    df = spark.range(9000).select("id", (F.col("id") % 3000).cast("int").alias("y"))
+    df = spark.range(3600).select("id", (F.col("id") % 1200).cast("int").alias("y"))
     out = sampling.split_rows(df, "y", key=["id"], ratios=(1 / 3, 1 / 3, 1 / 3))
     assert out.groupBy("split").count().count() == 3 and out.groupBy("y").agg(F.countDistinct("split").alias("n")).where("n <> 3").count() == 0
-    assert sampling.stratified_sample(df, "y", 3000, key=["id"]).groupBy("y").count().where("count <> 1").count() == 0
+    assert sampling.stratified_sample(df, "y", 1200, key=["id"]).groupBy("y").count().where("count <> 1").count() == 0
 
 
 def test_bins_follow_the_rows(spark):
