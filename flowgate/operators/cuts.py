@@ -11,7 +11,8 @@ reach the driver, as fitted parameters; applying a cut is one comparison per row
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import json
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,14 +54,19 @@ def _conditions(cells: Iterable[tuple[object, str]], y: Column, k: Column) -> Co
         by_class.setdefault(cls, set()).add(prefix)
     if not by_class:
         return F.lit(False)
-    prefixes = _by_class({c: F.array(*map(F.lit, sorted(p))) for c, p in by_class.items()}, y)
+    prefixes = _by_class({c: sorted(p) for c, p in by_class.items()}, y)
     return F.coalesce(F.array_contains(prefixes, k), F.lit(False))
 
 
-def _by_class(values: Mapping[object, Column], y: Column) -> Column:
-    """The value that belongs to the row's class, missing for other classes."""
-    entries = [x for c, value in values.items() for x in (F.lit(c).cast("string"), value)]
-    return F.try_element_at(F.create_map(*entries), y.cast("string"))
+def _by_class(values: Mapping[object, Sequence[str | None]], y: Column) -> Column:
+    """The texts that belong to the row's class, missing for other classes: one constant map, planned as a single value."""
+    if all(isinstance(c, (bool, int, str)) for c in values):
+        named = {str(c).lower() if isinstance(c, bool) else str(c): list(v) for c, v in values.items()}
+        table = F.from_json(F.lit(json.dumps(named)), "map<string,array<string>>")
+    else:
+        # other kinds of classes are written as Spark writes them
+        table = F.create_map(*[x for c, v in values.items() for x in (F.lit(c).cast("string"), F.array(*[F.lit(t).cast("string") for t in v]))])
+    return F.try_element_at(table, y.cast("string"))
 
 
 def _descend(state: dict, targets: Targets, cells: Iterable) -> dict:
@@ -119,11 +125,8 @@ def find_cuts(rows: DataFrame, targets: Targets, label: str, key: str, weight: s
 
 def segment(cuts: Mapping[tuple[object, int], Cut], y: Column, k: Column, classes: Iterable[object], n_cuts: int) -> Column:
     """The number of cuts a row's key lies behind: 0 for rows up to the first cut, 1 up to the second, …"""
-    def keys(cls: object) -> Column:
-        own = [cuts.get((cls, j)) for j in range(n_cuts)]
-        return F.array(*[F.lit(cut.key if cut else None).cast("string") for cut in own])
-
-    ends = _by_class({cls: keys(cls) for cls in classes}, y)
+    own = {cls: [cuts.get((cls, j)) for j in range(n_cuts)] for cls in classes}
+    ends = _by_class({cls: [cut.key if cut else None for cut in found] for cls, found in own.items()}, y)
     passed = F.array_min(F.transform(ends, lambda key, j: F.when(k <= key, j.cast("int"))))
     return F.when(ends.isNotNull(), F.coalesce(passed, F.lit(n_cuts)))
 
