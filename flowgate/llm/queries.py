@@ -23,7 +23,7 @@ def op4_packing(spark, sf):
 
 
 def op5_warc_index(spark, sf):
-    return warc.archive(table(spark, sf, "pages")).drop("run")
+    return warc.archive(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_quality(spark, sf):
@@ -52,4 +52,23 @@ QUERIES = {
         op1_token_counts, op2_decontaminate, op3_suffix_dedup, op4_packing, op5_warc_index, op6_quality, op7_simhash, op8_sharding, op9_toxicity, op10_page_text,
     )
 }
-ORACLE: dict[str, str] = {}
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE = {
+    "op2_decontaminate": f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS w FROM benchmark),
+ sized AS (SELECT item, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0),
+ patterns AS (SELECT DISTINCT item, m, list_aggregate(w[k : k + m - 1], 'string_agg', ' ') AS p FROM (SELECT *, unnest(generate_series(1, len(w) - m + 1)) AS k FROM sized)),
+ d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+ windows AS (SELECT doc_id, k, m, list_aggregate(w[k : k + m - 1], 'string_agg', ' ') AS p
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM d, (SELECT DISTINCT m FROM sized) s WHERE len(w) >= m)),
+ found AS (SELECT doc_id, k, windows.m, item FROM windows JOIN patterns USING (m, p)),
+ hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS pos FROM found) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op5_warc_index": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS hex FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}

@@ -231,7 +231,7 @@ def test_archives(spark, none):
 
 
 def test_index_is_ordered(spark, sf):
-    rows = [tuple(r) for r in queries.op5_warc_index(spark, sf).select("url_key", "time", "page_id").collect()]
+    rows = [tuple(r) for r in warc.archive(table(spark, sf, "pages")).select("url_key", "time", "page_id").collect()]
     assert rows == sorted(rows) and len(rows) == table(spark, sf, "pages").count()
 
 
