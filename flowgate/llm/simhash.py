@@ -130,6 +130,20 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
+def blocks(entries: DataFrame, block: int) -> DataFrame:
+    """The rows (``key`` and others) with a ``cell``: 0, but keys with more rows are cut into blocks, and a cell holds two of them."""
+    values = [c for c in entries.columns if c != "key"]
+    large = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    if large.isEmpty():
+        return entries.withColumn("cell", F.lit(0).cast("long"))
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(text_key(F.col(values[0]).cast("string")), parts)
+    # a row is in the cells of its block with every block
+    return entries.join(large, "key", "left").select("key", *values, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select(
+        "key", *values, (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).cast("long").alias("cell")
+    )
+
+
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all linked fingerprints of the distinct column ``fp``."""
     shift = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
@@ -138,16 +152,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         for k, (x, y, z) in enumerate(position_family())
     ]
     entries = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    if large.isEmpty():
-        cells = entries.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        parts = F.coalesce("parts", F.lit(1))
-        own = F.pmod(text_key(F.col("fp").cast("string")), parts)
-        # a row is in the cells of its block with every block
-        cells = entries.join(large, "key", "left").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select(
-            "key", "fp", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).cast("long").alias("cell")
-        )
+    cells = blocks(entries, block)
     dealt = cells.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
     return dealt.mapInArrow(_postings, "a long, b long")
 
@@ -183,6 +188,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content"))
     # many copies of one text are one row per task before they are shuffled
     best = rows.groupBy("fp").agg(first.alias("first")).join(_classes(rows), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return one_of_each(docs, best, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each struct ``first`` (a flag, doc_id, content) of ``best``."""
     key, content, d, c = fresh(docs, "row_id", "content", "chosen_id", "chosen_content")
     chosen = stage(best.select(F.col("first.doc_id").alias(d), F.col("first.content").alias(c)))
     keyed = docs.withColumns({key: F.col(id_col).cast("long"), content: F.coalesce(text_key(text_col), F.lit(0))})
