@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgate.llm.common import ARROW, from_texts, text_key
-from flowgate.llm.tokens import byte_bpe, installed_bpe
+from flowgate.llm.tokens import byte_bpe, installed_added, installed_bpe
 from flowgate.staging import stage
 
 CAPACITY = 1024
@@ -137,9 +137,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     are full but for the last one. ``keep_ids=False`` leaves the ids of whole windows out of the rows that are moved.
     """
     vocabulary, pattern = tokenizer or installed_bpe()
+    added = () if tokenizer else installed_added()
 
     def make(batch):
-        bpe = byte_bpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern, added)
         out = {k: [] for k in ("doc_id", "n", "rem", "whole", "crcs", "tail", "full")}
         for doc, encoded in zip(batch.column(0).to_pylist(), map(bpe.encode, batch.column(1).to_pylist()), strict=True):
             ids = np.append(encoded, np.uint32(END_OF_TEXT)).astype("<u4")

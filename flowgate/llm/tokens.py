@@ -12,6 +12,8 @@ search. A token that crosses a boundary is allocated by a rule:
 from __future__ import annotations
 
 import base64
+import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -42,22 +44,24 @@ class Words(dict):
 
 
 class ByteBpe:
-    """Ids of the byte-level vocabulary, equal to those of its ``tokenizers`` file without special tokens.
+    """Ids of the byte-level vocabulary, equal to those of its ``tokenizers`` file without a post-processor's tokens.
 
     ``vocabulary`` is the rank file. Text is cut at single spaces between other characters, where the split pattern always
-    starts a new piece; most words are then known. A text with another run of white space is encoded whole. Strings that
-    look like special tokens are ordinary text.
+    starts a new piece; most words are then known. A text with another run of white space is encoded whole. ``added`` are the
+    file's added tokens (content, id): a text is first cut at them, and each gives its id. Without them such strings are ordinary text.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
+        self.lengths = np.zeros(max([*ranks.values(), *(i for _, i in added)]) + 1, dtype=np.int64)
+        for token, rank in [*ranks.items(), *((content.encode(), i) for content, i in added)]:
             self.lengths[rank] = len(token)
+        self.added = {content: array("I", [i]).tobytes() for content, i in added}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.words = Words(self._whole)
 
     def _whole(self, text: str) -> bytes:
@@ -65,19 +69,25 @@ class ByteBpe:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit little-endian integers; none for a null or empty text."""
-        first, *rest = (text or "").split(" ")
+        text, data, at = text or "", [], 0
+        for cut in self.cuts.finditer(text) if self.cuts else ():
+            data += [self._ordinary(text[at : cut.start()]), self.added[cut[0]]]
+            at = cut.end()
+        return np.frombuffer(b"".join([*data, self._ordinary(text[at:])]), dtype="<u4")
+
+    def _ordinary(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
         try:
             if first[-1:].isspace() and rest:
                 raise LookupError
-            data = (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+            return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
         except LookupError:
-            data = self._whole(text)
-        return np.frombuffer(data, dtype="<u4")
+            return self._whole(text)
 
 
 @lru_cache(maxsize=1)
-def byte_bpe(vocabulary: str, pattern: str) -> ByteBpe:
-    return ByteBpe(vocabulary, pattern)
+def byte_bpe(vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
+    return ByteBpe(vocabulary, pattern, added)
 
 
 def installed_bpe() -> tuple[str, str]:
@@ -87,6 +97,17 @@ def installed_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def installed_added() -> tuple[tuple[str, int], ...]:
+    """Added tokens of the installed ``tokenizers`` file and their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens are matched as they stand only")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 def line_starts(data: bytes) -> np.ndarray:
     """Sections are lines; a line feed ends its own line. An empty text has one empty section."""
     ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
@@ -136,9 +157,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     vocabulary, pattern = tokenizer or installed_bpe()
+    added = () if tokenizer else installed_added()
 
     def make(batch):
-        bpe = byte_bpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern, added)
         out = {k: [] for k in ("doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens")}
         texts = batch.column(1).to_pylist()
         for doc, text, ids in zip(batch.column(0).to_pylist(), texts, map(bpe.encode, texts), strict=True):
