@@ -12,15 +12,22 @@ the next rank, so there are at most log2(batches) + 1 levels, and an entry is re
 What the scans find is settled exactly: equal surroundings are counted by 128-bit fingerprints, and anchors whose surroundings
 differ are compared with each other, to the left and to the right. A beginning with very many different
 surroundings is settled string by string, spread over all tasks, so no group of any size meets in one place.
+
+The same can be done over words in place of bytes: a text is then the sequence of 64-bit hashes of its words, and a rule says how many of
+them make a string.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import re
+from collections.abc import Sequence
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,27 @@ MANY = 8192  # different surroundings of one beginning that are compared in one
 FEW = 48  # up to so many are compared in pairs, byte by byte; more of them by the fingerprints of their strings
 CHUNK = 1 << 18  # string starts worked on at once, however long a text is
 
+
+class Rule(NamedTuple):
+    """What counts as a repeated string: so many symbols (bytes, or words between white space), and how many of them make its anchor."""
+
+    length: int
+    prefix: int
+    words: bool
+
+    def symbols(self, data: bytes) -> np.ndarray:
+        if not self.words:
+            return np.frombuffer(data, dtype=np.uint8)
+        words = data.split()
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+    def loaded(self, context: bytes) -> np.ndarray:
+        return np.frombuffer(context, dtype=np.uint64 if self.words else np.uint8)
+
+
+LONG_STRINGS = Rule(LENGTH, PREFIX, False)
+PASSAGES = Rule(51, 13, True)  # over fifty words
+
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses modulo 2**64
 
 
@@ -53,8 +81,9 @@ def _fingerprint_tables():
 
 def _prefix_sums(data: np.ndarray, which: int) -> np.ndarray:
     table, powers, _ = _fingerprint_tables()[which]
+    values = table[data] if data.dtype == np.uint8 else _mixed(data ^ table[0]) | np.uint64(1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers[: len(data)], out=sums[1:])
+    np.cumsum(values * powers[: len(data)], out=sums[1:])
     return sums
 
 
@@ -79,21 +108,22 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors_of(data: bytes) -> tuple[np.ndarray, ...]:
-    """Anchors of a text: position, bytes before and after it in the strings that chose it, fingerprint of the next
-    PREFIX bytes, and two fingerprints of all those bytes. Every string start belongs to one anchor."""
+def anchors_of(data: bytes, rule: Rule = LONG_STRINGS) -> tuple[np.ndarray, ...]:
+    """Anchors of a text: position, symbols before and after it in the strings that chose it, fingerprint of the next
+    ``prefix`` symbols, and two fingerprints of all of them. Every string start belongs to one anchor."""
     found = []
-    whole = np.frombuffer(data, dtype=np.uint8)
-    for at in range(0, len(data) - LENGTH + 1, CHUNK):
-        part = whole[at : at + CHUNK + LENGTH - 1]
+    length, prefix, _ = rule
+    whole = rule.symbols(data)
+    for at in range(0, len(whole) - length + 1, CHUNK):
+        part = whole[at : at + CHUNK + length - 1]
         sums = _prefix_sums(part, 0)
-        starts = np.arange(len(part) - PREFIX + 1)
-        heads = _mixed((sums[PREFIX:] - sums[:-PREFIX]) * _fingerprint_tables()[0][2][: len(starts)])
+        starts = np.arange(len(part) - prefix + 1)
+        heads = _mixed((sums[prefix:] - sums[:-prefix]) * _fingerprint_tables()[0][2][: len(starts)])
         # the low bits hold the place, so that the leftmost of equal fingerprints wins
-        least = _sliding_min((heads & np.uint64(~0xFFFFF & (1 << 64) - 1)) | starts.astype(np.uint64), LENGTH - PREFIX + 1)
+        least = _sliding_min((heads & np.uint64(~0xFFFFF & (1 << 64) - 1)) | starts.astype(np.uint64), length - prefix + 1)
         chosen = (least & np.uint64(0xFFFFF)).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(chosen)) + 1))
-        end = np.append(first[1:] - 1, len(chosen) - 1) + LENGTH
+        end = np.append(first[1:] - 1, len(chosen) - 1) + length
         own = chosen[first]
         other = _prefix_sums(part, 1)
         found.append((own + at, own - first, end - own, heads[own], _strings(sums, first, end, 0), _strings(other, first, end, 1)))
@@ -129,14 +159,14 @@ class LevelFamily:
 _ANCHORS = "doc_id long, content long, pos int, before int, after int, key long, c1 long, c2 long, batch int"
 
 
-def _find_anchors(batches_count: int):
+def _find_anchors(batches_count: int, rule: Rule):
     names = [f.split()[0] for f in _ANCHORS.split(", ")]
 
     def rows(batches):
         for batch in slices(batches, "text"):
             parts = []
             for doc, content, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "text")), strict=True):
-                own = anchors_of((text or "").encode())
+                own = anchors_of((text or "").encode(), rule)
                 if len(own[0]):
                     parts.append((doc, content, own))
             if not parts:
@@ -156,18 +186,23 @@ def _find_anchors(batches_count: int):
 _CONTEXT = "key long, many boolean, single boolean, doc_id long, content long, pos int, before int, context binary"
 
 
-def _cut_contexts(batches):
+def _cut_contexts(rule: Rule):
     names = [f.split()[0] for f in _CONTEXT.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in slices(batches, "text"):
-        out: list[list] = [[] for _ in names]
-        for row in batch.to_pylist():
-            data = (row["text"] or "").encode()
-            for w in row["wanted"]:
-                values = (w["key"], w["many"], w["single"], row["doc_id"], row["content"], w["pos"], w["before"], data[w["pos"] - w["before"] : w["pos"] + w["after"]])
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types, strict=True)], names=names)
+
+    def rows(batches):
+        for batch in slices(batches, "text"):
+            out: list[list] = [[] for _ in names]
+            for row in batch.to_pylist():
+                data = rule.symbols((row["text"] or "").encode())
+                for w in row["wanted"]:
+                    context = data[w["pos"] - w["before"] : w["pos"] + w["after"]].tobytes()
+                    values = (w["key"], w["many"], w["single"], row["doc_id"], row["content"], w["pos"], w["before"], context)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types, strict=True)], names=names)
+
+    return rows
 
 
 _SPANS = "doc_id long, content long, begin int, end int"
@@ -179,42 +214,44 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "content", "begin", "end"])
 
 
-def _differences(pieces: list[bytes]) -> np.ndarray:
-    """Rows of bytes, padded with values that equal nothing in another row."""
-    out = np.repeat(np.arange(len(pieces), dtype=np.int32)[:, None] + 256, max(map(len, pieces)) + 1, axis=1)
+def _differences(pieces: list[np.ndarray]) -> np.ndarray:
+    """Rows of symbols, padded with values that equal nothing in another row."""
+    kind = np.int32 if pieces[0].dtype == np.uint8 else np.uint64
+    out = np.repeat(np.arange(len(pieces), dtype=kind)[:, None] + kind(256), max(map(len, pieces)) + 1, axis=1)
     for i, piece in enumerate(pieces):
-        out[i, : len(piece)] = np.frombuffer(piece, dtype=np.uint8)
+        out[i, : len(piece)] = piece
     return out
 
 
-def settle(group: list[tuple]) -> list[tuple]:
-    """Repeated bytes around one anchor of each single entry (single, doc_id, content, pos, before, context) of one beginning."""
+def settle(group: list[tuple], rule: Rule = LONG_STRINGS) -> list[tuple]:
+    """Repeated symbols around one anchor of each single entry (single, doc_id, content, pos, before, context) of one beginning."""
     if len(group) > FEW:
-        return _settle_by_strings(group)
-    left = _differences([c[:b][::-1] for *_, b, c in group])
-    right = _differences([c[b:] for *_, b, c in group])
+        return _settle_by_strings(group, rule)
+    contexts = [(b, rule.loaded(c)) for *_, b, c in group]
+    left = _differences([c[:b][::-1] for b, c in contexts])
+    right = _differences([c[b:] for b, c in contexts])
     spans = []
     for i, (single, doc, content, pos, _, _) in enumerate(group):
         if not single:
             continue
         before = (left != left[i]).argmax(axis=1)
         after = (right != right[i]).argmax(axis=1)
-        valid = before + after >= LENGTH
+        valid = before + after >= rule.length
         valid[i] = False
         if valid.any():
             spans.append((doc, content, pos - int(before[valid].max()), pos + int(after[valid].max())))
     return spans
 
 
-def _own_strings(before: int, context: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _own_strings(before: int, context: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every string that an entry owns the distance to the anchor and two fingerprints."""
-    data = np.frombuffer(context, dtype=np.uint8)
-    starts = np.arange(len(data) - LENGTH + 1)
-    return before - starts, *(_strings(_prefix_sums(data, w), starts, starts + LENGTH, w) for w in (0, 1))
+    data = rule.loaded(context)
+    starts = np.arange(len(data) - rule.length + 1)
+    return before - starts, *(_strings(_prefix_sums(data, w), starts, starts + rule.length, w) for w in (0, 1))
 
 
-def _settle_by_strings(group: list[tuple]) -> list[tuple]:
-    own = [_own_strings(before, context) for *_, before, context in group]
+def _settle_by_strings(group: list[tuple], rule: Rule) -> list[tuple]:
+    own = [_own_strings(before, context, rule) for *_, before, context in group]
     entry = np.repeat(np.arange(len(group)), [len(x) for x, _, _ in own])
     x, first, second = (np.concatenate([o[i] for o in own]) for i in range(3))
     order = np.argsort(first, kind="stable")
@@ -223,52 +260,59 @@ def _settle_by_strings(group: list[tuple]) -> list[tuple]:
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     entry, x = entry[twice], x[twice]
-    most, least = np.full(len(group), -1), np.full(len(group), LENGTH)
+    most, least = np.full(len(group), -1), np.full(len(group), rule.length)
     np.maximum.at(most, entry, x)
     np.minimum.at(least, entry, x)
-    return [(doc, content, pos - int(most[i]), pos - int(least[i]) + LENGTH) for i, (single, doc, content, pos, _, _) in enumerate(group) if single and most[i] >= 0]
-
-
-def _settle_sorted(batches):
-    key, group, spans = None, [], []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "doc_id", "content", "pos", "before", "context")), strict=True):
-            if row[0] != key:
-                if len(group) > 1:
-                    spans += settle(group)
-                key, group = row[0], []
-            group.append(row[1:])
+    return [(doc, content, pos - int(most[i]), pos - int(least[i]) + rule.length) for i, (single, doc, content, pos, _, _) in enumerate(group) if single and most[i] >= 0]
+
+
+def _settle_sorted(rule: Rule):
+    def rows(batches):
+        key, group, spans = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "doc_id", "content", "pos", "before", "context")), strict=True):
+                if row[0] != key:
+                    if len(group) > 1:
+                        spans += settle(group, rule)
+                    key, group = row[0], []
+                group.append(row[1:])
+            yield _spans(spans)
+            spans = []
+        if len(group) > 1:
+            spans += settle(group, rule)
         yield _spans(spans)
-        spans = []
-    if len(group) > 1:
-        spans += settle(group)
-    yield _spans(spans)
+
+    return rows
 
 
 _STRINGS = "key long, single boolean, doc_id long, content long, pos int, x int, s1 long, s2 long"
 
 
-def _all_strings(batches):
+def _all_strings(rule: Rule):
     """Every string that an entry owns: its distance to the anchor and its 128-bit fingerprint."""
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "doc_id", "content", "pos", "before", "context")), strict=True):
-            key, single, doc, content, pos, before, context = row
-            x, *hashes = _own_strings(before, context)
-            n = len(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, key)), pa.array([single] * n, type=pa.bool_()), pa.array([doc] * n, type=pa.int64()), pa.array(np.full(n, content)),
-                 pa.array(np.full(n, pos, dtype=np.int32)), pa.array(x.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
-                names=[f.split()[0] for f in _STRINGS.split(", ")],
-            )
 
+    def rows(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "doc_id", "content", "pos", "before", "context")), strict=True):
+                key, single, doc, content, pos, before, context = row
+                x, *hashes = _own_strings(before, context, rule)
+                n = len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, key)), pa.array([single] * n, type=pa.bool_()), pa.array([doc] * n, type=pa.int64()), pa.array(np.full(n, content)),
+                     pa.array(np.full(n, pos, dtype=np.int32)), pa.array(x.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
+                    names=[f.split()[0] for f in _STRINGS.split(", ")],
+                )
+
+    return rows
 
-def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY) -> DataFrame:
-    """(doc_id, content, begin, end): byte ranges of the texts of (doc_id, content, text) which together are all repeated bytes.
+
+def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY, rule: Rule = LONG_STRINGS) -> DataFrame:
+    """(doc_id, content, begin, end): ranges of bytes (words) of the texts of (doc_id, content, text) which together are all repeated ones.
 
     ``content`` is 64 bits of the text; rows equal in both are copies of each other and share their ranges.
     """
     path = stage_path(docs.sparkSession)
-    docs.mapInArrow(_find_anchors(batches), _ANCHORS).write.partitionBy("batch").parquet(path)
+    docs.mapInArrow(_find_anchors(batches, rule), _ANCHORS).write.partitionBy("batch").parquet(path)
     anchors = docs.sparkSession.read.schema(_ANCHORS).parquet(path)
 
     family = LevelFamily()
@@ -291,22 +335,24 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY) ->
         F.struct("key", "many", (F.col("n") == 1).alias("single"), F.col("one.pos").alias("pos"), "before", "after").alias("w"),
     ).groupBy("d", "c").agg(F.collect_list("w").alias("wanted"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))).select("doc_id", "content", "text", "wanted")
-    contexts = stage(texts.mapInArrow(_cut_contexts, _CONTEXT))
-    few = contexts.where(~F.col("many")).repartition("key").sortWithinPartitions("key").mapInArrow(_settle_sorted, _SPANS)
+    contexts = stage(texts.mapInArrow(_cut_contexts(rule), _CONTEXT))
+    few = contexts.where(~F.col("many")).repartition("key").sortWithinPartitions("key").mapInArrow(_settle_sorted(rule), _SPANS)
     spans = copies.union(few)
     crowded = contexts.where("many")
     if not crowded.isEmpty():
-        strings = stage(crowded.mapInArrow(_all_strings, _STRINGS))
+        strings = stage(crowded.mapInArrow(_all_strings(rule), _STRINGS))
         which = ["key", "x", "s1", "s2"]
         twice = strings.groupBy(*which).agg(F.count("*").alias("n")).where("n > 1").select(*which)
         hit = strings.where("single").join(twice, which, "left_semi").groupBy("doc_id", "content", "pos").agg(F.max("x").alias("most"), F.min("x").alias("least"))
-        spans = spans.union(hit.select("doc_id", "content", F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + LENGTH))
+        spans = spans.union(hit.select("doc_id", "content", F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + rule.length))
     return spans
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+def _merged(spans: list[dict], data: bytes) -> list[tuple[int, int]]:
+    """Runs of bytes; spans of words reach from the first byte of their first word to the last one of their last."""
     out: list[list[int]] = []
-    for begin, end in sorted((s["begin"], s["end"]) for s in spans):
+    words = [m.span() for m in re.finditer(rb"\S+", data)] if any(s["words"] for s in spans) else []
+    for begin, end in sorted((words[s["begin"]][0], words[s["end"] - 1][1]) if s["words"] else (s["begin"], s["end"]) for s in spans):
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -314,12 +360,13 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, batches: int, many: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, batches: int, many: int, rules: Sequence[Rule]) -> tuple[DataFrame, str]:
     """All rows and columns with the spans of their text in one more column."""
     key, content, spans, d, c = fresh(docs, "row_id", "content", "spans", "span_id", "span_content")
     rows = docs.withColumns({key: F.col(id_col).cast("long"), content: text_key(text_col)})
     plain = rows.select(F.col(key).alias("doc_id"), F.col(content).alias("content"), F.col(text_col).alias("text"))
-    found = repeated_spans(plain, batches, many).groupBy(F.col("doc_id").alias(d), F.col("content").alias(c)).agg(F.collect_set(F.struct("begin", "end")).alias(spans))
+    each = [repeated_spans(plain, batches, many, rule).withColumn("words", F.lit(rule.words)) for rule in rules]
+    found = reduce(DataFrame.union, each).groupBy(F.col("doc_id").alias(d), F.col("content").alias(c)).agg(F.collect_set(F.struct("words", "begin", "end")).alias(spans))
     joined = rows.join(stage(found), F.col(key).eqNullSafe(F.col(d)) & (F.col(content) == F.col(c)), "left")
     return joined.drop(key, content, d, c), spans
 
@@ -331,7 +378,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     and texts under 400 bytes lose nothing. Rows equal in id and text are copies of each other like any others. Null ids stay null;
     other columns are ignored. What is left may end inside a character, so ``kept`` is binary.
     """
-    joined, spans = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", batches, many)
+    joined, spans = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", batches, many, [LONG_STRINGS])
 
     def rows(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -340,7 +387,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
             out: list[list] = [[] for _ in names]
             for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", spans)), strict=True):
                 data = (text or "").encode()
-                runs = _merged(found or [])
+                runs = _merged(found or [], data)
                 kept = _without(data, runs)
                 values = (doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)
                 for column, value in zip(out, values, strict=True):
@@ -359,19 +406,23 @@ def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, many: int = MANY) -> DataFrame:
+def _cut(data: bytes, spans: list[dict]) -> bytes:
+    return _without(data, _merged(spans, data))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, many: int = MANY, rules: Sequence[Rule] = (LONG_STRINGS,)) -> DataFrame:
     """All rows and columns of ``docs`` with repeated strings cut out of the text; bytes of a cut character go with it.
 
-    A text without repeats stays as it is, null included.
+    What is repeated by any of the rules goes; each looks at the whole texts. A text without repeats stays as it is, null included.
     """
-    joined, spans = _with_spans(docs, id_col, text_col, batches, many)
+    joined, spans = _with_spans(docs, id_col, text_col, batches, many, rules)
     names = docs.columns
 
     def rows(batches):
         for batch in slices(batches, text_col):
             texts = []
             for text, found in zip(batch.column(text_col).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                texts.append(_without(text.encode(), _merged(found)).decode(errors="ignore") if found else text)
+                texts.append(_cut(text.encode(), found).decode(errors="ignore") if found else text)
             columns = [pa.array(texts, type=batch.column(n).type) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
