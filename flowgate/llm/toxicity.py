@@ -2,10 +2,11 @@
 
 The numbers of toxic and of clean documents with a word, with its first five and with its first four letters give each word
 a log-odds under a Dirichlet prior: a word's prior is the rate of its five letters, theirs that of the four letters, theirs the overall
-rate. Scores are shifted so that ordinary words are negative; a word's repetitions in a text add nothing. One linear scan finds all maximal-scoring segments of
-a document. By the theory of such segments the best chance score in n words has an extreme-value distribution, P(S >= x) =
+rate. Scores are shifted so that ordinary words are negative. One linear scan finds all maximal-scoring segments of
+a document, repeated ones too. By the theory of such segments the best chance score in n words has an extreme-value distribution, P(S >= x) =
 1 - exp(-K n exp(-lambda x)); lambda and K are estimated on clean documents. Passages that are unlikely by chance are reported,
-and a document's score is the calibrated probability that belongs to the surprise of all of them, or of its best passage.
+and a document's score is the calibrated probability that belongs to the surprise of all segments, or of the best one, in a second
+scan where a word counts at its first place only.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ LAMBDAS = np.linspace(0.25, 6.0, 24)
 FROM = 3.0  # segment score at which clean documents are counted for K
 CHANCE = 0.05  # a passage is reported if fewer are expected by chance
 THRESHOLD = 0.7
+KINDS = (0, 1)  # plain scores, each word once
 KNOWN_WORDS = 150_000  # scored words that a worker keeps, some 25 MB
 
 
@@ -86,15 +88,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(after - before)) for b, e, before, after in found]
 
 
-def _score_words(text: str | None, table: Scores) -> np.ndarray:
-    words = words_of(text)
-    scores = np.array(list(map(table.__getitem__, words)), dtype=np.float64)
-    seen = set()
+def _once(words: list[bytes], scores: np.ndarray) -> np.ndarray:
+    """The scores with every positive word counted at its first place only."""
+    out, seen = scores.copy(), set()
     for i in np.flatnonzero(scores > 0).tolist():
         if words[i] in seen:
-            scores[i] = -SHIFT
+            out[i] = -SHIFT
         seen.add(words[i])
-    return scores
+    return out
+
+
+def _scan(text: str | None, table: Scores) -> tuple[list[np.ndarray], list[list[tuple[int, int, float]]]]:
+    """Scores of the words and their segments, plain and each word once."""
+    words = words_of(text)
+    plain = np.array(list(map(table.__getitem__, words)), dtype=np.float64)
+    scores = [plain, _once(words, plain)]
+    return scores, list(map(segments, scores))
 
 
 def _counted(batches):
@@ -113,11 +122,12 @@ class Model:
 
     def __init__(self, toxic: np.ndarray, both: np.ndarray):
         self.toxic, self.both = toxic, both
-        self.decay, self.scale, self.slope, self.offset = 1.0, 1.0, 1.0, 0.0
+        self.decay, self.scale = [1.0, 1.0], [1.0, 1.0]  # of the plain scores, and of each word once
+        self.slope, self.offset = 1.0, 0.0
 
-    def surprise(self, score: float, n: int) -> float:
+    def surprise(self, score: float, n: int, kind: int = 0) -> float:
         """Minus the logarithm of the number of segments as good as this one that chance gives in n words."""
-        return self.decay * score - float(np.log(self.scale * max(n, 1)))
+        return self.decay[kind] * score - float(np.log(self.scale[kind] * max(n, 1)))
 
 
 def _overall(surprises: list[float]) -> float:
@@ -145,26 +155,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def judged(batches):
         tables = [Scores(m.toxic, m.both) for m in folds.value]
         for batch in slices(batches, "text"):
-            out = {"label": batch.column("label").to_pylist(), "n": [], "found": [], "sums": []}
+            out = {"label": batch.column("label").to_pylist(), "n": [], "found0": [], "found1": [], "sums": []}
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-                scores = _score_words(text, tables[fold])
-                out["n"].append(len(scores))
-                out["found"].append([s for _, _, s in segments(scores)])
-                out["sums"].append([float(np.exp(x * scores).sum()) for x in LAMBDAS])
-            yield pa.RecordBatch.from_arrays([pa.array(out["label"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["found"], pa.list_(pa.float64())), pa.array(out["sums"], pa.list_(pa.float64()))], names=list(out))
-
-    seen = stage(own.mapInArrow(judged, "label int, n long, found array<double>, sums array<double>"))
-    clean = seen.where("label = 0").agg(
-        F.sum("n").alias("n"), F.sum(F.exists("found", lambda x: x >= FROM).cast("int")).alias("over"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(LAMBDAS))]
-    ).first()
+                scores, found = _scan(text, tables[fold])
+                out["n"].append(len(scores[0]))
+                for kind in KINDS:
+                    out[f"found{kind}"].append([s for _, _, s in found[kind]])
+                out["sums"].append([float(np.exp(x * scores[kind]).sum()) for kind in KINDS for x in LAMBDAS])
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.int64(), doubles, doubles, doubles), strict=True)], names=list(out))
+
+    seen = stage(own.mapInArrow(judged, "label int, n long, found0 array<double>, found1 array<double>, sums array<double>"))
+    over = [F.sum(F.exists(f"found{kind}", lambda x: x >= FROM).cast("int")).alias(f"over{kind}") for kind in KINDS]
+    clean = seen.where("label = 0").agg(F.sum("n").alias("n"), *over, *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(KINDS) * len(LAMBDAS))]).first()
     model = Model(dense[1] + dense[3], dense.sum(axis=0))
     if clean["n"]:
         # the positive root of E[exp(lambda s)] = 1
-        mean = np.array([clean[f"s{i}"] for i in range(len(LAMBDAS))]) / clean["n"]
-        above = np.flatnonzero(mean >= 1)
-        model.decay = float(LAMBDAS[above[0]] if len(above) else LAMBDAS[-1])
-        model.scale = max(clean["over"], 0.5) / (clean["n"] * float(np.exp(-model.decay * FROM)))
-    surprises = F.transform("found", lambda x: model.decay * x - F.log(F.lit(model.scale) * F.greatest("n", F.lit(1))))
+        for kind in KINDS:
+            mean = np.array([clean[f"s{kind * len(LAMBDAS) + i}"] for i in range(len(LAMBDAS))]) / clean["n"]
+            above = np.flatnonzero(mean >= 1)
+            model.decay[kind] = float(LAMBDAS[above[0]] if len(above) else LAMBDAS[-1])
+            model.scale[kind] = max(clean[f"over{kind}"], 0.5) / (clean["n"] * float(np.exp(-model.decay[kind] * FROM)))
+    surprises = F.transform("found1", lambda x: model.decay[1] * x - F.log(F.lit(model.scale[1]) * F.greatest("n", F.lit(1))))
     some = F.aggregate(F.filter(surprises, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x)
     z = F.when(some > 0, F.least(F.lit(60.0), some)).otherwise(F.greatest(F.lit(-40.0), F.coalesce(F.array_max(surprises), F.lit(-40.0))))
     cells = seen.groupBy((F.round(z * 4) / 4).alias("z"), "label").agg(F.count("*").alias("n")).collect()  # at most 2 x 401 rows
@@ -174,9 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _judge(model, text, table: Scores) -> tuple[float, list[int], list[float]]:
-    scores = _score_words(text, table)
-    found = [(model.surprise(s, len(scores)), b, e) for b, e, s in segments(scores)]
-    best = _overall([f[0] for f in found])
+    scores, (plain, once) = _scan(text, table)
+    n = len(scores[0])
+    best = _overall([model.surprise(s, n, 1) for _, _, s in once])
+    found = [(model.surprise(s, n), b, e) for b, e, s in plain]
     passages = [f for f in found if f[0] >= -np.log(CHANCE)]
     return float(logistic(np.array(model.slope * best + model.offset))), [x for _, b, e in passages for x in (b, e)], [f[0] for f in passages]
 
