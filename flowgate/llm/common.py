@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -18,6 +19,24 @@ ARROW = {
 }
 
 
+_KEPT: list = []
+
+
+def kept(key: tuple, make: Callable):
+    """``make()``, kept in this worker until another table is asked for: a worker that goes on with another stage holds one table at most."""
+    if not _KEPT or _KEPT[0] != key:
+        _KEPT.clear()
+        _KEPT.extend([key, make()])
+    return _KEPT[1]
+
+
+def release() -> None:
+    """Gives back what earlier stages left in this worker: its table, and memory that Arrow holds for later."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

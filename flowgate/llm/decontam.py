@@ -12,13 +12,12 @@ against it, and hits of several blocks are combined per document.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgate.llm.common import fresh, text_key, with_fields
+from flowgate.llm.common import fresh, kept, text_key, with_fields
 from flowgate.staging import stage
 
 WINDOW = 10
@@ -92,9 +91,8 @@ class Matcher:
         return len(words), edges.tolist(), sorted(items)
 
 
-@lru_cache(maxsize=1)
 def _tables(rows: tuple, window: int) -> Matcher:
-    return Matcher(list(rows), window)
+    return kept(("patterns", rows, window), lambda: Matcher(list(rows), window))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):

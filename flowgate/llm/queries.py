@@ -39,7 +39,7 @@ def op8_sharding(spark, sf):
 
 
 def op9_toxicity(spark, sf):
-    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("passages", "surprise")
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"), passages=False).drop("passages", "surprise")
 
 
 def op10_page_text(spark, sf):
@@ -106,9 +106,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
  runs AS (SELECT doc_id, run, min(s) AS b, max(s) + 400 AS e FROM grouped GROUP BY doc_id, run),
  gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM runs),
  cut AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS front
-  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+ w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ strings AS (SELECT doc_id, s, md5(list_aggregate(w[s + 1 : s + 51], 'string_agg', ' ')) AS m FROM (SELECT doc_id, w, unnest(range(0, len(w) - 50)) AS s FROM w WHERE len(w) > 50)),
+ found AS (SELECT doc_id, s FROM strings JOIN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1) USING (m)),
+ opened AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 51, true) AS opens FROM found),
+ passages AS (SELECT doc_id, run, max(s) + 51 - min(s) AS n FROM (SELECT doc_id, s, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM opened) GROUP BY doc_id, run),
+ told AS (SELECT doc_id, count(*) AS n_passages, sum(n)::BIGINT AS n_passage_words FROM passages GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
- sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+ sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_passage_words, 0)::BIGINT AS n_passage_words
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN told USING (doc_id)""",
     "op5_warc_index": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS hex FROM p)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, list_aggregate(list_transform(range(32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31))::INTEGER, 1)), 'string_agg', '') AS payload_digest,

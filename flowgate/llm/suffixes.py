@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgate.llm.common import fresh, slices, text_key
+from flowgate.llm.common import fresh, release, slices, text_key
 from flowgate.staging import stage, stage_path
 
 LENGTH = 400
 PREFIX = 100
 BATCHES = 4
+HOT = 1000  # surroundings that occur in more than one of so many places are told to all tasks
 MANY = 8192  # different surroundings of one beginning that are compared in one task, some 6 MB
 FEW = 48  # up to so many are compared in pairs, byte by byte; more of them by the fingerprints of their strings
 CHUNK = 1 << 18  # string starts worked on at once, however long a text is
@@ -163,6 +164,7 @@ def _find_anchors(batches_count: int, rule: Rule):
     names = [f.split()[0] for f in _ANCHORS.split(", ")]
 
     def rows(batches):
+        release()
         for batch in slices(batches, "text"):
             parts = []
             for doc, content, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "text")), strict=True):
@@ -326,7 +328,12 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY, ru
 
     same = ["key", "c1", "c2", "before", "after"]
     classes = stage(candidates.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "content", "pos")).alias("one")))
-    copies = candidates.join(classes.where("n > 1").select(*same), same, "left_semi").select("doc_id", "content", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("end"))
+    # surroundings that hold more than one row in HOT are at most HOT ones; their rows stay where they are
+    hot = stage(classes.where((F.col("n") > 1) & (F.col("n") * HOT > candidates.count())).select(*same, F.lit(True).alias("hot")))
+    marked = candidates.join(F.broadcast(hot), same, "left")
+    again = marked.where("hot is null").join(classes.where("n > 1").select(*same), same, "left_semi")
+    begin_end = ["doc_id", "content", (F.col("pos") - F.col("before")).alias("begin"), (F.col("pos") + F.col("after")).alias("end")]
+    copies = again.select(*begin_end).union(marked.where("hot").select(*begin_end))
 
     # beginnings with several surroundings, some of which occur once
     mixed = classes.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
@@ -350,9 +357,14 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, many: int = MANY, ru
 
 def _merged(spans: list[dict], data: bytes) -> list[tuple[int, int]]:
     """Runs of bytes; spans of words reach from the first byte of their first word to the last one of their last."""
-    out: list[list[int]] = []
     words = [m.span() for m in re.finditer(rb"\S+", data)] if any(s["words"] for s in spans) else []
-    for begin, end in sorted((words[s["begin"]][0], words[s["end"] - 1][1]) if s["words"] else (s["begin"], s["end"]) for s in spans):
+    return _joined((words[s["begin"]][0], words[s["end"] - 1][1]) if s["words"] else (s["begin"], s["end"]) for s in spans)
+
+
+def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that meet or overlap as one."""
+    out: list[list[int]] = []
+    for begin, end in sorted(spans):
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -372,29 +384,31 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, batches: int, many:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, many: int = MANY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words, kept (the remaining bytes).
 
-    Every byte inside a string of 400 bytes that also starts anywhere else is removed, copies on all sides. Null and empty texts
-    and texts under 400 bytes lose nothing. Rows equal in id and text are copies of each other like any others. Null ids stay null;
-    other columns are ignored. What is left may end inside a character, so ``kept`` is binary.
+    Every byte inside a string of 400 bytes that also starts anywhere else is removed, copies on all sides. Passages are not removed here but reported: stretches of
+    words that lie in strings of 51 words which also start anywhere else, however short the words are. Null and empty texts and texts under
+    both lengths have neither. Rows equal in id and text are copies of each other like any others. Null ids stay null; other columns
+    are ignored. What is left may end inside a character, so ``kept`` is binary.
     """
-    joined, spans = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", batches, many, [LONG_STRINGS])
+    joined, spans = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", batches, many, [LONG_STRINGS, PASSAGES])
 
     def rows(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in names]
             for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", spans)), strict=True):
                 data = (text or "").encode()
-                runs = _merged(found or [], data)
+                runs = _merged([s for s in found or [] if not s["words"]], data)
+                passages = _joined((s["begin"], s["end"]) for s in found or [] if s["words"])
                 kept = _without(data, runs)
-                values = (doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)
+                values = (doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(passages), sum(e - b for b, e in passages), kept)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return joined.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary")
 
 
 def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -413,7 +427,9 @@ def _cut(data: bytes, spans: list[dict]) -> bytes:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, many: int = MANY, rules: Sequence[Rule] = (LONG_STRINGS,)) -> DataFrame:
     """All rows and columns of ``docs`` with repeated strings cut out of the text; bytes of a cut character go with it.
 
-    What is repeated by any of the rules goes; each looks at the whole texts. A text without repeats stays as it is, null included.
+    What is repeated by any of the rules goes; each looks at the whole texts. A text without repeats stays as it is, null and empty ones included, and
+    no row is dropped. Repeated rows are copies of each other and lose the same strings. Null ids are ids like any other. Columns named like those
+    used here, ``content`` or ``spans`` say, are kept. An empty table stays empty.
     """
     joined, spans = _with_spans(docs, id_col, text_col, batches, many, rules)
     names = docs.columns

@@ -15,13 +15,12 @@ import base64
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgate.llm.common import from_texts
+from flowgate.llm.common import from_texts, kept
 
 RULES = ("first", "most", "share")
 KNOWN_WORDS = 250_000  # encoded words that a worker keeps, some 50 MB
@@ -85,9 +84,8 @@ class ByteBpe:
             return self._whole(text)
 
 
-@lru_cache(maxsize=1)
 def byte_bpe(vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
-    return ByteBpe(vocabulary, pattern, added)
+    return kept(("tokens", vocabulary, pattern, added), lambda: ByteBpe(vocabulary, pattern, added))
 
 
 def installed_bpe() -> tuple[str, str]:

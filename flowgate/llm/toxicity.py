@@ -11,15 +11,15 @@ scan where a word counts at its first place only.
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgate.llm.common import fresh, slices, with_fields
+from flowgate.llm.common import fresh, kept, slices, with_fields
 from flowgate.llm.decontam import words_of
 from flowgate.llm.labelled import calibrate, logistic, sample
 from flowgate.staging import stage
@@ -98,12 +98,12 @@ def _once(words: list[bytes], scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(text: str | None, table: Scores) -> tuple[list[np.ndarray], list[list[tuple[int, int, float]]]]:
-    """Scores of the words and their segments, plain and each word once."""
+def _scan(text: str | None, table: Scores, passages: bool = True) -> tuple[list[np.ndarray], list[list[tuple[int, int, float]]]]:
+    """Scores of the words and their segments, plain (if passages are asked for) and each word once."""
     words = words_of(text)
-    plain = np.array(list(map(table.__getitem__, words)), dtype=np.float64)
+    plain = np.fromiter(map(table.__getitem__, words), dtype=np.float64, count=len(words))
     scores = [plain, _once(words, plain)]
-    return scores, list(map(segments, scores))
+    return scores, [segments(plain) if passages else [], segments(scores[1])]
 
 
 def _counted(batches):
@@ -121,7 +121,7 @@ class Model:
     """Counts, extreme-value parameters and calibration; of a size that does not depend on the data."""
 
     def __init__(self, toxic: np.ndarray, both: np.ndarray):
-        self.toxic, self.both = toxic, both
+        self.toxic, self.both, self.key = toxic, both, uuid.uuid4().hex
         self.decay, self.scale = [1.0, 1.0], [1.0, 1.0]  # of the plain scores, and of each word once
         self.slope, self.offset = 1.0, 0.0
 
@@ -136,9 +136,8 @@ def _overall(surprises: list[float]) -> float:
     return min(60.0, some) if some else max([-40.0, *surprises])
 
 
-@lru_cache(maxsize=1)
 def _table(model: Model) -> Scores:
-    return Scores(model.toxic, model.both)
+    return kept(("words", model.key), lambda: Scores(model.toxic, model.both))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
@@ -185,37 +184,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _judge(model, text, table: Scores) -> tuple[float, list[int], list[float]]:
-    scores, (plain, once) = _scan(text, table)
+def _judge(model, text, table: Scores, passages: bool = True) -> tuple[float, list[int], list[float]]:
+    scores, (plain, once) = _scan(text, table, passages)
     n = len(scores[0])
     best = _overall([model.surprise(s, n, 1) for _, _, s in once])
     found = [(model.surprise(s, n), b, e) for b, e, s in plain]
-    passages = [f for f in found if f[0] >= -np.log(CHANCE)]
-    return float(logistic(np.array(model.slope * best + model.offset))), [x for _, b, e in passages for x in (b, e)], [f[0] for f in passages]
+    likely = [f for f in found if f[0] >= -np.log(CHANCE)]
+    return float(logistic(np.array(model.slope * best + model.offset))), [x for _, b, e in likely for x in (b, e)], [f[0] for f in likely]
 
 
-def _scored(df: DataFrame, text_col: str, model: Model, names: list[str]) -> DataFrame:
+def _scored(df: DataFrame, text_col: str, model: Model, names: list[str], passages: bool = True) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts):
         table = _table(shared.value)
-        return list(zip(*(_judge(shared.value, t, table) for t in texts), strict=True)) or ([], [], [])
+        return list(zip(*(_judge(shared.value, t, table, passages) for t in texts), strict=True)) or ([], [], [])
 
     return with_fields(df, text_col, compute, list(zip(names, ("double", "array<int>", "array<double>"), strict=True)))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, passages: bool = True) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, passages (begin, end, ... in words), surprise of each.
 
-    Null and empty texts have no words and the score of a document without any segment. A null id counts as the empty text for
+    The score does not need the scan for passages; with ``passages=False`` none are listed. Null and empty texts have no words and the score of a document without any segment. A null id counts as the empty text for
     ``held_out``. Repeated rows get the same score. Other columns are ignored, labels included.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = _scored(texts, "text", train(docs, labels, id_col, text_col, rows), ["score", "passages", "surprise"])
+    out = _scored(texts, "text", train(docs, labels, id_col, text_col, rows), ["score", "passages", "surprise"], passages)
     return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages", "surprise")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as they are."""
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are, also those named like results.
+
+    Null, empty and wordless texts have the score of a document without any segment and stay unless that is toxic; rows of equal texts
+    share their fate; null ids are never learnt from. An empty table stays empty.
+    """
     names = fresh(docs, "score", "passages", "surprise")
-    return _scored(docs, text_col, train(docs, labels, id_col, text_col, rows), names).where(F.col(names[0]) < threshold).drop(*names)
+    return _scored(docs, text_col, train(docs, labels, id_col, text_col, rows), names, passages=False).where(F.col(names[0]) < threshold).drop(*names)

@@ -53,3 +53,16 @@ def test_strings_of_400_bytes_still_go(spark, sf):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, df, sf).where("doc_id > 20").collect()}
     assert got == {21: None, 22: "", 23: "x"}
+
+
+def test_passages_are_reported(spark):
+    texts = documents()
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    seen = Counter(tuple(w[k : k + 51]) for _, t in texts for w in [(t or "").split()] for k in range(len(w) - 50))
+    for r in suffixes.dedup(df).collect():
+        own = (dict(texts)[r.doc_id] or "").split()
+        hit = [False] * len(own)
+        for k in range(len(own) - 50):
+            if seen[tuple(own[k : k + 51])] > 1:
+                hit[k : k + 51] = [True] * 51
+        assert r.n_passage_words == sum(hit) and r.n_passages == sum(a and not b for a, b in zip(hit, [False, *hit]))

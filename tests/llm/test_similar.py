@@ -64,3 +64,20 @@ def test_crowded_keys(spark, monkeypatch):
     texts = edited()
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert Counter(r.doc_id for r in similar.keep_one(df).collect()) == plain_kept(texts)
+
+
+def test_many_texts_just_below_the_threshold_are_streamed():
+    """4,000 texts that all are candidates of each other: one pair for each in the first pass, none inside a component, and no list of all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    base = r.integers(0, 256, 150)
+    sketches = np.where(r.random((4000, 150)) < 0.87, base, r.integers(0, 256, (4000, 150))).astype(np.uint8)
+    assert len(similar.likely_pairs(sketches)) < 4000
+    assert not list(similar.pairs_between(sketches, np.zeros(4000)))
+    roots = np.zeros(4000, dtype=np.int64)
+    roots[:5] = 1, 2, 2, 3, 4
+    found = [(a, b) for a, others in similar.pairs_between(sketches, roots) for b in others.tolist()]
+    wanted = {(a, b) for a in range(5) for b in range(4000) if roots[a] != roots[b] and (sketches[a] == sketches[b]).mean() >= similar.MAYBE}
+    assert len(found) == len({frozenset(x) for x in found}) and {frozenset(x) for x in found} == {frozenset(x) for x in wanted}
+    assert max(len(others) for _, others in similar.pairs_between(sketches, np.arange(4000))) <= similar.FLUSH
