@@ -100,11 +100,31 @@ ORACLE["csv_parser_summary"] = f"""WITH {_PACKET_KINDS} SELECT count(DISTINCT (e
  count(*) FILTER (WHERE fields <> 4) AS rows_invalid, 1::BIGINT AS header_schema_groups, round((100.0 * count(*) FILTER (WHERE fields <> 4) / count(*))::DOUBLE, 6) AS malformed_pct FROM lines"""
 
 QUERIES["csv_token_probe"] = lambda spark, sf: C.find_token(spark, packet_files(spark, sf), "192.168.0.128", _TXT).select(
-    "expected_fields", "parsed_fields", F.array_join("row_prefix", "|").alias("row_prefix")
+    "line", "expected_fields", "parsed_fields", F.array_join("row_prefix", "|").alias("row_prefix")
 )
-ORACLE["csv_token_probe"] = f"""WITH {_PACKET_KINDS}, hits AS (SELECT *, CAST(event_id AS VARCHAR) || ',' || event_type || ',192.168.0.128,' || CAST(value AS VARCHAR) || CASE WHEN fields = 5 THEN ',extra' ELSE '' END AS record
- FROM lines WHERE note = '192.168.0.128' AND fields <> 2)
-SELECT 4::INTEGER AS expected_fields, fields::INTEGER AS parsed_fields, replace(record, ',', '|') AS row_prefix FROM hits ORDER BY event_type, shard, record LIMIT 20"""
+# The files hold the header and the lines in byte order.
+_CONTENTS = f"""raw AS (SELECT event_type, event_id % 8 AS shard, CAST(event_id AS VARCHAR) || ',' || event_type AS front,
+  CASE WHEN event_id % 11 = 0 THEN '"a, ""quoted"" note"' WHEN event_id % 7 = 0 THEN '192.168.0.128' ELSE 'plain' END || ',' || CAST(value AS VARCHAR) AS back, event_id FROM events),
+ packed AS (SELECT event_type, shard, CASE WHEN event_id % 97 = 0 THEN front || ',' || back || ',extra' WHEN event_id % 89 = 0 THEN front ELSE front || ',' || back END AS line FROM raw),
+ contents AS (SELECT event_type AS kind, CAST(shard AS VARCHAR) AS shard, '{HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) AS body FROM packed GROUP BY ALL)"""
+ORACLE["csv_token_probe"] = f"""WITH {_CONTENTS}, numbered AS (SELECT *, 1 + row_number() OVER (PARTITION BY event_type, shard ORDER BY line) AS number, string_split(line, ',') AS fields FROM packed)
+SELECT number AS line, 4::INTEGER AS expected_fields, len(fields)::INTEGER AS parsed_fields, replace(line, ',', '|') AS row_prefix FROM numbered
+WHERE list_contains(fields, '192.168.0.128') ORDER BY event_type, shard, number LIMIT 20"""
+
+BLOCK = 1 << 14
+
+
+def _large_file(spark, sf):
+    """Orders in one file with quoted line breaks, commas and quotes, shared by many tasks block by block."""
+    root = stage_path(spark, "large")
+    note = F.concat(F.col("o_orderpriority"), F.lit("\n\"é\", "), F.repeat(F.lit("line\n"), (F.col("o_orderkey") % 5).cast("int")))
+    rows = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(root)
+    return root
+
+
+QUERIES["csv_large_file"] = lambda spark, sf: C.read_union(spark, _large_file(spark, sf), types={"o_orderkey": "bigint", "o_totalprice": "double"}, block_bytes=BLOCK).drop("source_file")
+ORACLE["csv_large_file"] = """SELECT o_orderkey, o_orderpriority || chr(10) || '"é", ' || repeat('line' || chr(10), o_orderkey % 5) AS note, o_totalprice FROM orders"""
 
 # ---------------------------------------------------------------- manifests
 
@@ -112,11 +132,6 @@ QUERIES["file_manifest"] = lambda spark, sf: MF.file_manifest(spark, packet_file
     F.regexp_extract("relative_path", r"^kind_folder=([^/]+)/shard=", 1).alias("kind"), F.regexp_extract("relative_path", r"shard=(\d+)/", 1).alias("shard"), "extension", "file_type", "encoding",
     "sha256", "size_bytes",
 )
-# The files hold the header and the lines in byte order.
-_CONTENTS = f"""raw AS (SELECT event_type, event_id % 8 AS shard, CAST(event_id AS VARCHAR) || ',' || event_type AS front,
-  CASE WHEN event_id % 11 = 0 THEN '"a, ""quoted"" note"' WHEN event_id % 7 = 0 THEN '192.168.0.128' ELSE 'plain' END || ',' || CAST(value AS VARCHAR) AS back, event_id FROM events),
- packed AS (SELECT event_type, shard, CASE WHEN event_id % 97 = 0 THEN front || ',' || back || ',extra' WHEN event_id % 89 = 0 THEN front ELSE front || ',' || back END AS line FROM raw),
- contents AS (SELECT event_type AS kind, CAST(shard AS VARCHAR) AS shard, '{HEADER}' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) AS body FROM packed GROUP BY ALL)"""
 ORACLE["file_manifest"] = f"WITH {_CONTENTS} SELECT kind, shard, '.txt' AS extension, 'TXT' AS file_type, 'utf-8' AS encoding, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size_bytes FROM contents"
 
 

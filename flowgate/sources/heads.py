@@ -45,11 +45,11 @@ def encoding_of(head: bytes, whole: bool) -> str:
 
 
 def first_record(stream: io.BufferedIOBase) -> bytes:
-    """Bytes up to the first line end outside quotes, however many they are."""
+    """Bytes up to the first line end outside quotes, however many they are, that end included."""
     record = stream.readline()
     while record.count(b'"') % 2 and (more := stream.readline()):
         record += more
-    return record.rstrip(b"\r\n")
+    return record
 
 
 def _facts(path: str, digest: bool) -> tuple:
@@ -65,18 +65,18 @@ def _facts(path: str, digest: bool) -> tuple:
             sha256 = hashlib.file_digest(file, "sha256").hexdigest()
             file.seek(max(size - 1, 0))
             ended = file.read(1) == b"\n"
-    return path, encoding, header.decode(encoding, errors="replace"), sha256, ended
+    return path, encoding, header.rstrip(b"\r\n").decode(encoding, errors="replace"), header.endswith(b"\r\n"), size, sha256, ended
 
 
 def file_heads(paths: DataFrame, digest: bool = False) -> DataFrame:
-    """(path, encoding, header, sha256, ended) for a table of paths; the last two only with ``digest``, which reads whole files.
+    """(path, encoding, header, returns, size, sha256, ended) for a table of paths; the last two only with ``digest``, which reads whole files.
 
-    ``ended`` tells whether the last byte is a line feed.
+    ``returns`` tells whether the header ends with a carriage return and a line feed, ``ended`` whether the last byte is a line feed.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_facts(path, digest) for path in batch["path"]], columns=["path", "encoding", "header", "sha256", "ended"])
+            yield pd.DataFrame([_facts(path, digest) for path in batch["path"]], columns=["path", "encoding", "header", "returns", "size", "sha256", "ended"])
 
     spread = paths.select("path").repartition(F.col("path"))
-    return spread.mapInPandas(read, "path string, encoding string, header string, sha256 string, ended boolean")
+    return spread.mapInPandas(read, "path string, encoding string, header string, returns boolean, size long, sha256 string, ended boolean")
