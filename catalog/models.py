@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from catalog.samples import _GROUP_SPLIT, label_group_split
 from flowgate.operators import leakage as L
 from flowgate.operators import metrics as E
 from flowgate.operators import model as T
+from flowgate.operators import network as N
 from flowgate.operators import preprocess, profile
 from flowgate.operators import robustness as R
 from flowgate.staging import stage
@@ -436,97 +436,49 @@ def _parts(spark, sf):
     return [staged.where(F.col("split") == s) for s in ("train", "validation", "test")]
 
 
-@functools.lru_cache(maxsize=2)
-def _trained(spark, sf):
-    """Trained once per session and folder; three queries look at the same network."""
-    train, validation, test = _parts(spark, sf)
-    model, curve = T.train(train, validation, "y")
-    return train, validation, test, model, curve
+# What training finds differs between engines, so these four queries return their results without a twin. Their parts are compared with SQL: the
+# split here, a step of training, the forward pass and the attacks for networks of fixed weights below.
+_SETTINGS = {"batch": 256, "rate": 0.01}
 
 
-# What training finds differs between engines; what must hold of it does not, and is compared with the split as SQL computes it.
-_VECTOR_SPLIT = f"""v AS (SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y FROM embeddings),
- placed AS (SELECT vec_id, y, row_number() OVER (PARTITION BY y ORDER BY {key_sql(['vec_id'], 42)}) - 1 AS before, count(*) OVER (PARTITION BY y) AS total FROM v),
- parts AS (SELECT vec_id, y, CASE WHEN before < ceil(round(0.70 * total, 6)) THEN 'train' WHEN before < ceil(round(0.85 * total, 6)) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
+def _trained(spark, sf):
+    train, validation, test = _parts(spark, sf)
+    network, curve = N.train(train, validation, "y", ["vec_id"], **_SETTINGS)
+    return train, test, network, curve
 
 
 def _mlp_metrics(spark, sf):
-    _, _, test, model, _ = _trained(spark, sf)
-    scored = T.score(model, test, ["vec_id", "y"])
-    found = E.leakage_alarm(E.scored_metrics(scored)).select(
-        (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
-        (F.abs(F.col("accuracy") * (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")) - F.col("tp") - F.col("tn")) < 1e-6).alias("accuracy_agrees"),
-        ((F.greatest("accuracy", "f1", "roc_auc", "attack_recall") > E.ALARM) == F.col("leakage_alarm")).alias("alarm_agrees"),
-    )
-    sane = scored.agg(F.bool_and(F.col("score").between(0, 1)).alias("scores_are_probabilities"))
-    return found.withColumn("_one", F.lit(1)).join(sane.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Exact figures of the best epoch's network on the test rows."""
+    _, test, network, curve = _trained(spark, sf)
+    found = E.leakage_alarm(E.scored_metrics(N.score(network, test, ["vec_id", "y"])))
+    picked = curve.agg(F.min_by("epoch", F.struct("validation_loss", "epoch")).alias("best_epoch"), F.count(F.lit(1)).alias("epochs"))
+    return rounded(found.withColumn("_one", F.lit(1)).join(picked.withColumn("_one", F.lit(1)), "_one").drop("_one"))
 
 
 QUERIES["mlp_train_score"] = _mlp_metrics
-ORACLE["mlp_train_score"] = f"""WITH {_VECTOR_SPLIT} SELECT count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives,
- true AS accuracy_agrees, true AS alarm_agrees, true AS scores_are_probabilities FROM parts WHERE split = 'test'"""
-
-
-def _history(spark, sf):
-    """The loss curve as what must hold of it: the kept model has the lowest validation loss, and training stopped by its rule."""
-    train, validation, _, model, curve = _trained(spark, sf)
-    kept = T.log_loss(model, validation, "y")
-    facts = curve.agg(
-        F.min("validation_loss").alias("best"), F.max("epoch").alias("last"), F.min_by("epoch", "validation_loss").alias("at"), F.count(F.lit(1)).alias("n")
-    ).select(
-        (F.abs(F.col("best") - kept) < 1e-9).alias("best_is_kept"),
-        ((F.col("last") == T.MAX_EPOCHS) | (F.col("last") - F.col("at") == T.PATIENCE)).alias("stopped_by_rule"), (F.col("n") == F.col("last")).alias("every_epoch_listed"),
-    )
-    rows = train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation"))).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    return rows.withColumn("_one", F.lit(1)).join(facts.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
+QUERIES["mlp_history"] = lambda spark, sf: rounded(_trained(spark, sf)[3])
+QUERIES["audit_models"] = lambda spark, sf: rounded(T.audit_models(*_parts(spark, sf)[:2], "y", ["vec_id"]))
 
-QUERIES["mlp_history"] = _history
-ORACLE["mlp_history"] = f"""WITH {_VECTOR_SPLIT} SELECT split AS part, count(*) AS rows, true AS best_is_kept, true AS stopped_by_rule, true AS every_epoch_listed
- FROM parts WHERE split <> 'test' GROUP BY split"""
-
-
-def _audit(spark, sf):
-    """The exact accuracy of the prior-only model; the others' as a share of the validation rows."""
-    train, validation, _ = _parts(spark, sf)
-    n = validation.count()
-    out = T.audit_models(train, validation, "y", ["vec_id"])
-    hits = F.col("validation_accuracy") * n
-    return out.select(
-        "model", F.when(F.col("model") == "dummy", F.round(hits).cast("bigint")).alias("prior_hits"), F.lit(n).cast("bigint").alias("rows"),
-        ((F.abs(hits - F.round(hits)) < 1e-6) & hits.between(0, n)).alias("whole_hits"),
-    )
-
-
-QUERIES["audit_models"] = _audit
-ORACLE["audit_models"] = f"""WITH {_VECTOR_SPLIT}, prior AS (SELECT y FROM parts WHERE split = 'train' GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
- n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE y = (SELECT y FROM prior)) AS hits FROM parts WHERE split = 'validation')
-SELECT m AS model, CASE WHEN m = 'dummy' THEN hits END AS prior_hits, rows, true AS whole_hits
-FROM n, (VALUES ('dummy'), ('linear'), ('shallow_tree'), ('label_shuffle_linear')) v(m)"""
+QUERIES["vector_split"] = lambda spark, sf: stage(vectors(spark, sf)).groupBy("split", "y").agg(F.count(F.lit(1)).alias("rows"), F.sum("vec_id").alias("ids"))
+ORACLE["vector_split"] = f"""WITH v AS (SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y FROM embeddings),
+ placed AS (SELECT vec_id, y, row_number() OVER (PARTITION BY y ORDER BY {key_sql(['vec_id'], 42)}) - 1 AS before, count(*) OVER (PARTITION BY y) AS total FROM v)
+SELECT CASE WHEN before < ceil(round(0.70 * total, 6)) THEN 'train' WHEN before < ceil(round(0.85 * total, 6)) THEN 'validation' ELSE 'test' END AS split, y::INTEGER AS y,
+ count(*) AS rows, sum(vec_id)::BIGINT AS ids FROM placed GROUP BY ALL"""
 
 
 def _mlp_attack(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    train, _, test, model, _ = _trained(spark, sf)
-    idx = list(range(len(train.select("features").first()[0])))
+    train, test, network, _ = _trained(spark, sf)
+    idx = list(range(network.widths[0]))
     ranges = train.select(vector_to_array("features").alias("x")).agg(
         *[f(F.col("x")[i]).alias(f"{n}{i}") for i in idx for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
-    attacked = T.attack_network(test, model, "y", ["vec_id"], idx, [ranges[f"lo{i}"] for i in idx], [ranges[f"hi{i}"] for i in idx])
-    # The attacks' own figures depend on the training; bounds and counts do not. (A row outside the training range is moved into it.)
-    found = R.attack_metrics(attacked, ["attack", "budget"])
-    sizes = attacked.groupBy("attack", "budget").agg(
-        F.bool_and(F.col("changed").between(0, len(idx)) & ((F.col("changed") > 0) == (F.col("linf") > 0))).alias("changes_counted"), F.bool_and((F.col("y") == 1) | (F.col("changed") == 0)).alias("benign_untouched"),
-        F.sum((F.col("y") == 1).cast("bigint")).alias("positives"),
-    )
-    return found.select("attack", "budget", "subset_N", "semantic_constraint_violations", (F.col("tp") + F.col("fn")).alias("attacked")).join(sizes, ["attack", "budget"])
+    attacked = T.attack_network(test, network, "y", ["vec_id"], idx, [ranges[f"lo{i}"] for i in idx], [ranges[f"hi{i}"] for i in idx])
+    return rounded(R.attack_metrics(attacked, ["attack", "budget"]))
 
 
 QUERIES["mlp_attack"] = _mlp_attack
-ORACLE["mlp_attack"] = f"""WITH {_VECTOR_SPLIT} SELECT a AS attack, b::DOUBLE AS budget, count(*) AS "subset_N", 0::BIGINT AS semantic_constraint_violations,
- count(*) FILTER (WHERE y = 1) AS attacked, true AS changes_counted, true AS benign_untouched, count(*) FILTER (WHERE y = 1) AS positives
- FROM parts, (VALUES ('FGSM'), ('PGD')) t(a), (VALUES (0.01), (0.03), (0.05)) u(b) WHERE split = 'test' GROUP BY a, b"""
 
 # A network of fixed weights: two inputs (tax, and the quantity as a whole number), two hidden units, two classes.
 _NET = [[0.9, -1.3], [-0.7, 0.8], [0.2, -0.1], [1.1, -0.6], [-0.9, 1.4], [0.05, -0.05]]
@@ -574,3 +526,89 @@ SELECT l_returnflag, budget, count(*) AS rows, CAST(sum(CASE WHEN x0 <> z0 THEN
  CAST(sum(CASE WHEN {_forward_sql('x0', 'x1')} >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
  CAST(sum(CASE WHEN y = 1 THEN CASE WHEN x0 > {_NET_HIGH[0] + 1e-9}::DOUBLE OR x0 < {_NET_LOW[0] - 1e-9}::DOUBLE THEN 1 ELSE 0 END + CASE WHEN x1 > {_NET_HIGH[1] + 1e-9}::DOUBLE OR x1 < {_NET_LOW[1] - 1e-9}::DOUBLE THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS violations
 FROM x GROUP BY l_returnflag, budget"""
+
+# ---------------------------------------------------------------- the specified network with fixed weights
+
+# Two inputs, two rectified units, two classes; matrix by rows, then bias, layer by layer.
+_RELU = [0.9, -1.3, -0.7, 0.8, 0.21, 0.43, 1.1, -0.6, -0.9, 1.4, 0.05, -0.05]
+_STEP, _MEAN, _SQUARE, _LEARN = 3, 0.01, 0.04, 0.05
+
+
+def _inputs(spark, sf):
+    (m0, s0), (m1, s1) = _SCALES
+    return flows(spark, sf).select("l_returnflag", "l_orderkey", "l_linenumber", "y", F.array((F.col("l_tax") - m0) / s0, (F.col("l_quantity") - m1) / s1).alias("features"))
+
+
+def _network_step(spark, sf):
+    """One step of training over all rows: mean gradient, and weights after Adam went on from its fourth step."""
+    network = N.Network((2, 2, 2), np.array(_RELU))
+    rows = _inputs(spark, sf).select(F.col("features").alias("x"), F.col("y").cast("int").alias("y"), F.xxhash64("l_orderkey", "l_linenumber").alias("h"))
+    n, loss, gradient = N.mean_gradient(rows, network)
+    flat, _ = N.Adam(_STEP, np.full(len(_RELU), _MEAN), np.full(len(_RELU), _SQUARE)).apply(network.flat, gradient, _LEARN)
+    found = [(i, n, loss, float(g), float(w)) for i, (g, w) in enumerate(zip(gradient, flat))]
+    return rounded(spark.createDataFrame(found, "parameter int, rows long, loss double, gradient double, weight double"))
+
+
+_INPUTS = "z AS (SELECT l_returnflag, l_orderkey, l_linenumber, y, (l_tax - 0.04::DOUBLE) / 0.025::DOUBLE AS z0, (l_quantity - 25.0::DOUBLE) / 15.0::DOUBLE AS z1 FROM flows)"
+
+
+def _relu_sql(a: str, b: str) -> tuple[str, str, str]:
+    """Both hidden units and the difference of the outputs (class 1 less class 0) for two inputs."""
+    w = [f"({x}::DOUBLE)" for x in _RELU]
+    h0, h1 = (f"greatest({a} * {w[j]} + {b} * {w[2 + j]} + {w[4 + j]}, 0)" for j in range(2))
+    return h0, h1, f"({h0} * ({w[7]} - {w[6]}) + {h1} * ({w[9]} - {w[8]}) + ({w[11]} - {w[10]}))"
+
+
+_H0, _H1, _MARGIN = _relu_sql("z0", "z1")
+_TERMS = ["z0 * e0", "z0 * e1", "z1 * e0", "z1 * e1", "e0", "e1", "h0 * d0", "h0 * d1", "h1 * d0", "h1 * d1", "d0", "d1"]
+QUERIES["network_step"] = _network_step
+ORACLE["network_step"] = f"""WITH {FLOWS}, {_INPUTS}, p AS (SELECT *, {_H0} AS h0, {_H1} AS h1, 1 / (1 + exp(-{_MARGIN})) AS p FROM z),
+ d AS (SELECT *, (1 - p) - (y = 0)::INTEGER AS d0, p - (y = 1)::INTEGER AS d1 FROM p),
+ e AS (SELECT *, CASE WHEN h0 > 0 THEN d0 * ({_RELU[6]}::DOUBLE) + d1 * ({_RELU[7]}::DOUBLE) ELSE 0 END AS e0, CASE WHEN h1 > 0 THEN d0 * ({_RELU[8]}::DOUBLE) + d1 * ({_RELU[9]}::DOUBLE) ELSE 0 END AS e1 FROM d),
+ m AS (SELECT count(*) AS rows, avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS loss, [{', '.join(f'avg({t})' for t in _TERMS)}] AS g FROM e),
+ g AS (SELECT rows, loss, g, least(1.0::DOUBLE, 5.0::DOUBLE / (sqrt(list_sum(list_transform(g, lambda x: x * x))) + 1e-6)) AS cut FROM m),
+ v AS (SELECT unnest(range(12)) AS i, unnest(g) AS gradient, unnest([{', '.join(f'{x}::DOUBLE' for x in _RELU)}]) AS w, rows, loss, cut FROM g)
+SELECT i::INTEGER AS parameter, rows, round(loss, 6) AS loss, round(gradient, 6) AS gradient,
+ round(w - {_LEARN} * ((0.9 * {_MEAN} + 0.1 * cut * gradient) / (1 - pow(0.9::DOUBLE, {_STEP + 1}))) / (sqrt((0.999 * {_SQUARE} + 0.001 * pow(cut * gradient, 2)) / (1 - pow(0.999::DOUBLE, {_STEP + 1}))) + 1e-8), 6) AS weight
+FROM v"""
+
+
+def _network_pgd(spark, sf):
+    """Both attacks on the network of rectified units, iterated steps from random starts included."""
+    grid = T.attack_network(_inputs(spark, sf), N.Network((2, 2, 2), np.array(_RELU)), "y", ["l_orderkey", "l_linenumber"], [0, 1], _NET_LOW, _NET_HIGH, budgets=[0.03], keep=["l_returnflag"])
+    return rounded(grid.groupBy("l_returnflag", "attack").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("changed").alias("changed"), F.avg("linf").alias("linf"), F.avg("l2").alias("l2"), F.avg("score").alias("score"), F.avg("clean_score").alias("clean_score"),
+        F.sum("pred").alias("predicted"),
+    ))
+
+
+def _towards(a: str, b: str) -> list[str]:
+    """Sign of the gradient, by each input, of the cross entropy towards class 0."""
+    h0, h1, _ = _relu_sql(a, b)
+    rise = [_RELU[7] - _RELU[6], _RELU[9] - _RELU[8]]
+    return [f"sign(CASE WHEN {h0} > 0 THEN {_RELU[2 * i] * rise[0]!r}::DOUBLE ELSE 0 END + CASE WHEN {h1} > 0 THEN {_RELU[2 * i + 1] * rise[1]!r}::DOUBLE ELSE 0 END)" for i in range(2)]
+
+
+def _moves_sql(steps: int) -> str:
+    """Tables s1, s2, ... of the inputs after each step, for rows (z0, z1) that have come to (x0, x1) and move by (l0, l1) within (e0, e1)."""
+    parts = []
+    for k in range(1, steps + 1):
+        toward = _towards("x0", "x1")
+        now = [f"CASE WHEN last >= {k} AND y = 1 THEN greatest(least(least(greatest(x{i} - l{i} * {toward[i]}, z{i} - e{i}), z{i} + e{i}), {_NET_HIGH[i]!r}::DOUBLE), {_NET_LOW[i]!r}::DOUBLE) ELSE x{i} END AS x{i}" for i in range(2)]
+        parts.append(f"s{k} AS MATERIALIZED (SELECT * REPLACE ({', '.join(now)}) FROM s{k - 1})")
+    return ",\n ".join(parts)
+
+
+def _start_sql(i: int) -> str:
+    return f"(('0x' || substr({key_sql(['l_orderkey', 'l_linenumber'], f'{R.ATTACK_SEED}/0')}, {1 + 7 * i}, 7))::BIGINT / 268435456.0::DOUBLE)"
+
+
+_WIDTHS = [0.03 * (_NET_HIGH[i] - _NET_LOW[i]) for i in range(2)]
+QUERIES["network_pgd"] = _network_pgd
+ORACLE["network_pgd"] = f"""WITH {FLOWS}, {_INPUTS}, attacks(attack, last, part) AS (VALUES ('FGSM', 1, 1.0::DOUBLE), ('PGD', {R.PGD_STEPS}, {R.PGD_STEP_FRACTION}::DOUBLE)),
+ b AS (SELECT *, {', '.join(f'{w!r}::DOUBLE AS e{i}, {w!r}::DOUBLE * part AS l{i}, {_start_sql(i)} AS u{i}' for i, w in enumerate(_WIDTHS))} FROM z, attacks),
+ s0 AS (SELECT *, {', '.join(f"CASE WHEN y = 1 AND attack = 'PGD' THEN z{i} + (2 * u{i} - 1) * e{i} ELSE z{i} END AS x{i}" for i in range(2))} FROM b),
+ {_moves_sql(R.PGD_STEPS)},
+ done AS (SELECT *, abs(x0 - z0) AS c0, abs(x1 - z1) AS c1, 1 / (1 + exp(-{_MARGIN})) AS clean_score, 1 / (1 + exp(-{_relu_sql('x0', 'x1')[2]})) AS score FROM s{R.PGD_STEPS})
+SELECT l_returnflag, attack, count(*) AS rows, CAST(sum((c0 > 0)::INTEGER + (c1 > 0)::INTEGER) AS BIGINT) AS changed, round(avg(greatest(c0, c1)), 6) AS linf, round(avg(sqrt(c0 * c0 + c1 * c1)), 6) AS l2,
+ round(avg(score), 6) AS score, round(avg(clean_score), 6) AS clean_score, CAST(sum((score >= 0.5)::INTEGER) AS BIGINT) AS predicted FROM done GROUP BY l_returnflag, attack"""

@@ -20,6 +20,7 @@ from flowgate.functions.columns import named
 from flowgate.functions.keys import order_key
 from flowgate.operators.cuts import find_cuts, segment, totals
 from flowgate.operators.metrics import predicted
+from flowgate.operators.network import Network
 from flowgate.operators.robustness import ATTACKS, ATTACK_SEED, BUDGETS, PGD_STEPS, PGD_STEP_FRACTION, THRESHOLD, random_starts
 
 # Shape and stopping rule of the classifier.
@@ -128,40 +129,42 @@ def layer_weights(weights: np.ndarray, layers: Sequence[int]) -> list[tuple[np.n
     return out
 
 
-def forward(x: np.ndarray, net: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Class probabilities and hidden activations: sigmoid units, softmax output."""
+def forward(x: np.ndarray, net: list[tuple[np.ndarray, np.ndarray]], rectified: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Class probabilities and hidden activations: sigmoid or rectified units, softmax output."""
     hidden = []
     for matrix, bias in net[:-1]:
-        x = 1.0 / (1.0 + np.exp(-(x @ matrix + bias)))
+        x = x @ matrix + bias
+        x = np.maximum(x, 0.0) if rectified else 1.0 / (1.0 + np.exp(-x))
         hidden.append(x)
     logits = x @ net[-1][0] + net[-1][1]
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True), hidden
 
 
-def benign_gradient(x: np.ndarray, net: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def benign_gradient(x: np.ndarray, net: list[tuple[np.ndarray, np.ndarray]], rectified: bool = False) -> np.ndarray:
     """Gradient, by input, of the cross entropy towards class 0."""
-    p, hidden = forward(x, net)
+    p, hidden = forward(x, net, rectified)
     back = p.copy()
     back[:, 0] -= 1.0
     for (matrix, _), h in zip(reversed(net[1:]), reversed(hidden)):
-        back = (back @ matrix.T) * h * (1.0 - h)
+        back = (back @ matrix.T) * ((h > 0) if rectified else h * (1.0 - h))
     return back @ net[0][0].T
 
 
 def attack_network(
-    df: DataFrame, model: MultilayerPerceptronClassificationModel | tuple[Sequence[int], Sequence[float]], y: str, key: Sequence[str],
+    df: DataFrame, model: Network | MultilayerPerceptronClassificationModel | tuple[Sequence[int], Sequence[float]], y: str, key: Sequence[str],
     attackable: Sequence[int], low: Sequence[float], high: Sequence[float], features: str = "features", attacks: Sequence[str] = ATTACKS,
     budgets: Sequence[float] = BUDGETS, seed: object = ATTACK_SEED, threshold: float = THRESHOLD, keep: Sequence[str] = (),
     whole: Mapping[int, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """The attack grid against the network, in the layout of ``robustness.attack_grid``: ``keep`` columns and the results.
 
-    ``model`` is a trained network or its layer sizes and flat weights. ``attackable`` are feature positions, ``low`` and
+    ``model`` is a trained network, with rectified or sigmoid units, or the layer sizes and flat weights of one with sigmoid units. ``attackable`` are feature positions, ``low`` and
     ``high`` their training range in model units. ``whole`` gives mean and scale of the features that are whole numbers in raw
     units; they are rounded there after each step. The gradient of a network has no column expression, so batches of
     rows go through numpy; rows stay where they are and random starts come from row keys.
     """
+    rectified = isinstance(model, Network)
     layers, flat = (list(model[0]), np.array(model[1], dtype=float)) if isinstance(model, tuple) else (list(model.getLayers()), model.weights.toArray())
     shared = df.sparkSession.sparkContext.broadcast(flat)
     idx, lo, hi = np.array(attackable), np.array(low, dtype=float), np.array(high, dtype=float)
@@ -175,7 +178,7 @@ def attack_network(
             x[:, idx] += (2.0 * start - 1.0) * epsilon
         steps, length = (PGD_STEPS, epsilon * PGD_STEP_FRACTION) if attack == "PGD" else (1, epsilon)
         for _ in range(steps):
-            moved = x[:, idx] - length * np.sign(benign_gradient(x, net)[:, idx])
+            moved = x[:, idx] - length * np.sign(benign_gradient(x, net, rectified)[:, idx])
             moved = np.clip(moved, origin - epsilon, origin + epsilon)
             moved = np.maximum(np.minimum(moved, hi), lo)
             for i, mean, scale in rounded:
@@ -190,7 +193,7 @@ def attack_network(
                 continue
             z, start = np.stack(batch["_x"].to_numpy()), np.stack(batch["_u"].to_numpy())
             hit = (batch["_y"] == 1).to_numpy()
-            clean = forward(z, net)[0][:, 1]
+            clean = forward(z, net, rectified)[0][:, 1]
             for attack, budget in conditions:
                 x = z.copy()
                 if hit.any():
@@ -199,7 +202,7 @@ def attack_network(
                 outside = ((x[:, idx] > hi + 1e-9) | (x[:, idx] < lo - 1e-9)).sum(axis=1)
                 yield pd.concat([batch[list(keep)], pd.DataFrame(
                     {
-                        "y": batch["_y"], "attack": attack, "budget": budget, "clean_score": clean, "score": forward(x, net)[0][:, 1],
+                        "y": batch["_y"], "attack": attack, "budget": budget, "clean_score": clean, "score": forward(x, net, rectified)[0][:, 1],
                         "linf": delta.max(axis=1), "l2": np.sqrt((delta**2).sum(axis=1)), "changed": (delta > 0).sum(axis=1),
                         "violations": np.where(hit, outside, 0),
                     },
