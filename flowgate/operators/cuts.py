@@ -54,11 +54,11 @@ def _conditions(cells: Iterable[tuple[object, str]], y: Column, k: Column) -> Co
         by_class.setdefault(cls, set()).add(prefix)
     if not by_class:
         return F.lit(False)
-    prefixes = _by_class({c: sorted(p) for c, p in by_class.items()}, y)
+    prefixes = class_values({c: sorted(p) for c, p in by_class.items()}, y)
     return F.coalesce(F.array_contains(prefixes, k), F.lit(False))
 
 
-def _by_class(values: Mapping[object, Sequence[str | None]], y: Column) -> Column:
+def class_values(values: Mapping[object, Sequence[str | None]], y: Column) -> Column:
     """The texts that belong to the row's class, missing for other classes: one constant map, planned as a single value."""
     if all(isinstance(c, (bool, int, str)) for c in values):
         named = {str(c).lower() if isinstance(c, bool) else str(c): list(v) for c, v in values.items()}
@@ -126,7 +126,7 @@ def find_cuts(rows: DataFrame, targets: Targets, label: str, key: str, weight: s
 def segment(cuts: Mapping[tuple[object, int], Cut], y: Column, k: Column, classes: Iterable[object], n_cuts: int) -> Column:
     """The number of cuts a row's key lies behind: 0 for rows up to the first cut, 1 up to the second, …"""
     own = {cls: [cuts.get((cls, j)) for j in range(n_cuts)] for cls in classes}
-    ends = _by_class({cls: [cut.key if cut else None for cut in found] for cls, found in own.items()}, y)
+    ends = class_values({cls: [cut.key if cut else None for cut in found] for cls, found in own.items()}, y)
     passed = F.array_min(F.transform(ends, lambda key, j: F.when(k <= key, j.cast("int"))))
     return F.when(ends.isNotNull(), F.coalesce(passed, F.lit(n_cuts)))
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from flowgate.functions.columns import forbidden_features, long_values
 from flowgate.functions.numbers import finite, share
-from flowgate.operators.metrics import univariate_areas
+from flowgate.operators.metrics import ranking_areas
 from flowgate.operators.sampling import split_overlap
+from flowgate.staging import stage
 
 # Fixed values: (semantic type, status, constraints, reason) of each policy role.
 ROLES = {
@@ -73,14 +74,19 @@ PROXY_RISK = "SCENARIO_ASSOCIATED_BUT_LEGITIMATE"
 PROXY_REASON = "Observed traffic/protocol attribute; no target or provenance lineage."
 
 
-def value_purity(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Per feature: distinct values, values seen in one class only, and the purest value's class share.
-
-    A (feature, value) table of class counts, combined map-side, instead of one crosstab per feature.
-    """
-    cells = long_values(df, features, keep=[label]).groupBy("feature", "value").agg(
+def value_cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(feature, value, n0, n1): rows of either class with a value, in one table combined map-side instead of one crosstab per feature."""
+    return long_values(df, features, keep=[label]).groupBy("feature", "value").agg(
         F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")
     )
+
+
+def value_purity(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Per feature: distinct values, values seen in one class only, and the purest value's class share."""
+    return _purity(value_cells(df, features, label))
+
+
+def _purity(cells: DataFrame) -> DataFrame:
     n = F.col("n0") + F.col("n1")
     seen = F.col("value").isNotNull()
     readable = finite(F.col("value"))
@@ -97,8 +103,11 @@ def univariate_leakage(df: DataFrame, features: Sequence[str], label: str) -> Da
 
     The AUC is missing when any value of the feature is missing, infinite or not a number.
     """
-    purity = value_purity(df, features, label)
-    areas = univariate_areas(df, features, label).select("feature", "roc_auc")
+    cells = stage(value_cells(df, features, label))
+    purity = _purity(cells)
+    # texts that are the same number are one score
+    scores = cells.select("feature", finite(F.col("value")).alias("value"), "n0", "n1").where("value is not null")
+    areas = ranking_areas(scores.groupBy("feature", "value").agg(F.sum("n1").alias("pos"), F.sum("n0").alias("neg")), ["feature"]).select("feature", "roc_auc")
     proxy = (F.col("max_class_purity") == 1) & (F.col("exclusive_values") > 1)
     # One row per feature on both sides.
     return purity.join(areas, "feature", "left").select(

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowgate.functions.columns import join_by, named
 from flowgate.functions.numbers import share
-from flowgate.operators.quantiles import bin_edges, binned_values, with_bins
+from flowgate.staging import stage
 
 # Decision threshold, alarm threshold, metric names of the reports.
 THRESHOLD = 0.5
@@ -17,6 +22,12 @@ ALARM = 0.995
 ALARM_METRICS = ("accuracy", "f1", "roc_auc", "attack_recall")
 METRICS = ("accuracy", "precision", "attack_recall", "specificity", "f1", "roc_auc", "pr_auc", "mcc")
 
+ROWS_PER_RANGE = 100_000  # scores that one task sorts
+MAX_RANGES = 20_000
+
+# Tasks carry the helpers of this module with them; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def counts(y: Column, pred: Column) -> list[Column]:
     """The four cells of the confusion matrix as aggregates."""
@@ -63,32 +74,60 @@ def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFra
     return cells.select(F.inline(F.array(row(0, "tn", "fp"), row(1, "fn", "tp"))))
 
 
-def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None = None) -> DataFrame:
-    """ROC AUC and average precision per group from rows (by…, bin, value, y).
+def score_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, value, pos, neg): how often each score occurs in either class; ``rows`` are (by, value, y). Equal scores collapse map-side."""
+    # A missing score counts nothing. It is not filtered out, because a filter on a computed score would make
+    # the optimizer compute the score once more below it.
+    scored = F.col("value").isNotNull()
+    return rows.groupBy(*by, "value").agg(F.count_if(scored & (F.col("y") == 1)).alias("pos"), F.count_if(scored & (F.col("y") == 0)).alias("neg"))
+
+
+def _running(batches):
+    """Rows sorted by group, with the sums of pos and neg over the group's rows so far, within the partition."""
+    last, carry = None, np.zeros((2, 1), dtype=np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("_group").to_numpy()
+        sums = np.cumsum(np.stack([batch.column(n).to_numpy() for n in ("pos", "neg")]), axis=1)
+        starts = np.flatnonzero(group[1:] != group[:-1]) + 1
+        # what is taken off: nothing of this group's earlier batches, all that lies before a group's start
+        first = -carry if last == group[0] else np.zeros((2, 1), dtype=np.int64)
+        bases = np.concatenate([first, sums[:, starts - 1]], axis=1)
+        running = sums - bases[:, np.searchsorted(starts, np.arange(len(group)), side="right")]
+        last, carry = group[-1], running[:, -1:]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(running[0]), pa.array(running[1])], names=[*batch.schema.names, "p_run", "n_run"])
+
+
+def ranking_areas(counted: DataFrame, by: Sequence[str], one_class: float | None = None, parts: int | None = None) -> DataFrame:
+    """ROC AUC and average precision per group from rows (by…, value, pos, neg), one per group and score.
 
     AUC counts, for each positive, the negatives below it and half of those with the same score. Average
     precision adds the precision at each distinct score, weighted by the gain in recall. Both need running
-    counts over the sorted scores; these run inside each bin, on top of the totals of the bins below, so
-    no task orders a whole group. Equal scores collapse map-side.
+    counts over the sorted scores: rows are dealt into ranges of (group, score), sums run inside each range in a stream, and totals of the ranges
+    below are added. A task holds a batch of rows at a time, and ranges are as many as the rows need.
     """
     by = list(by)
-    # A missing score counts nothing. It is not filtered out, because a filter on a computed score would make
-    # the optimizer compute the score once more below it.
-    scored = F.col("value").isNotNull()
-    positive, negative = F.count_if(scored & (F.col("y") == 1)), F.count_if(scored & (F.col("y") == 0))
-    counted = binned.groupBy(*by, "bin", "value").agg(positive.alias("pos"), negative.alias("neg"))
-    per_bin = counted.groupBy(*by, "bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    # One row per group and bin.
-    bins = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select(
-        *by, "bin",
+    spark = counted.sparkSession
+    counted = stage(counted.select(*[named(b) for b in by], "value", "pos", "neg"))
+    parts = parts or min(MAX_RANGES, counted.count() // ROWS_PER_RANGE + 1)
+    group = F.xxhash64(F.lit(0), *[named(b) for b in by], *[named(b).isNull() for b in by])
+    order = [*[named(b) for b in by], F.col("value")]
+    ranged = counted.repartitionByRange(parts, *order) if parts > 1 else counted.coalesce(1)
+    dealt = ranged.withColumns({"_group": group, "_part": F.spark_partition_id()}).sortWithinPartitions(*order)
+    whole = T.StructType(dealt.schema.fields + [T.StructField("p_run", T.LongType()), T.StructField("n_run", T.LongType())])
+    running = stage(dealt.mapInArrow(_running, whole).drop("_group"))
+
+    per_part = running.groupBy(*by, "_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    # One row per group and range.
+    ranges = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    below = ranges.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        *by, "_part",
         F.coalesce(F.sum("_p").over(below), F.lit(0)).alias("p_below"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("n_below"),
-        F.sum("_p").over(bins).alias("P"), F.sum("_n").over(bins).alias("N"),
+        F.sum("_p").over(ranges).alias("P"), F.sum("_n").over(ranges).alias("N"),
     )
-    within = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counted.select("*", F.sum("pos").over(within).alias("p_run"), F.sum("neg").over(within).alias("n_run"))
-    placed = join_by(running, offsets, [*by, "bin"])
+    placed = join_by(running, offsets, [*by, "_part"])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     n_before = F.col("n_below") + F.col("n_run") - F.col("neg")
     # Rows at or above this score, the positive predictions at this threshold.
@@ -108,16 +147,10 @@ def ranking_areas(binned: DataFrame, by: Sequence[str], one_class: float | None
     )
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, bins: int | None = None) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), one_class: float | None = None, parts: int | None = None) -> DataFrame:
     """Exact ROC AUC and average precision of a score column, ties included, per group."""
     rows = df.select(*[named(b).alias(b) for b in by], named(y).alias("y"), named(score).cast("double").alias("value"))
-    binned = with_bins(rows, bin_edges(rows, ["value"], bins)).withColumnRenamed("_bin_value", "bin")
-    return ranking_areas(binned, by, one_class)
-
-
-def univariate_areas(df: DataFrame, features: Sequence[str], label: str, bins: int | None = None) -> DataFrame:
-    """ROC AUC of each raw numeric feature, all features in one pass; each has its own bins."""
-    return ranking_areas(binned_values(df, features, bins, keep=[named(label).alias("y")]), ["feature"])
+    return ranking_areas(score_counts(rows, by), by, one_class, parts)
 
 
 def scored_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), threshold: float = THRESHOLD, one_class: float | None = None) -> DataFrame:

@@ -6,15 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgate.functions.columns import long_values, named
 from flowgate.functions.numbers import finite
 from flowgate.operators.quantiles import exact_quantiles
+from flowgate.staging import stage
 
-# Vocabularies up to this size become one column per value; larger ones go through ``index_categories``.
+# A feature with more values becomes one sparse vector instead of one column per value.
 MAX_VOCABULARY = 1000
 
 
@@ -41,11 +42,12 @@ class Numeric:
 
 @dataclass(frozen=True)
 class Category:
-    """Fitted state of a categorical feature: imputed value and sorted vocabulary."""
+    """Fitted state of a categorical feature: imputed value and sorted vocabulary; ``sparse`` ones become one vector."""
 
     name: str
     mode: str | None
     vocabulary: tuple[str, ...]
+    sparse: bool = False
 
     def imputed(self) -> Column:
         return F.coalesce(named(self.name).cast("string"), F.lit(self.mode).cast("string"))
@@ -55,38 +57,61 @@ class Category:
         return {f"categorical__{self.name}_{v}": self.imputed().eqNullSafe(F.lit(v)).cast("double") for v in self.vocabulary}
 
 
+def _sparse(df: DataFrame, categories: Sequence[Category], columns: Sequence[str]) -> DataFrame:
+    """The imputed texts of ``columns`` replaced by one-hot vectors, in vocabulary order; an unknown value is the zero vector."""
+    if not categories:
+        return df
+    places, vectors = [f"{c}_place" for c in columns], [f"{c}_vector" for c in columns]
+    # The place after the last known value stands for all unknown ones; dropping it leaves the zero vector.
+    indexer = StringIndexerModel.from_arrays_of_labels([list(c.vocabulary) for c in categories], inputCols=list(columns), outputCols=places, handleInvalid="keep")
+    encoder = OneHotEncoder(inputCols=places, outputCols=vectors, dropLast=True)
+    placed = indexer.transform(df)
+    # The sizes are in the columns' metadata: no rows are read to fit.
+    out = encoder.fit(placed.limit(0)).transform(placed)
+    return out.select(*[F.col(v).alias(c) if (v := dict(zip(columns, vectors)).get(c)) else named(c) for c in df.columns])
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     numeric: tuple[Numeric, ...]
     categorical: tuple[Category, ...]
 
+    def _vectors(self) -> list[Category]:
+        return [c for c in self.categorical if c.sparse]
+
     def outputs(self) -> dict[str, Column]:
-        """Transformed columns in assembly order: the numeric block, then the categorical block."""
+        """Transformed columns with one number each in assembly order: the numeric block, then the categorical block."""
         out = {f"numeric__{n.name}": n.scaled() for n in self.numeric}
         for c in self.categorical:
-            out.update(c.indicators())
+            out.update({} if c.sparse else c.indicators())
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return df.select(*[named(k) for k in keep], *[c.alias(name) for name, c in self.outputs().items()])
+        """``keep`` and the transformed columns; a feature with a large vocabulary is one vector column at the end."""
+        large = self._vectors()
+        plain = [f"_c{i}" for i in range(len(large))]
+        wide = df.select(*[named(k) for k in keep], *[c.alias(name) for name, c in self.outputs().items()], *[c.imputed().alias(p) for c, p in zip(large, plain)])
+        return _sparse(wide, large, plain).withColumnsRenamed({p: f"categorical__{c.name}" for c, p in zip(large, plain)})
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
-        """The transformed columns as one vector column."""
+        """The transformed columns as one vector column, sparse where most of it is zero."""
         plain = [f"_x{i}" for i in range(len(self.outputs()))]
+        large = self._vectors()
+        texts = [f"_c{i}" for i in range(len(large))]
         columns = [c.alias(p) for p, c in zip(plain, self.outputs().values())]
-        wide = df.select(*[named(k) for k in keep], *columns)
-        return VectorAssembler(inputCols=plain, outputCol=output).transform(wide).select(*[named(k) for k in keep], output)
+        wide = _sparse(df.select(*[named(k) for k in keep], *columns, *[c.imputed().alias(p) for c, p in zip(large, texts)]), large, texts)
+        return VectorAssembler(inputCols=plain + texts, outputCol=output).transform(wide).select(*[named(k) for k in keep], output)
 
     def lineage(self, spark: SparkSession) -> DataFrame:
         """Which transformed columns each raw feature became."""
         rows = [(n.name, "numeric impute+scale", [f"numeric__{n.name}"]) for n in self.numeric]
-        rows += [(c.name, "categorical one-hot", list(c.indicators())) for c in self.categorical]
+        rows += [(c.name, "categorical one-hot", [f"categorical__{c.name}"] if c.sparse else list(c.indicators())) for c in self.categorical]
         return spark.createDataFrame(rows, "raw_feature string, transformer string, output_features array<string>")
 
     def parameters(self, spark: SparkSession) -> DataFrame:
         """The fitted state as a table, to store and to compare."""
         rows = [(n.name, "numeric", n.median, n.mean, n.scale, None, None) for n in self.numeric]
-        rows += [(c.name, "categorical", None, None, None, c.mode, list(c.vocabulary)) for c in self.categorical]
+        rows += [(c.name, "sparse" if c.sparse else "categorical", None, None, None, c.mode, list(c.vocabulary)) for c in self.categorical]
         return spark.createDataFrame(
             rows, "feature string, kind string, median double, mean double, scale double, mode string, vocabulary array<string>"
         )
@@ -97,7 +122,7 @@ class Preprocessor:
         rows = parameters.collect()
         return Preprocessor(
             tuple(Numeric(r.feature, r.median, r["mean"], r.scale) for r in rows if r.kind == "numeric"),
-            tuple(Category(r.feature, r["mode"], tuple(r.vocabulary)) for r in rows if r.kind == "categorical"),
+            tuple(Category(r.feature, r["mode"], tuple(r.vocabulary), r.kind == "sparse") for r in rows if r.kind != "numeric"),
         )
 
 
@@ -117,21 +142,18 @@ def fit_numeric(train: DataFrame, features: Sequence[str]) -> tuple[Numeric, ...
 
 
 def fit_categories(train: DataFrame, features: Sequence[str], max_vocabulary: int = MAX_VOCABULARY) -> tuple[Category, ...]:
-    """Most frequent value (ties to the smallest) and sorted vocabulary of each feature, in one grouping."""
+    """Most frequent value (ties to the smallest) and sorted vocabulary of each feature, from one grouping of all of them.
+
+    Each feature is judged by its own number of values: more than ``max_vocabulary`` make it sparse. Vocabularies are parameters that the
+    driver holds, whatever their size.
+    """
     if not features:
         return ()
     present = long_values(train, features).where(F.col("value").isNotNull())
-    counted = present.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    found = counted.limit(max_vocabulary * len(features) + 1).collect()
-    if len(found) > max_vocabulary * len(features):
-        raise ValueError("vocabulary too large for one column per value; use index_categories")
-    by_feature: dict[str, list] = {f: [] for f in features}
-    for r in found:
-        by_feature[r.feature].append((r.value, r.n))
-    return tuple(
-        Category(f, min(v, key=lambda x: (-x[1], x[0]))[0] if v else None, tuple(sorted(x for x, _ in v)))
-        for f, v in by_feature.items()
-    )
+    counted = stage(present.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    facts = counted.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top"), F.sort_array(F.collect_list("value")).alias("vocabulary"))
+    found = {r.feature: (r.top.value, tuple(r.vocabulary)) for r in facts.collect()}
+    return tuple(Category(f, *found.get(f, (None, ())), sparse=len(found.get(f, (None, ()))[1]) > max_vocabulary) for f in features)
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_vocabulary: int = MAX_VOCABULARY) -> Preprocessor:

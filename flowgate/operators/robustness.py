@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowgate.functions.columns import join_by, named
 from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uniform
 from flowgate.functions.numbers import measured, share
-from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_metrics, rates
+from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_areas, rates
 from flowgate.operators.preprocess import Numeric
 from flowgate.staging import stage
 
@@ -227,22 +227,31 @@ def attack_grid(
 def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) -> DataFrame:
     """Per condition: all metrics under attack, success rate, drops against the clean scores, change size.
 
-    Clean and adversarial counts come from the same aggregate. With ``ranking`` the grid is read more than once, so its
-    results are stored first and the rows are attacked only once.
+    Clean and adversarial counts come from the same aggregate. With ``ranking`` one aggregate by condition and score is stored, from
+    which both the counts and the areas follow, so rows are attacked only once.
     """
-    if ranking:
-        results = ("y", "clean_pred", "pred", "score", "linf", "l2", "changed", "violations")
-        grid = stage(grid.select(*[named(c) for c in dict.fromkeys((*by, *results))]))
     y, cp, p = F.col("y"), F.col("clean_pred"), F.col("pred")
     clean = counts(y, cp)
-    out = grid.groupBy(*[named(b) for b in by]).agg(
-        F.count(F.lit(1)).alias("subset_N"), *counts(y, p),
-        *[c.alias("clean_" + n) for c, n in zip(clean, ("tp", "tn", "fp", "fn"))],
+    names = [named(b) for b in by]
+    tallies = [
+        F.count(F.lit(1)).alias("subset_N"), *counts(y, p), *[c.alias("clean_" + n) for c, n in zip(clean, ("tp", "tn", "fp", "fn"))],
         F.count_if((y == 1) & (cp == 1) & (p == 0)).alias("evaded"), F.count_if((y == 1) & (cp == 1)).alias("caught"),
-        F.avg("linf").alias("mean_Linf"), F.avg("l2").alias("mean_L2"), F.avg("changed").alias("mean_changed_features"),
-        share(F.count_if(F.col("changed") == 0), F.count(F.lit(1))).alias("projection_collapse_rate"),
+        F.sum("linf").alias("_linf"), F.sum("l2").alias("_l2"), F.sum("changed").alias("_changed"), F.count_if(F.col("changed") == 0).alias("_still"),
         F.sum("violations").cast("bigint").alias("semantic_constraint_violations"),
-    )
+    ]
+    if ranking:
+        value = F.col("score").cast("double").alias("value")
+        scored = F.col("value").isNotNull()
+        both = [F.count_if(scored & (y == k)).alias(n) for k, n in ((1, "pos"), (0, "neg"))]
+        cells = stage(grid.withColumn("value", value).groupBy(*names, "value").agg(*both, *tallies))
+        summed = cells.groupBy(*names).agg(*[F.sum(c).alias(c) for c in cells.columns if c not in {*by, "value", "pos", "neg"}])
+    else:
+        summed = grid.groupBy(*names).agg(*tallies)
+    rows = F.col("subset_N")
+    out = summed.withColumns({
+        "mean_Linf": F.col("_linf") / rows, "mean_L2": F.col("_l2") / rows, "mean_changed_features": F.col("_changed") / rows,
+        "projection_collapse_rate": share(F.col("_still"), rows),
+    })
     attacked, before = rates(), rates("clean_")
     drops = {"attack_recall": "attack_recall", "f1": "F1", "mcc": "MCC", "accuracy": "accuracy"}
     out = out.select(
@@ -254,7 +263,7 @@ def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) ->
     )
     if not ranking:
         return out
-    return join_by(out, ranking_metrics(grid, "y", "score", by, one_class=0.0), by, "left")
+    return join_by(out, ranking_areas(cells, by, one_class=0.0), by, "left")
 
 
 def enforce_constraints(

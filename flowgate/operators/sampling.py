@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from flowgate.functions.columns import named, predictors
 from flowgate.functions.keys import order_key, vector_key
-from flowgate.operators.cuts import Cut, Targets, find_cuts, segment, totals
+from flowgate.operators.cuts import Cut, Targets, class_values, find_cuts, segment, totals
 from flowgate.operators.verdicts import keep_rows
 from flowgate.staging import stage
 
@@ -188,9 +188,7 @@ def packing_rule(groups: DataFrame, label: str, quota: Mapping[object, int], siz
     sizes = groups.groupBy(named(label).alias("y"), F.col(size).alias("s")).agg(F.count(F.lit(1)).alias("g"))
     running = Window.partitionBy("y").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = sizes.withColumn("after", F.sum(F.col("s") * F.col("g")).over(running))
-    limit = F.lit(None).cast("bigint")
-    for c, q in quota.items():
-        limit = F.when(F.col("y") == F.lit(c), F.lit(int(q)).cast("bigint")).otherwise(limit)
+    limit = class_values({c: [str(int(q))] for c, q in quota.items()}, F.col("y"))[0].cast("bigint")
     # The boundary size of each class: the smallest one that does not fit completely.
     edges = (
         filled.where(F.col("after") > limit)
@@ -200,17 +198,15 @@ def packing_rule(groups: DataFrame, label: str, quota: Mapping[object, int], siz
         .collect()
     )
     edge = {e.y: (e.s, (quota[e.y] - (e.after - e.s * e.g)) // e.s) for e in edges}
+    if not edge:
+        return F.lit(True)
     y, s, k = named(label), F.col(size), F.col(order)
-    at_edge = F.lit(False)
-    for c, (n, _) in edge.items():
-        at_edge = at_edge | ((y == F.lit(c)) & (s == F.lit(n)))
-    cuts = find_cuts(groups.where(at_edge), {(c, 0): float(room) for c, (_, room) in edge.items()}, label, order)
-    rule = F.lit(True)
-    for c, (n, _) in edge.items():
-        cut = cuts.get((c, 0))
-        tie = F.lit(False) if cut is None else (s == F.lit(n)) & (k <= F.lit(cut.key))
-        rule = F.when(y == F.lit(c), (s < F.lit(n)) | tie).otherwise(rule)
-    return rule
+    sizes_at = class_values({c: [str(n)] for c, (n, _) in edge.items()}, y)[0].cast("bigint")
+    cuts = find_cuts(groups.where(s == sizes_at), {(c, 0): float(room) for c, (_, room) in edge.items()}, label, order)
+    # One flat map, however many classes there are: the boundary size and the last group of that size which has room.
+    facts = class_values({c: [str(n), cuts[c, 0].key if (c, 0) in cuts else None] for c, (n, _) in edge.items()}, y)
+    fits = (s < facts[0].cast("bigint")) | ((s == facts[0].cast("bigint")) & F.coalesce(k <= facts[1], F.lit(False)))
+    return F.when(facts.isNull(), True).otherwise(fits)
 
 
 # ---------------------------------------------------------------- splits

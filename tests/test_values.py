@@ -152,11 +152,23 @@ def test_ranking_equals_pairwise_definition(spark):
     rows = df.collect()
     pos, neg = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
     expected = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    for bins in (2, 3, 64):
-        assert one(metrics.ranking_metrics(df, bins=bins)).roc_auc == pytest.approx(expected)
+    for parts in (None, 2, 3, 64):
+        assert one(metrics.ranking_metrics(df, parts=parts)).roc_auc == pytest.approx(expected)
 
 
-def test_exact_quantiles_do_not_depend_on_bins(spark):
+def test_ranking_of_groups_over_many_ranges(spark):
+    df = spark.range(600).select(
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("g"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("h"),
+        (F.abs(F.xxhash64("id")) % 50).cast("double").alias("score"), (F.abs(F.xxhash64("id", F.lit(1))) % 2).cast("int").alias("y"),
+    )
+    few, many = ({(r.g, r.h): (r.roc_auc, r.pr_auc) for r in metrics.ranking_metrics(df, by=["g", "h"], parts=n).collect()} for n in (1, 37))
+    assert len(few) == 12 and {k: pytest.approx(v) for k, v in few.items()} == many
+    rows = [r for r in df.collect() if r.g is None and r.h == 2]
+    pos, neg = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
+    assert few[None, 2][0] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
+def test_exact_quantiles_do_not_depend_on_cells(spark):
     values = [float((i * 7919) % 1009) for i in range(1000)] + [3.0] * 500
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(6)
     ordered = sorted(values)
@@ -166,11 +178,68 @@ def test_exact_quantiles_do_not_depend_on_bins(spark):
         low = int(at)
         return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (at - low)
 
-    for bins in (2, 8, 100):
-        got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.99, 1.0], bins).collect()}
+    for read in (1, 8, 100_000):
+        got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.99, 1.0], read).collect()}
         assert got == pytest.approx({p: expected(p) for p in got})
 
 
+@pytest.mark.parametrize("read", [1, 20_000])
+def test_quantiles_of_all_kinds_of_columns(spark, read, monkeypatch):
+    """Equal and distinct values, both signs, extreme magnitudes, nulls, text, names with dots."""
+    if read == 1:
+        monkeypatch.setattr(quantiles, "PARTS", 3)
+    n = 3000
+    made = {
+        "equal": [5.0] * n, "dis.tinct": [float(i * 7919 % n) for i in range(n)], "signs": [(-1.0) ** i * i / 7 for i in range(n)],
+        "wide": [(-1) ** i * 10.0 ** (i % 600 - 300) for i in range(n)], "tiny": [5e-324 * (i % 5) for i in range(n)], "close": [1.0 + i * 2.3e-16 for i in range(n)],
+        "odd": [None, float("nan"), float("inf"), -0.0, 0.0, 2.0] * (n // 6), "none": [None] * n,
+    }
+    df = spark.createDataFrame(list(zip(*made.values())), ", ".join(f"`{c}` double" for c in made)).repartition(5)
+    points = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    got = {(r.feature, r.probability): r["quantile"] for r in quantiles.exact_quantiles(df, list(made), points, read).collect()}
+    for c, column in made.items():
+        ordered = sorted(x for x in column if x is not None and abs(x) < float("inf"))
+        for p in points:
+            if not ordered:
+                assert got[c, p] is None
+                continue
+            at = (len(ordered) - 1) * p
+            low = ordered[int(at)]
+            assert got[c, p] == low + (ordered[min(int(at) + 1, len(ordered) - 1)] - low) * (at - int(at))
+
+
+def test_quantiles_and_ranking_of_a_million(spark):
+    df = spark.range(1_000_000).select(F.lit(3.5).alias("equal"), (F.col("id") * 7919 % 1_000_000).cast("double").alias("score"), (F.col("id") * 7919 % 1_000_000 % 2).cast("int").alias("y"))
+    got = {(r.feature, r.probability): r["quantile"] for r in quantiles.exact_quantiles(df, ["equal", "score"], [0.1, 0.5]).collect()}
+    assert got == {("equal", 0.1): 3.5, ("equal", 0.5): 3.5, ("score", 0.1): pytest.approx(99999.9), ("score", 0.5): 499999.5}
+    assert one(metrics.ranking_metrics(df)).roc_auc == pytest.approx(0.5 + 1e-6, abs=1e-9)
+    plan = quantiles.exact_quantiles(df, ["score"], [0.5])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_packing_of_very_many_classes(spark):
+    """5,000 classes: a flat plan, and quotas met by whole groups, smallest first."""
+    df = spark.range(40_000).select("id", (F.col("id") % 5000).cast("int").alias("y"), F.floor(F.col("id") / 5000 / 2).alias("g"))
+    out = sampling.pack_groups(df, "y", ["g", "y"], 20_000)
+    assert out.groupBy("y").count().where("count <> 4").count() == 0 and out.groupBy("y", "g").count().where("count <> 2").count() == 0
+
+
+def test_vocabularies_have_no_cap(spark):
+    """5,000 values in one of two features: that one becomes a sparse vector, the other one columns."""
+    df = spark.range(10_000).select(F.concat(F.lit("v"), F.lpad(F.col("id") % 5000, 4, "0")).alias("many"), (F.col("id") % 3).cast("string").alias("few"), F.col("id").cast("double").alias("n"))
+    fitted = preprocess.fit(df, ["n"], ["many", "few"])
+    again = preprocess.Preprocessor.load(fitted.parameters(spark))
+    assert again == fitted and [c.sparse for c in fitted.categorical] == [True, False] and len(fitted.categorical[0].vocabulary) == 5000
+    new = spark.createDataFrame([("v0007", "1", 1.0), ("unknown", "9", 2.0), (None, None, None)], "many string, few string, n double")
+    for p in (fitted, again):
+        out = p.transform(new, keep=["n"])
+        assert out.columns == ["n", "numeric__n", "categorical__few_0", "categorical__few_1", "categorical__few_2", "categorical__many"]
+        vectors = [r["categorical__many"] for r in out.collect()]
+        assert [(v.size, v.indices.tolist()) for v in vectors] == [(5000, [7]), (5000, []), (5000, [0])]
+        assert [r.features.size for r in p.assemble(new).collect()] == [5004] * 3
+    assert {r.raw_feature: len(r.output_features) for r in fitted.lineage(spark).collect()} == {"n": 1, "many": 1, "few": 3}
+
+
 def test_early_stopping(spark):
     losses = [0.9, 0.5, 0.6, 0.5, 0.7, 0.4]
     df = spark.createDataFrame([("d", i + 1, 1.0, v) for i, v in enumerate(losses)], "dataset string, epoch int, train_loss double, validation_loss double")
@@ -357,14 +426,6 @@ def test_splits_of_very_many_classes(spark):
     assert sampling.stratified_sample(df, "y", 3000, key=["id"]).groupBy("y").count().where("count <> 1").count() == 0
 
 
-def test_bins_follow_the_rows(spark):
-    assert [quantiles.bins_for(n, 256) for n in (0, 10**6, 10**9, 10**13)] == [256, 256, 500, 20_000]
-    df = spark.range(1_000_000).select((F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("score"))
-    binned = quantiles.with_bins(df, quantiles.bin_edges(df, ["score"]))
-    assert binned.groupBy("_bin_score").count().agg(F.max("count")).first()[0] < 3 * 1_000_000 / 256
-    assert one(metrics.ranking_metrics(df)).roc_auc == pytest.approx(0.5 + 1e-6, abs=1e-9)
-
-
 def test_reports_are_sorted(spark):
     both = runs(spark).unionByName(runs(spark).withColumn("seed", F.lit(7))).unionByName(runs(spark).withColumn("dataset", F.lit("edge")))
     decided = gate.decisions(audited(gate.worst_cases(both)))
