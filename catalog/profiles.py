@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from catalog.base import (
     ANY_BAD, FLOWS, MEASUREMENTS, PACKET_NUMERIC, PACKETS, Query, bad_sql, flows, measurements, packets, rounded, table,
 )
-from flowgate.functions import numbers
 from flowgate.operators import profile as P
 from flowgate.operators import quantiles, typeaudit
+from flowgate.operators import sketches as SK
+from flowgate.staging import stage_path
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -56,31 +57,28 @@ ORACLE["column_profile"] = f"WITH {MEASUREMENTS} " + " UNION ALL ".join(_profile
 
 
 
-def _sketched(spark, sf):
-    """Sketches differ between engines; that they keep their error bounds does not. Ranks of the sketched quantiles are counted exactly."""
-    rows = measurements(spark, sf)
-    found = P.column_profile(rows).collect()
-    exact = P.value_summary(rows, _MEASURED).select("feature", "cardinality")
-    checks, x = [], {f: numbers.finite(F.col(f)) for f in _NUMERIC}
-    for r in found:
-        inside = F.lit(None).cast("boolean")
-        if r.feature in x:
-            n, ranks = F.count(x[r.feature]), []
-            for p, q in zip(P.APPROXIMATE_POINTS, r.percentiles_approx, strict=True):
-                ranks.append((F.count_if(x[r.feature] <= q) >= (p - 0.001) * n) & (F.count_if(x[r.feature] < q) <= (p + 0.001) * n))
-            inside = F.array_min(F.array(*ranks))
-        checks.append(F.struct(F.lit(r.feature).alias("feature"), F.lit(r.missing).alias("missing"), F.lit(r.cardinality_approx).alias("sketched"), inside.alias("quantiles_close")))
-    ranked = rows.agg(F.array(*checks).alias("rows")).select(F.inline("rows"))
-    present = F.col("cardinality") - (F.col("missing") > 0).cast("int")
-    # five standard errors of 5 %
-    return ranked.join(exact, "feature").select("feature", "missing", (F.abs(F.col("sketched") - present) <= 0.25 * present + 1).alias("cardinality_close"), "quantiles_close")
-
-
-QUERIES["column_profile_sketched"] = _sketched
-ORACLE["column_profile_sketched"] = f"WITH {MEASUREMENTS} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS missing, true AS cardinality_close, {'true' if c in _NUMERIC else 'NULL::BOOLEAN'} AS quantiles_close FROM measurements"
+# Sketches differ between engines, so these two return their results without a twin; tests hold them to their error bounds. What the stored
+# rows keep exactly is compared with SQL.
+QUERIES["column_profile_sketched"] = lambda spark, sf: rounded(P.column_profile(measurements(spark, sf)).withColumn("percentiles_approx", F.array_join("percentiles_approx", ";")), 4)
+
+
+def _stored(spark, sf):
+    """Measurements of each return flag as parts of a store that are added one after the other, one of them twice."""
+    store, rows = stage_path(spark, "sketches"), measurements(spark, sf)
+    for flag in ("A", "N", "R", "N"):
+        SK.add_part(rows.where(F.col("l_returnflag") == flag), _MEASURED, flag, store)
+    return rounded(SK.profile(spark, store), 4)
+
+
+QUERIES["stored_profile"] = lambda spark, sf: _stored(spark, sf).drop("cardinality_approx", "percentiles_approx")
+ORACLE["stored_profile"] = f"WITH {MEASUREMENTS} " + " UNION ALL ".join(
+    (lambda x: f"""SELECT '{c}' AS feature, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS missing, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 4)::DOUBLE AS missing_pct,
+ round(min({x}), 4) AS min, round(max({x}), 4) AS max, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std FROM measurements""")(
+        f"CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DOUBLE END" if c in _NUMERIC else "NULL::DOUBLE"
+    )
     for c in _MEASURED
 )
+QUERIES["stored_sketches"] = lambda spark, sf: _stored(spark, sf).select("feature", "cardinality_approx", F.array_join("percentiles_approx", ";").alias("percentiles_approx"))
 
 QUERIES["exact_quantiles"] = lambda spark, sf: rounded(
     quantiles.exact_quantiles(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], P.EXACT_POINTS), 4
