@@ -251,6 +251,14 @@ QUERIES["semantic_classes"] = lambda spark, sf: L.semantic_classes(
 )
 ORACLE["semantic_classes"] = f"WITH {_FACTS} SELECT *, {_texts(L.CLASSES, _CLASS_OF)} FROM facts"
 
+_AS_TEXT = ["l_tax", "l_linenumber", "l_extendedprice"]
+QUERIES["semantic_classes_text"] = lambda spark, sf: L.semantic_classes(
+    column_facts(spark, sf).withColumn("analysis_dtype", F.when(~F.col("feature").isin(_AS_TEXT), "double")),
+    {"target": ["l_returnflag"], "identifier": ["l_orderkey"], "derived": ["l_partkey"], "temporal": ["l_discount"]}, text_table=True,
+)
+ORACLE["semantic_classes_text"] = f"""WITH {_FACTS} SELECT *, CASE WHEN feature NOT IN ({', '.join(f"'{c}'" for c in _AS_TEXT)}) THEN 'double' END AS analysis_dtype,
+ {_texts(L.CLASSES, _CLASS_OF | dict.fromkeys(_AS_TEXT, 'categorical'))} FROM facts"""
+
 # ---------------------------------------------------------------- perturbation of a linear scorer
 
 SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from catalog.base import (
     FLOWS, ORDER_LINES, PACKET_NUMERIC, PACKETS, ROW, VECTOR, Query, bad_sql, flows, key_sql, order_lines, packets, rounded, table,
 )
+from flowgate.functions.columns import features_and_target
+from flowgate.functions.labels import literal_label
 from flowgate.operators import preprocess, sampling
 from flowgate.operators.verdicts import keep_listed
 from flowgate.plans import materialize as M
@@ -252,6 +254,37 @@ ORACLE["preprocess_transform"] = f"""WITH {MIXED} SELECT l_orderkey, l_partkey,
     f"""CASE WHEN coalesce({c}, mode_{c}) = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "categorical__{c}_{v}\"""" for c, vs in VOCABULARY.items() for v in vs
 ) + " FROM clean, fit, modes"
 
+
+
+def _assembled(spark, sf):
+    """The transformed columns as one vector, of which each place is summed up."""
+    rows, prep = fitted(spark, sf)
+    values = prep.assemble(rows, ["split"]).select("split", F.posexplode(vector_to_array("features")).alias("place", "value"))
+    return rounded(values.groupBy("split", "place").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")), 4)
+
+
+QUERIES["assembled_features"] = _assembled
+_PLACES = [f"(coalesce(c_{c}, med_{c}) - avg_{c}) / sd_{c}" for c in NUMERIC] + [f"CASE WHEN coalesce({c}, mode_{c}) = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for c, vs in VOCABULARY.items() for v in vs]
+ORACLE["assembled_features"] = f"WITH {MIXED} " + " UNION ALL ".join(
+    f"SELECT split, {i}::INTEGER AS place, count(*) AS rows, round(sum({x}), 4) + 0.0 AS total FROM clean, fit, modes GROUP BY split" for i, x in enumerate(_PLACES)
+)
+
+
+def _features_and_target(spark, sf):
+    """Features and target taken apart, each summed up on its own."""
+    x, y = features_and_target(flows(spark, sf).select("l_quantity", "l_tax", "l_orderkey", "y"), "y", ["l_orderkey"])
+    sums = x.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("rows"), F.sum(c).cast("double").alias("total")) for c in x.columns]).alias("r"))
+    target = y.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("rows"), F.sum(c).cast("double").alias("total")) for c in y.columns]).alias("r"))
+    return rounded(sums.unionByName(target).select(F.inline("r")), 4)
+
+
+QUERIES["features_and_target"] = _features_and_target
+ORACLE["features_and_target"] = f"""WITH {FLOWS} SELECT 'l_quantity' AS column, count(l_quantity) AS rows, round(sum(l_quantity)::DOUBLE, 4) AS total FROM flows
+UNION ALL SELECT 'l_tax', count(l_tax), round(sum(l_tax)::DOUBLE, 4) FROM flows UNION ALL SELECT 'y', count(y), sum(y)::DOUBLE FROM flows"""
+
+QUERIES["literal_labels"] = lambda spark, sf: table(spark, sf, "lineitem").select("l_returnflag", literal_label(F.col("l_returnflag"), "N").alias("y")).groupBy("l_returnflag", "y").agg(F.count(F.lit(1)).alias("rows"))
+ORACLE["literal_labels"] = "SELECT l_returnflag, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS y, count(*) AS rows FROM lineitem GROUP BY ALL"
+
 QUERIES["feature_lineage"] = lambda spark, sf: fitted(spark, sf)[1].lineage(spark).select(
     "raw_feature", "transformer", F.array_join("output_features", ";").alias("outputs")
 )

@@ -182,11 +182,12 @@ def leakage_decisions(roles: DataFrame) -> DataFrame:
     return roles.withColumns({"decision": decision, "risk": risk})
 
 
-def semantic_classes(stats: DataFrame, names: Mapping[str, Sequence[str]], cardinality: str = "cardinality") -> DataFrame:
+def semantic_classes(stats: DataFrame, names: Mapping[str, Sequence[str]], cardinality: str = "cardinality", text_table: bool = False) -> DataFrame:
     """Heuristic class of each column from its name, type and cardinality.
 
     ``names`` lists known names by kind: target, provenance, timestamp, identifier, derived, binary,
-    categorical, temporal. ``stats`` has ``feature``, ``dtype`` and a cardinality.
+    categorical, temporal. ``stats`` has ``feature``, ``dtype`` and a cardinality. ``text_table`` is for tables that are read as text: there a column
+    without an ``analysis_dtype``, one that is not read as numbers, is categorical whatever its type.
     """
     feature, n = F.col("feature"), F.col(cardinality)
     low = F.lower(feature)
@@ -204,7 +205,7 @@ def semantic_classes(stats: DataFrame, names: Mapping[str, Sequence[str]], cardi
         .when(listed("identifier"), "identifier")
         .when(listed("derived") | has(DERIVED_TOKENS), "derived")
         .when(listed("binary") | ((n == 2) & ~listed("categorical")), "binary")
-        .when(listed("categorical") | (F.col("dtype") == "string"), "categorical")
+        .when(listed("categorical") | (F.col("dtype") == "string") | (F.col("analysis_dtype").isNull() if text_table else F.lit(False)), "categorical")
         .when(listed("temporal"), "temporal")
         .when((n <= DISCRETE_LIMIT) | has(DISCRETE_TOKENS), "discrete")
         .otherwise("continuous")
