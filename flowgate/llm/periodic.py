@@ -9,7 +9,7 @@ an Euler tour with a sparse table. The order of the leaves is that of the suffix
 A run of at least ``SHORTEST`` words and three periods lies inside stretches of words that occur twice in its text, ``WINDOW`` words at a time, for the
 part before its last period is equal to that after its first one, and is two thirds of it. Trees are built of such
 stretches only, and a text without them, as most are, has no run. A text is worked on as a whole: memory grows with its longest stretch
-(some 300 bytes a word), not with the number of rows.
+(some 600 bytes a word), not with the number of rows.
 """
 
 from __future__ import annotations
