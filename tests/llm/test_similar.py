@@ -6,6 +6,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from flowgate.llm import simhash, similar
 
@@ -66,18 +68,48 @@ def test_crowded_keys(spark, monkeypatch):
     assert Counter(r.doc_id for r in similar.keep_one(df).collect()) == plain_kept(texts)
 
 
-def test_many_texts_just_below_the_threshold_are_streamed():
-    """4,000 texts that all are candidates of each other: one pair for each in the first pass, none inside a component, and no list of all pairs."""
-    import numpy as np
-
+def test_many_texts_just_below_the_threshold_give_few_rows():
+    """4,000 texts that all are candidates of each other: at most one pair for each in the first pass and one bridge for each in the second."""
     r = np.random.default_rng(0)
     base = r.integers(0, 256, 150)
     sketches = np.where(r.random((4000, 150)) < 0.87, base, r.integers(0, 256, (4000, 150))).astype(np.uint8)
-    assert len(similar.likely_pairs(sketches)) < 4000
-    assert not list(similar.pairs_between(sketches, np.zeros(4000)))
-    roots = np.zeros(4000, dtype=np.int64)
-    roots[:5] = 1, 2, 2, 3, 4
-    found = [(a, b) for a, others in similar.pairs_between(sketches, roots) for b in others.tolist()]
-    wanted = {(a, b) for a in range(5) for b in range(4000) if roots[a] != roots[b] and (sketches[a] == sketches[b]).mean() >= similar.MAYBE}
-    assert len(found) == len({frozenset(x) for x in found}) and {frozenset(x) for x in found} == {frozenset(x) for x in wanted}
-    assert max(len(others) for _, others in similar.pairs_between(sketches, np.arange(4000))) <= similar.FLUSH
+    assert len(similar.likely_pairs(sketches)) < 4000 and similar.bridges(sketches, np.zeros(4000)) == []
+    assert len(similar.bridges(sketches, np.arange(4000))) == 3999
+
+
+def plain_roots(n, edges):
+    root = list(range(n))
+    for a, b in edges:
+        x, y = root[a], root[b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    return root
+
+
+def test_bridges_connect_all_candidates_between_components():
+    r = np.random.default_rng(4)
+    for n in (2, 9, 40):
+        bases = r.integers(0, 256, (3, 150))
+        sketches = np.where(r.random((n, 150)) < 0.8, bases[r.integers(0, 3, n)], r.integers(0, 256, (n, 150))).astype(np.uint8)
+        roots = r.integers(0, 4, n)
+        wanted = [(a, b) for a in range(n) for b in range(a) if roots[a] != roots[b] and (sketches[a] == sketches[b]).mean() >= similar.MAYBE]
+        found = similar.bridges(sketches, roots)
+        assert {tuple(sorted(x, reverse=True)) for x in found} <= set(wanted) and plain_roots(n, found) == plain_roots(n, wanted)
+
+
+def test_links_between_components_are_complete():
+    r = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(60, dtype=np.uint64) * 7 + 1000 * (i % 3), r.integers(10**6, 10**9, int(r.integers(0, 18))).astype(np.uint64)])) for i in range(40)]
+    sketches = np.stack([np.frombuffer(similar.sketch_of(similar.minima(s)), dtype=np.uint8) for s in sets])
+    roots = [i // 2 for i in range(40)]
+    given = [(2 * i, 2 * i + 1) for i in range(20)]
+    found = similar.links_between(sketches, roots, sets)
+    assert all(similar.similar(sets[a], sets[b]) for a, b in found)
+    wanted = [(a, b) for a in range(40) for b in range(a) if similar.similar(sets[a], sets[b])]
+    assert plain_roots(40, given + found) == plain_roots(40, given + wanted)
+
+
+def test_clusters_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CELL", 4)
+    texts = edited()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert Counter(r.doc_id for r in similar.keep_one(df).collect()) == plain_kept(texts)
