@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from flowgate.functions.keys import vector_key
 from flowgate.operators import profile, sketches, verdicts
 from flowgate.staging import stage, stage_path
@@ -64,3 +65,14 @@ def test_bitmap_keeps_all_listed_rows_and_few_others(spark, monkeypatch):
     monkeypatch.setattr(verdicts, "BITMAPS", 1)
     everything = spark.range(50_000).select(F.col("id").alias("k"))
     assert verdicts.keep_listed(rows, everything, ["k"], max_broadcast=10).count() == 160_000
+
+
+def test_the_sketched_profile_is_judged_against_exact_counts(spark, sf, monkeypatch):
+    query = catalog.QUERIES["column_profile_sketched"]
+    found = query(spark, sf).collect()
+    assert {"cardinality_approx", "percentiles_approx", "mean", "cardinality_close", "quantiles_close"} <= set(found[0].asDict())
+    assert all(r.cardinality_close for r in found) and all(r.quantiles_close for r in found if r.analysis_dtype)
+    # a coarse sketch is noticed
+    whole = profile.column_profile
+    monkeypatch.setattr(profile, "column_profile", lambda df: whole(df, accuracy=2))
+    assert not all(r.quantiles_close for r in query(spark, sf).collect() if r.analysis_dtype)
