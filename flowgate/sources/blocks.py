@@ -25,19 +25,23 @@ from pyspark.sql import functions as F
 from flowgate.sources.heads import MARKED, OTHER, _opened
 
 BLOCK_BYTES = 64 << 20
-CHUNK = 4 << 20  # bytes that a task looks at together
+CHUNK = 1 << 20  # bytes that a task looks at together
+TASK_BYTES = 8 << 20  # small blocks share a task up to so many bytes
+RECORDS = 10_000  # records that are handed on together
 QUOTE, COMMA, FEED, RETURN = b'",\n\r'
+_BESIDE = (COMMA, FEED, RETURN, QUOTE, -1)
+_BESIDE_TABLE = np.isin(np.arange(256), _BESIDE)
 
 # Tasks carry these helpers with them; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _chunks(path: str, begin: int, end: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """(position, bytes) from ``begin`` to ``end`` or the file's end."""
+def _chunks(path: str, begin: int, end: int | None = None, size: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """(position, bytes) from ``begin`` to ``end`` or the file's end, ``size`` bytes at a time."""
     with _opened(path) as file:
         end = file.size() if end is None else min(end, file.size())
         file.seek(begin)
-        while begin < end and (chunk := file.read(min(CHUNK, end - begin))):
+        while begin < end and (chunk := file.read(min(size, end - begin))):
             yield begin, chunk
             begin += len(chunk)
 
@@ -53,18 +57,19 @@ def block_facts(path: str, begin: int, end: int, start: int, quotes: bool = True
         data = np.frombuffer(chunk, dtype=np.uint8)
         lead = 1 if at < begin else 0  # a byte of the block before
         tail = len(data) - max(at + len(data) - end, 0)  # bytes of this block
-        previous = np.concatenate(([before], data[:-1]))
-        following = np.concatenate((data[1:], [-1]))
+        following = -1
         if at + len(data) < end + 1:
             # what follows the last byte is in the next chunk
             nearby = next(iter(_chunks(path, at + len(data), at + len(data) + 1)), None)
-            following[-1] = nearby[1][0] if nearby else -1
+            following = nearby[1][0] if nearby else -1
         own = slice(lead, tail)
+        # around each byte one of the few that may stand beside a quote; nothing stands before and after the file
+        beside = np.concatenate(([before in _BESIDE], _BESIDE_TABLE[data], [following in _BESIDE]))
         quote = (data[own] == QUOTE) & quotes
-        state = (np.cumsum(quote) - quote + parity) & 1  # before each byte, if the block starts outside
+        state = (np.bitwise_xor.accumulate(quote) ^ quote ^ bool(parity)).view(np.uint8)  # before each byte, if the block starts outside
         feed = data[own] == FEED
-        opens = quote & ~np.isin(previous[own], (COMMA, FEED, RETURN, QUOTE, -1))
-        closes = quote & ~np.isin(following[own], (COMMA, FEED, RETURN, QUOTE, -1))
+        opens = quote & ~beside[:-2][own]
+        closes = quote & ~beside[2:][own]
         for inside in (0, 1):
             outside = state == inside
             ends[inside] += int((feed & outside).sum())
@@ -94,10 +99,11 @@ def block_records(path: str, begin: int, end: int, inside: int, number: int, enc
     open_ = begin == (3 if encoding == MARKED else 0)  # behind the mark, if there is one
     encoding = "utf-8" if encoding == MARKED else encoding
     number += 1 if open_ else 2
-    state, held = inside, b""
-    for at, chunk in _chunks(path, begin):
+    state, held = inside, []
+    # a small block is read as such; what its last record has beyond it, in pieces of the same size
+    for at, chunk in _chunks(path, begin, size=min(CHUNK, max(end - begin, 1 << 12))):
         data = np.frombuffer(chunk, dtype=np.uint8)
-        after = (np.cumsum((data == QUOTE) & quotes) + state) & 1
+        after = (np.bitwise_xor.accumulate((data == QUOTE) & quotes) ^ bool(state)).view(np.uint8)
         stops = np.flatnonzero((data == FEED) & (after == 0))
         state, low = int(after[-1]), 0
         if not open_:
@@ -111,14 +117,17 @@ def block_records(path: str, begin: int, end: int, inside: int, number: int, enc
         past = int(np.searchsorted(at + stops, end))
         done = past < len(stops)
         stops = stops[: past + 1]
-        if len(stops):
-            lengths = np.diff(np.concatenate(([low - 1 - len(held)], stops)))
-            yield np.arange(number, number + len(stops)), _arrow(held + chunk[low : stops[-1] + 1], lengths, encoding, returns)
-            number += len(stops)
-            held, low = b"", int(stops[-1]) + 1
+        for first in range(0, len(stops), RECORDS):
+            some = stops[first : first + RECORDS]
+            before = b"".join(held)
+            lengths = np.diff(np.concatenate(([low - 1 - len(before)], some)))
+            yield np.arange(number, number + len(some)), _arrow(before + chunk[low : some[-1] + 1], lengths, encoding, returns)
+            number += len(some)
+            held, low = [], int(some[-1]) + 1
         if done:
             return
-        held += chunk[low:]
+        held.append(chunk[low:])
+    held = b"".join(held)
     if open_ and held:
         yield np.array([number]), _arrow(held + b"\n", np.array([len(held) + 1]), encoding, returns)
 
@@ -147,9 +156,10 @@ def counted_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES, quotes: boo
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
-    """Blocks are few and small rows: each gets a task of its own, up to ten thousand tasks."""
-    n = blocks.count()
-    return blocks.repartition(min(max(n, 1), 10_000))
+    """Blocks are few and small rows: each gets a task of its own, up to ten thousand tasks; small ones share tasks of ``TASK_BYTES``, once all cores have some."""
+    n, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    tasks = max(-(-size // TASK_BYTES), 2 * blocks.sparkSession.sparkContext.defaultParallelism)
+    return blocks.repartition(min(max(n, 1), tasks, 10_000))
 
 
 def placed_blocks(counted: DataFrame) -> DataFrame:

@@ -126,3 +126,26 @@ def test_probe_numbers_records_as_a_reader_does(spark, tmp_path):
     wanted = [n for n, row in enumerate(plain_csv.reader(io.StringIO(text)), 1) if "hit" in row]
     for block_bytes in (csv.BLOCK_BYTES, 64):
         assert [r.line for r in csv.find_token(spark, str(tmp_path), "hit", block_bytes=block_bytes).collect()] == wanted
+
+
+def test_small_blocks_are_read_as_such_and_share_tasks(spark, tmp_path, monkeypatch):
+    """What a task reads and holds depends on the block, not on the file; small blocks make no more tasks than there is work."""
+    from flowgate.sources import blocks
+
+    path = tmp_path / "many.csv"
+    path.write_bytes(b"a,b\n" + b"".join(b'%d,"x\n%d"\n' % (i, i) for i in range(200_000)))
+    size, read = path.stat().st_size, []
+    chunks = blocks._chunks
+
+    def counted(*args, **more):
+        for at, chunk in chunks(*args, **more):
+            read.append(len(chunk))
+            yield at, chunk
+
+    monkeypatch.setattr(blocks, "_chunks", counted)
+    found = list(blocks.block_records(str(path), 1 << 20, (1 << 20) + 4096, 0, 0, "utf-8", False))
+    assert sum(read) <= 3 * 4096 and sum(len(t) for _, t in found) > 100
+    largest = max(len(t) for _, t in blocks.block_records(str(path), 0, size, 0, 0, "utf-8", False))
+    assert largest <= 10_000
+    listed = spark.range(0, size, 512).selectExpr("id AS begin", "id + 512 AS end")
+    assert blocks._dealt(listed).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
