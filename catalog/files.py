@@ -114,12 +114,18 @@ WHERE list_contains(fields, '192.168.0.128') ORDER BY event_type, shard, number
 BLOCK = 1 << 14
 
 
+FILE_ROWS = 500_000
+
+
 def _large_file(spark, sf):
-    """Orders in one file with quoted line breaks, commas and quotes, shared by many tasks block by block."""
+    """Orders in files of at most half a million rows or so, each of many blocks, with quoted line breaks, commas and quotes; many tasks share a file block by block."""
     root = stage_path(spark, "large")
     note = F.concat(F.col("o_orderpriority"), F.lit("\n\"é\", "), F.repeat(F.lit("line\n"), (F.col("o_orderkey") % 5).cast("int")))
-    rows = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
-    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(root)
+    orders = table(spark, sf, "orders")
+    files = orders.count() // FILE_ROWS + 1
+    rows = orders.select("o_orderkey", note.alias("note"), "o_totalprice")
+    # one file is written by one task, so more rows make more files
+    (rows.repartition(files, "o_orderkey") if files > 1 else rows.coalesce(1)).write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(root)
     return root
 
 
