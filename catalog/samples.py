@@ -15,7 +15,7 @@ from flowgate.operators import preprocess, sampling
 from flowgate.operators.verdicts import keep_listed
 from flowgate.plans import materialize as M
 from flowgate.plans import prepare as PREP
-from flowgate.staging import stage_path
+from flowgate.staging import stage, stage_path
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -199,17 +199,17 @@ CATEGORICAL = ["l_returnflag", "o_orderpriority"]
 
 
 def mixed(spark, sf):
-    """Numbers with gaps, infinities and text, and categories with gaps, in three splits."""
+    """Numbers with gaps, infinities and text, and categories with gaps, in three splits; stored, as fitting reads them several times."""
     rows = order_lines(spark, sf)
     line = F.col("l_linenumber")
-    return rows.select(
+    return stage(rows.select(
         *ROW, "y", "l_extendedprice",
         F.when(line == 7, "inf").when(line == 6, "bad").otherwise(F.col("l_quantity").cast("string")).alias("rate"),
         F.expr("nullif(l_discount, 0.0D)").alias("gap"),
         F.when(line == 4, None).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
         F.when(F.col("l_suppkey") % 4 == 0, "6-UNSEEN").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("l_suppkey") % 4 == 0, "test").otherwise("train").alias("split"),
-    )
+    ))
 
 
 MIXED = f"""{ORDER_LINES}, mixed AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, y, l_extendedprice,

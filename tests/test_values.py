@@ -431,3 +431,13 @@ def test_reports_are_sorted(spark):
     decided = gate.decisions(audited(gate.worst_cases(both)))
     for out in (report.gate_table(decided, report.worst_case_table(both)), report.master_results(both.where("attack = 'FGSM' and budget = 0.01").drop("attack", "budget"), decided)):
         assert [(r.dataset, r.seed) for r in out.collect()] == [("edge", 42), ("ton", 7), ("ton", 42)]
+
+
+def test_joined_rows_are_stored_once_for_fitting(spark, sf):
+    """Fitting and transforming read the stored rows; the join behind them is made once."""
+    from catalog import samples
+
+    rows, prep = samples.fitted(spark, sf)
+    for df in (rows, prep.transform(rows, [*samples.ROW, "split"])):
+        assert not any("lineitem" in f or "orders" in f for f in df.inputFiles())
+    assert rows.count() == samples.order_lines(spark, sf).count()
