@@ -2,7 +2,8 @@
 
 Training is synchronous and data-parallel. The rows are dealt once into fixed mini-batches by a hash of their keys and written by batch, so a step
 reads its own rows only. Each task computes the summed gradient of its rows in Arrow batches; sums of many tasks are added up in two levels, and the driver
-holds weights and gradients, never rows. Dropout masks are a function of row key, epoch and unit. So results do not depend on the
+holds weights and gradients, never rows. Batches that are too small to be shared by tasks are not given a job each: a task makes the steps of some of
+them, one after the other in the epoch's order, up to ``TASK_ROWS`` rows, and hands the weights back. Dropout masks are a function of row key, epoch and unit. So results do not depend on the
 partitioning, up to the last bits of floating-point sums.
 
 Every epoch ends with a row in a store below a folder: losses, weights and the optimizer's state. The best model is read from there, and a training
@@ -40,6 +41,7 @@ MAX_NORM = 5.0
 DECAY1, DECAY2, EPSILON = 0.9, 0.999, 1e-8
 
 MAX_STEPS = 1000  # batches of an epoch; with more rows than MAX_STEPS * BATCH the batches grow
+TASK_ROWS = 65_536  # rows of the small batches whose steps one task makes
 DIRECT = 32  # partial gradients that are added up on the driver; more of them are first added up by tasks
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -200,6 +202,56 @@ class Adam(NamedTuple):
         return flat - rate * (first / (1 - DECAY1**step)) / (np.sqrt(second / (1 - DECAY2**step)) + EPSILON), Adam(step, first, second)
 
 
+_MADE = "steps long, losses array<double>, weights array<double>, first array<double>, second array<double>"
+
+
+def small_steps(rows: DataFrame, order: Sequence[int], network: Network, adam: Adam, epoch: int, dropout: float, rate: float) -> tuple[list[float], Network, Adam]:
+    """The steps of some small batches of rows (x, y, h, batch) in the given order, made by one task: mean losses, network and optimizer after them.
+
+    The task holds the sums of one batch and a piece of its rows. A batch without rows is no step.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((*network, *adam))
+
+    def run(batches):
+        widths, flat, *moments = shared.value
+        net, state = Network(widths, flat), Adam(*moments)
+        found, at, n, loss, gradient = [], None, 0, 0.0, np.zeros(len(net.flat))
+
+        def step():
+            nonlocal net, state
+            flat, state = state.apply(net.flat, gradient / n, rate)
+            net = Network(net.widths, flat)
+            found.append(loss / n)
+
+        for piece in batches:
+            places = piece.column("place").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if places[begin] != at:
+                    if n:
+                        step()
+                    at, n, loss, gradient = places[begin], 0, 0.0, np.zeros(len(net.flat))
+                part = piece.slice(begin, end - begin)
+                h = part.column("h").to_numpy()
+                masks = [kept_units(h, epoch, k, w, dropout) for k, w in enumerate(net.widths[1:-1])] if dropout else ()
+                one, towards = loss_and_gradient(_matrix(part, net.widths[0]), part.column("y").to_numpy(), net.layers(), masks)
+                n, loss, gradient = n + len(part), loss + one, gradient + towards
+        if n:
+            step()
+        arrays = [pa.array([state.step], pa.int64()), *(pa.array([list(x)], pa.list_(pa.float64())) for x in (found, net.flat, state.first, state.second))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["steps", "losses", "weights", "first", "second"])
+
+    place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col("batch")).alias("place")
+    chosen = rows.where(F.col("batch").isin(list(order))).select("x", "y", "h", place).coalesce(1).sortWithinPartitions("place", "h")
+    made = chosen.mapInArrow(run, _MADE).first()
+    shared.destroy()
+    if made is None:
+        return [], network, adam
+    return list(made.losses), Network(network.widths, np.array(made.weights)), Adam(made.steps, np.array(made["first"]), np.array(made["second"]))
+
+
 # ---------------------------------------------------------------- the store of epochs
 
 _EPOCH = "epoch int, train_loss double, validation_loss double, bad int, step long, widths array<int>, weights array<double>, first array<double>, second array<double>"
@@ -250,6 +302,7 @@ def train(
     if not n:
         raise ValueError("no rows to train on")
     steps = min(max(1, ceil(n / batch)), max_steps)
+    together = min(steps, max(1, TASK_ROWS * steps // n))
     path = stage_path(spark, "batches")
     plain(train_rows).withColumn("batch", F.pmod(F.xxhash64("h", F.lit("batch")), F.lit(steps)).cast("int")).repartition("batch").write.partitionBy("batch").parquet(path)
     rows = spark.read.schema("x array<double>, y int, h long, batch int").parquet(path)
@@ -270,8 +323,13 @@ def train(
         if bad >= patience:
             break
         found = []
-        for b in np.random.default_rng([seed, epoch]).permutation(steps).tolist():
-            size, loss, gradient = mean_gradient(rows.where(F.col("batch") == b).drop("batch"), network, epoch, dropout)
+        order = np.random.default_rng([seed, epoch]).permutation(steps).tolist()
+        for begin in range(0, steps, together):
+            if together > 1:
+                some, network, adam = small_steps(rows, order[begin : begin + together], network, adam, epoch, dropout, rate)
+                found += some
+                continue
+            size, loss, gradient = mean_gradient(rows.where(F.col("batch") == order[begin]).drop("batch"), network, epoch, dropout)
             if size:
                 flat, adam = adam.apply(network.flat, gradient, rate)
                 network = Network(network.widths, flat)

@@ -121,3 +121,17 @@ def test_attack_on_the_rectified_network(rows):
             if (np.abs(slope) > 1e-4).all():
                 moved = np.clip(x - 0.2 * np.sign(slope), -1, 1)
                 assert got[r.id].score == pytest.approx(N.softmax(N.logits(moved, net)[0])[0, 1], abs=1e-6)
+
+
+def test_small_batches_share_a_job(spark, rows, monkeypatch):
+    """The same weights and losses as with a job for each step, and fewer jobs than steps."""
+    learn, held, jobs, found = rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), [], []
+    for together in (N.TASK_ROWS, 1):
+        monkeypatch.setattr(N, "TASK_ROWS", together)
+        spark.sparkContext.setJobGroup(f"steps {together}", "training")
+        network, curve = N.train(learn, held, "y", ["id"], max_epochs=2, hidden=(8,), batch=40, rate=0.02)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps {together}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        found.append((network.flat, [tuple(r) for r in curve.orderBy("epoch").collect()]))
+    assert jobs[0] < 30 <= jobs[1]
+    assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1])
