@@ -113,3 +113,19 @@ def test_clusters_of_many_cells(spark, monkeypatch):
     texts = edited()
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert Counter(r.doc_id for r in similar.keep_one(df).collect()) == plain_kept(texts)
+
+
+def test_postings_are_the_positional_bytes():
+    """Texts meet in a band exactly where all its positional bytes are equal, whatever the minima behind them are."""
+    r = np.random.default_rng(5)
+    least = [r.integers(0, 1 << 63, size=similar.ROWS * similar.BANDS, dtype=np.uint64) for _ in range(2)]
+    own = [np.frombuffer(similar.sketch_of(x), dtype=np.uint8) for x in least]
+    # the second text gets minima of the same bytes in the first ten bands, but other ones
+    for i in range(10 * similar.ROWS):
+        while similar.sketch_of(least[1][i : i + 1]) != similar.sketch_of(least[0][i : i + 1]):
+            least[1][i] += np.uint64(1 << 40)
+    own[1] = np.frombuffer(similar.sketch_of(least[1]), dtype=np.uint8)
+    equal = (own[0] == own[1]).reshape(similar.BANDS, similar.ROWS).all(axis=1)
+    keys = [similar.keys_of(x) for x in least]
+    assert equal.sum() >= 10 and ((keys[0] == keys[1]) == equal).all()
+    assert len(set(keys[0].tolist())) == similar.BANDS and (keys[0] >> 8 * similar.ROWS == np.arange(similar.BANDS)).all()
