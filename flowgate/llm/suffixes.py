@@ -141,6 +141,7 @@ class LevelFamily:
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Takes in the suffixes (``key``) of a batch; returns (key, n) of its beginnings that occur twice or more so far."""
+        self._merge()
         array = stage(suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"))
         scan, total = array, F.col("n")
         for rank, level in self.levels:
@@ -148,14 +149,15 @@ class LevelFamily:
             total = total + F.coalesce(f"n{rank}", F.lit(0))
         matches = scan.select("key", total.alias("n")).where("n > 1")
         matches = stage(matches)
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, level = self.levels.pop()
-            array = stage(level.union(array).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"))
-            rank += 1
-        self.levels.append((rank, array))
+        self.levels.append((0, array))
         return matches
 
+    def _merge(self) -> None:
+        """Two levels of equal rank become one of the next rank. This is done when a batch comes, so nothing is merged that no batch is scanned against."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, array), (_, level) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, stage(level.union(array).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"))))
+
 
 _ANCHORS = "doc_id long, content long, pos int, before int, after int, key long, c1 long, c2 long, batch int"
 

@@ -212,6 +212,17 @@ def test_levels_grow_geometrically(spark):
     assert [rank for rank, _ in family.levels] == [2, 0]
 
 
+def test_levels_merge_when_a_batch_comes(spark, monkeypatch):
+    """Nothing is merged behind the last batch, as no batch is scanned against it."""
+    written, stage = [], suffixes.stage
+    monkeypatch.setattr(suffixes, "stage", lambda df: written.append(1) or stage(df))
+    family = suffixes.LevelFamily()
+    for b in range(4):
+        assert {r.key: r.n for r in family.add(spark.createDataFrame([(1,), (b + 2,)], "key long")).collect()} == ({1: b + 1} if b else {})
+    # an array and its matches for each batch, and one merge before the third
+    assert len(written) == 9
+
+
 # ---------------------------------------------------------------- 5: archives
 
 def test_archives(spark, none):
