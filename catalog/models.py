@@ -483,7 +483,7 @@ def _mlp_attack(spark, sf):
         *[f(F.col("x")[i]).alias(f"{n}{i}") for i in idx for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
     attacked = T.attack_network(test, network, "y", ["vec_id"], idx, [ranges[f"lo{i}"] for i in idx], [ranges[f"hi{i}"] for i in idx])
-    return rounded(R.attack_metrics(attacked, ["attack", "budget"]))
+    return rounded(R.attack_metrics(stage(attacked), ["attack", "budget"]))
 
 
 QUERIES["mlp_attack"] = _mlp_attack

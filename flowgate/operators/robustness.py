@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from flowgate.functions.columns import join_by, named
 from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uniform
 from flowgate.functions.numbers import measured, share
-from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_areas, rates
+from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_areas, rates, score_counts
 from flowgate.operators.preprocess import Numeric
-from flowgate.staging import stage
 
 # Conditions of the grid and shape of the iterated attack.
 ATTACKS = ("FGSM", "PGD")
@@ -227,8 +226,8 @@ def attack_grid(
 def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) -> DataFrame:
     """Per condition: all metrics under attack, success rate, drops against the clean scores, change size.
 
-    Clean and adversarial counts come from the same aggregate. With ``ranking`` one aggregate by condition and score is stored, from
-    which both the counts and the areas follow, so rows are attacked only once.
+    Clean and adversarial counts come from the same aggregate, of which each map task hands on one row per condition. With ``ranking`` the scores alone are
+    counted in a second pass, so no sums are kept for each of them. A grid that is dear to compute should be stored before.
     """
     y, cp, p = F.col("y"), F.col("clean_pred"), F.col("pred")
     clean = counts(y, cp)
@@ -239,14 +238,7 @@ def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) ->
         F.sum("linf").alias("_linf"), F.sum("l2").alias("_l2"), F.sum("changed").alias("_changed"), F.count_if(F.col("changed") == 0).alias("_still"),
         F.sum("violations").cast("bigint").alias("semantic_constraint_violations"),
     ]
-    if ranking:
-        value = F.col("score").cast("double").alias("value")
-        scored = F.col("value").isNotNull()
-        both = [F.count_if(scored & (y == k)).alias(n) for k, n in ((1, "pos"), (0, "neg"))]
-        cells = stage(grid.withColumn("value", value).groupBy(*names, "value").agg(*both, *tallies))
-        summed = cells.groupBy(*names).agg(*[F.sum(c).alias(c) for c in cells.columns if c not in {*by, "value", "pos", "neg"}])
-    else:
-        summed = grid.groupBy(*names).agg(*tallies)
+    summed = grid.groupBy(*names).agg(*tallies)
     rows = F.col("subset_N")
     out = summed.withColumns({
         "mean_Linf": F.col("_linf") / rows, "mean_L2": F.col("_l2") / rows, "mean_changed_features": F.col("_changed") / rows,
@@ -263,7 +255,8 @@ def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) ->
     )
     if not ranking:
         return out
-    return join_by(out, ranking_areas(cells, by, one_class=0.0), by, "left")
+    scores = grid.select(*names, "y", F.col("score").cast("double").alias("value"))
+    return join_by(out, ranking_areas(score_counts(scores, by), by, one_class=0.0), by, "left")
 
 
 def enforce_constraints(

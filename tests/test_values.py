@@ -441,3 +441,15 @@ def test_joined_rows_are_stored_once_for_fitting(spark, sf):
     for df in (rows, prep.transform(rows, [*samples.ROW, "split"])):
         assert not any("lineitem" in f or "orders" in f for f in df.inputFiles())
     assert rows.count() == samples.order_lines(spark, sf).count()
+
+
+def test_attack_scores_carry_no_sums(spark, sf, monkeypatch):
+    """What is kept for each score is its counts: all other figures come from one row per condition and task."""
+    from catalog import models
+    from flowgate.operators import metrics
+
+    stored, stage = [], metrics.stage
+    monkeypatch.setattr(metrics, "stage", lambda df: stored.append(df.columns) or stage(df))
+    monkeypatch.setattr(robustness, "stage", lambda df: stored.append(df.columns) or stage(df), raising=False)
+    assert models.attack_runs(spark, sf, ranking=True).count() > 0
+    assert stored[0] == ["dataset", "seed", "attack", "budget", "value", "pos", "neg"] and max(map(len, stored)) <= 9
