@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgate.llm.common import fresh, release, slices, text_key
-from flowgate.staging import stage, stage_path
+from flowgate.staging import passing, stage, stage_path
 
 LENGTH = 400
 PREFIX = 100
@@ -374,12 +374,22 @@ def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
+def _written_spans(docs: DataFrame, batches: int, many: int, rule: Rule) -> DataFrame:
+    """The repeated spans by one rule as a table; anchors, levels and surroundings are deleted before the next rule makes its own."""
+    spark = docs.sparkSession
+    path = stage_path(spark)
+    with passing(spark):
+        spans = repeated_spans(docs, batches, many, rule)
+        spans.write.parquet(path)
+    return spark.read.schema(spans.schema).parquet(path)
+
+
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, batches: int, many: int, rules: Sequence[Rule]) -> tuple[DataFrame, str]:
     """All rows and columns with the spans of their text in one more column."""
     key, content, spans, d, c = fresh(docs, "row_id", "content", "spans", "span_id", "span_content")
     rows = docs.withColumns({key: F.col(id_col).cast("long"), content: text_key(text_col)})
     plain = rows.select(F.col(key).alias("doc_id"), F.col(content).alias("content"), F.col(text_col).alias("text"))
-    each = [repeated_spans(plain, batches, many, rule).withColumn("words", F.lit(rule.words)) for rule in rules]
+    each = [_written_spans(plain, batches, many, rule).withColumn("words", F.lit(rule.words)) for rule in rules]
     found = reduce(DataFrame.union, each).groupBy(F.col("doc_id").alias(d), F.col("content").alias(c)).agg(F.collect_set(F.struct("words", "begin", "end")).alias(spans))
     joined = rows.join(stage(found), F.col(key).eqNullSafe(F.col(d)) & (F.col(content) == F.col(c)), "left")
     return joined.drop(key, content, d, c), spans

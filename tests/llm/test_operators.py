@@ -212,6 +212,27 @@ def test_levels_grow_geometrically(spark):
     assert [rank for rank, _ in family.levels] == [2, 0]
 
 
+def test_tables_of_a_rule_go_before_the_next_one(spark, monkeypatch):
+    """When a rule starts, only the spans of the rules before it are left; the result needs nothing that is gone."""
+    import os
+
+    from flowgate.staging import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    r = random.Random(7)
+    text = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(90))
+    docs = spark.createDataFrame([(1, text), (2, f"a {text}"), (3, "short"), (None, None)], "doc_id long, text string")
+    before, left, spans = set(os.listdir(folder)), [], suffixes.repeated_spans
+
+    def seen(*args):
+        left.append(len(set(os.listdir(folder)) - before))
+        return spans(*args)
+
+    monkeypatch.setattr(suffixes, "repeated_spans", seen)
+    found = {x.doc_id: (x.n_spans, x.n_passages) for x in suffixes.dedup(docs).collect()}
+    assert left == [0, 1] and found == {1: (1, 1), 2: (1, 1), 3: (0, 0), None: (0, 0)}
+
+
 def test_levels_merge_when_a_batch_comes(spark, monkeypatch):
     """Nothing is merged behind the last batch, as no batch is scanned against it."""
     written, stage = [], suffixes.stage
