@@ -91,3 +91,67 @@ def test_a_head_may_end_without_its_tag():
         ("<head><style>x {}</style>Text<div>More</div>", ["Text", "More"]), ("<html><head><title>t</title></head><body>In</body>", ["In"]), ("<head><script>var a = 1</script>\n<link href=x>\n<main>M</main>", ["M"]),
     ):
         assert pagetext.lines_of(page)[0] == wanted
+
+
+STORY = "<header><p>Site</p></header><article><h1>Story {0}</h1><p>Share this story</p><p>{1}</p>{2}<p>Filed under: news</p></article>"
+
+
+def stories(host, n, extra=None):
+    """Articles whose template lines have no telling class; every third has a paragraph that its neighbour repeats."""
+    return [(i, f"http://{host}/{i:03}", STORY.format(i, f"What happened on day {i}, at length and in many words", (extra or {}).get(i, ""))) for i in range(n)]
+
+
+def told(i, *more, template=()):
+    return "\n".join([f"Story {i}", *template[:1], f"What happened on day {i}, at length and in many words", *more, *template[1:]])
+
+
+TOLD = ("Share this story", "Filed under: news")
+
+
+def test_template_lines_of_marked_text_go_and_shared_paragraphs_stay(spark):
+    said = "<p>The mayor said so.</p>"
+    rows = stories("a.org", 12, {2: said, 3: said, 7: said}) + [(i + 20, u, h) for i, u, h in stories("b.org", 4)]
+    wanted = Counter((i, told(i, *["The mayor said so."] * (i in (2, 3, 7)))) for i in range(12))
+    # four pages do not tell what is template
+    wanted += Counter((i + 20, told(i, template=TOLD)) for i in range(4))
+    assert texts(spark, rows) == wanted
+    copies = rows + [(50 + i, u + "/copy", h) for i, u, h in rows[:3]] + rows[:1]
+    assert texts(spark, copies) == wanted + Counter((50 + i, told(i, *["The mayor said so."] * (i == 2))) for i in range(3)) + Counter([(0, told(0))])
+
+
+def test_versions_of_one_text_tell_no_template(spark):
+    body = "".join(f"<p>Paragraph {k} of a long report that was changed again and again</p>" for k in range(8))
+    rows = [(i, f"http://a.org/report/{i:02}", f"<main>{body}<p>Version {i}</p></main>") for i in range(9)] + [(20 + i, f"http://a.org/{u[-3:]}", h) for i, u, h in stories("a.org", 12)]
+    got = dict(texts(spark, rows).keys())
+    assert all(got[i] == "\n".join(pagetext.lines_of(rows[i][2])[0]) for i in range(9))
+    assert all(got[20 + i] == told(i) for i in range(12))
+
+
+def test_versions_of_a_short_text_keep_it(spark):
+    long = [(i, f"http://a.org/long/{i:02}", f"<main><p>A report that is much longer than its number</p><p>{i}</p></main>") for i in range(9)]
+    short = [(20 + i, f"http://a.org/short/{i:02}", f"<main><p>Version {i} of this page</p><p>Short.</p></main>") for i in range(8)]
+    assert texts(spark, long + short) == Counter((i, "\n".join(pagetext.lines_of(h)[0])) for i, _, h in long + short)
+
+
+@pytest.mark.parametrize("parts", ["1", "5", "40"])
+def test_marked_text_does_not_depend_on_ranges(spark, parts):
+    rows = [(i, f"http://{'abc'[i % 3]}.org/{i % 4}/{'x' * (i % 5)}{i}", STORY.format(i, f"What happened on day {i}, at length", f"<p>Quote {i // 6}</p>" * (i % 2))) for i in range(48)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert texts(spark, rows) == Counter((i, "\n".join([f"Story {i}", f"What happened on day {i}, at length", *[f"Quote {i // 6}"] * (i % 2)])) for i in range(48))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_every_given_page_with_a_neighbour_is_compared(spark, sf, monkeypatch):
+    from flowgate.llm import queries
+
+    seen = []
+    monkeypatch.setattr(pagetext, "compared_pages", lambda parsed, compare=pagetext.compared_pages: seen.append(compare(parsed)) or seen[-1])
+    pages = [(pagetext.host_and_path(r.url)[0], tuple(pagetext.lines_of(r.html)[0])) for r in queries.table(spark, sf, "pages").collect()]
+    queries.op10_page_text(spark, sf).count()
+    different = Counter(host for host, _ in set(pages))
+    assert Counter(r.host for r in seen[0].select("host").collect()) == Counter({host: n for host, n in different.items() if n > 1})
