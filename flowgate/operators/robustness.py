@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowgate.functions.columns import join_by, named
 from flowgate.functions.keys import ORDER_DIGITS, UNIFORM_DIGITS, order_key, uniform
 from flowgate.functions.numbers import measured, share
-from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_areas, rates, score_counts
+from flowgate.operators.metrics import THRESHOLD, counts, predicted, ranking_areas, rates
 from flowgate.operators.preprocess import Numeric
 
 # Conditions of the grid and shape of the iterated attack.
@@ -227,7 +227,7 @@ def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) ->
     """Per condition: all metrics under attack, success rate, drops against the clean scores, change size.
 
     Clean and adversarial counts come from the same aggregate, of which each map task hands on one row per condition. With ``ranking`` the scores alone are
-    counted in a second pass, so no sums are kept for each of them. A grid that is dear to compute should be stored before.
+    packed in a second pass, so no sums are kept for each of them. A grid that is dear to compute should be stored before.
     """
     y, cp, p = F.col("y"), F.col("clean_pred"), F.col("pred")
     clean = counts(y, cp)
@@ -256,7 +256,7 @@ def attack_metrics(grid: DataFrame, by: Sequence[str], ranking: bool = True) ->
     if not ranking:
         return out
     scores = grid.select(*names, "y", F.col("score").cast("double").alias("value"))
-    return join_by(out, ranking_areas(score_counts(scores, by), by, one_class=0.0), by, "left")
+    return join_by(out, ranking_areas(scores, by, one_class=0.0), by, "left")
 
 
 def enforce_constraints(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pytest
@@ -14,6 +15,7 @@ from flowgate.functions.labels import binary_label, literal_label
 from flowgate.functions.numbers import finite, ipv4_shaped, not_a_number
 from flowgate.operators import duplicates, leakage, metrics, preprocess, profile, quantiles, robustness, sampling
 from flowgate.plans import gate, report
+from flowgate.staging import stage
 
 
 def frame(spark, n=200):
@@ -453,3 +455,31 @@ def test_attack_scores_carry_no_sums(spark, sf, monkeypatch):
     monkeypatch.setattr(robustness, "stage", lambda df: stored.append(df.columns) or stage(df), raising=False)
     assert models.attack_runs(spark, sf, ranking=True).count() > 0
     assert stored[0] == ["dataset", "seed", "attack", "budget", "value", "pos", "neg"] and max(map(len, stored)) <= 9
+
+
+def test_ranking_packs_scores_into_chunks(spark, monkeypatch):
+    """Different scores get no stored or shuffled row each, whatever the sizes of chunks and ranges, and the areas are those of the definition."""
+    kept = []
+    monkeypatch.setattr(metrics, "stage", lambda df: kept.append(stage(df)) or kept[-1])
+    e = F.col("id")
+    df = stage(spark.range(20_000, numPartitions=3).select(
+        F.when(e % 3 > 0, e % 3).cast("double").alias("a.g"),
+        F.when(e % 41 == 0, None).when(e % 37 == 0, F.lit(float("nan"))).when(e % 31 == 0, F.lit(-0.0)).when(e % 29 == 0, F.lit(0.0)).otherwise(F.xxhash64("id") / F.lit(1e15)).alias("score"),
+        F.when(e % 19 > 0, F.abs(F.xxhash64("id", F.lit(1))) % 2).cast("int").alias("y"),
+    ))
+    got = {r[0]: (r.roc_auc, r.pr_auc) for r in metrics.ranking_metrics(df, by=["a.g"]).collect()}
+    assert max(k.count() for k in kept) <= 3 * 3
+    monkeypatch.setattr(metrics, "ROWS_PER_CHUNK", 900)
+    monkeypatch.setattr(metrics, "ROWS_PER_RANGE", 700)
+    cut = {r[0]: (r.roc_auc, r.pr_auc) for r in metrics.ranking_metrics(df, by=["a.g"]).collect()}
+    for g in (None, 1.0, 2.0):
+        rows = [(float("inf") if r.score != r.score else r.score, r.y) for r in df.collect() if r[0] == g and r.score is not None and r.y is not None]
+        wins, precision, tp, above, below = 0.0, 0.0, 0, 0, sum(1 - y for _, y in rows)
+        for _, tied in itertools.groupby(sorted(rows, reverse=True), lambda r: r[0]):
+            ys = [y for _, y in tied]
+            tp, above, below = tp + sum(ys), above + len(ys), below - len(ys) + sum(ys)
+            wins, precision = wins + sum(ys) * (below + (len(ys) - sum(ys)) / 2), precision + sum(ys) * tp / above
+        expected = (wins / (tp * (len(rows) - tp)), precision / tp)
+        assert got[g] == pytest.approx(expected) and cut[g] == pytest.approx(expected)
+    none = df.limit(0)
+    assert metrics.ranking_metrics(none, by=["a.g"]).count() == 0 and one(metrics.ranking_metrics(none)) == (None, None)
