@@ -129,3 +129,18 @@ def test_postings_are_the_positional_bytes():
     keys = [similar.keys_of(x) for x in least]
     assert equal.sum() >= 10 and ((keys[0] == keys[1]) == equal).all()
     assert len(set(keys[0].tolist())) == similar.BANDS and (keys[0] >> 8 * similar.ROWS == np.arange(similar.BANDS)).all()
+
+
+def test_fingerprints_link_texts_that_share_no_posting(spark):
+    """SimHash fingerprints of at most four differing bits are a way of their own to a link, which is verified all the same."""
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 3000)}" for _ in range(300)]
+    copies = [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in range(20, 280, 20)]
+    near = next(t for t in copies if (simhash.fingerprint(t, 5) ^ simhash.fingerprint(" ".join(words), 5)).bit_count() in (1, 2, 3, 4))
+    texts = [" ".join(words), near, "something else " * 30, "once more"]
+    fp = lambda t: int(np.array(simhash.fingerprint(t, 5), dtype=np.uint64).view(np.int64))
+    sketch = lambda t: similar.sketch_of(similar.minima(similar.shingles(t)))
+    # the third text has the fingerprint of the first one, but is not similar to it
+    rows = spark.createDataFrame([(i, [i], bytearray(sketch(t)), fp(texts[0] if i == 2 else t)) for i, t in enumerate(texts)], "content long, keys array<long>, sketch binary, fp long")
+    found = similar.links(rows, spark.createDataFrame(list(enumerate(texts)), "content long, text string"))
+    assert {(x.a, x.b) for x in found.collect()} == {(0, 1)}
